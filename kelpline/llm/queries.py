@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import bpe, mixing, near_dup, quality, secret_scan, suffix_dedup, token_counts
+from kelpline.llm import bpe, fingerprints, html_extract, licenses, mixing, near_dup, quality, secret_scan, suffix_dedup, token_counts
 
 #: Vocabulary files; a cluster sets the folder that all its machines have.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
@@ -26,6 +26,13 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source's documents lie in a folder a language, and there in folders of a hundred."""
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    docs = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", "lang", hundred, F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(docs, keep=("doc_id",))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -46,6 +53,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,4 +73,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, secret_scan.BASE), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op8_byte_bpe, op9_secrets)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_licenses, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_secrets, op10_fingerprints)}
