@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a session without that setting (a test) gets a temporary folder."""
+    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return folder
+    if (folder := spark.sparkContext.getCheckpointDir()) is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Runs the plan so far and keeps its rows under ``spark.checkpoint.dir``, so that lost executors
-    lose none of it.  A session without that setting (a test) gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Runs the plan so far and keeps its rows in the shared folder, so that lost executors lose none of it."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
