@@ -11,6 +11,8 @@ all columns of the input stay.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +106,10 @@ def assess(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame
     out = with_repeated_words(out, words, f"{p}n_repeat_words").drop(lines, words)
     n = F.col(f"{p}n_words")
     out = out.withColumn(f"{p}base_failed", (n < LEAST_WORDS) | (F.col(f"{p}n_repeat_words") * 100 > n * MOST_REPEATED))
-    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}lost_words") * 100 <= n * MOST_LOST))
+    out = out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}lost_words") * 100 <= n * MOST_LOST))
+    # Counts for listeners; a filter on the verdict also stays above this node, where arrays are columns that have been
+    # computed once, rather than expressions to be computed again for each element.
+    return out.observe(f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("judged"), F.count_if(f"{p}kept").alias("kept"))
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
