@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.plans.oracle import ORACLE
 from kelpline.plans.queries import QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
