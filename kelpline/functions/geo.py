@@ -90,19 +90,18 @@ def _bits(x: Column, low: float, span: float, n: int) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit((1 << n) - 1), whole))).cast("long")
 
 
+def _spread(n: Column) -> Column:
+    """A number's bits at every other place: its binary digits read as digits of base 4."""
+    return F.conv(F.bin(n), 4, 10).cast("long")
+
+
 def geohash(lat, lon, precision: int = 5) -> Column:
-    """The cell's name: bits of longitude and latitude by turns, five a character."""
+    """The cell's name: bits of longitude and latitude by turns, five a character, longitude first."""
     n_lon, n_lat = (5 * precision + 1) // 2, 5 * precision // 2
-    x, y = _bits(col(lon), -180.0, 360.0, n_lon), _bits(col(lat), -90.0, 180.0, n_lat)
-    out = []
-    for k in range(precision):
-        value = F.lit(0)
-        for j in range(5):
-            i = 5 * k + j
-            bit = F.shiftright(y if i % 2 else x, (n_lat if i % 2 else n_lon) - 1 - i // 2).bitwiseAND(1)
-            value = value + bit * (16 >> j)
-        out.append(F.substring(F.lit(BASE32), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*out)
+    x, y = _spread(_bits(col(lon), -180.0, 360.0, n_lon)), _spread(_bits(col(lat), -90.0, 180.0, n_lat))
+    code = x + y * 2 if precision % 2 else y + x * 2  # the last bit is the longitude's if bits are odd in number
+    digits = F.lpad(F.conv(code.cast("string"), 10, 32), precision, "0")
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def geohash_bounds(cell) -> Column:
