@@ -37,15 +37,17 @@ def reachable_set(sog_kt, cog_deg, elapsed_s, profile) -> Column:
     )
 
 
-def evaluate_reacquisition(lat0, lon0, sog0, cog0, lat1, lon1, gap_s, profile) -> Column:
+def evaluate_reacquisition(lat0, lon0, sog0, cog0, lat1, lon1, gap_s, profile, dist=None, bearing=None, reach=None) -> Column:
     """struct(verdict, score, dist_m, bearing, implied_kt, range_excess_m, bearing_excess_deg, shortfall_m).
 
     Tests in order: too far for the class's speed, off the course that it could have turned to, not as far as it
-    had to fly; silence of up to six hours counts from three quarters to all of a score.
+    had to fly; silence of up to six hours counts from three quarters to all of a score.  Columns that hold the
+    distance, bearing and reachable set already keep the expression small.
     """
     gap, p = col(gap_s).cast("double"), col(profile)
-    dist, bearing = haversine_m(lat0, lon0, lat1, lon1), bearing_deg(lat0, lon0, lat1, lon1)
-    r = reachable_set(sog0, cog0, gap, p)
+    dist = haversine_m(lat0, lon0, lat1, lon1) if dist is None else col(dist)
+    bearing = bearing_deg(lat0, lon0, lat1, lon1) if bearing is None else col(bearing)
+    r = reachable_set(sog0, cog0, gap, p) if reach is None else col(reach)
     implied = F.when(gap > 0, dist / KT_TO_MS / gap).otherwise(0.0)
     excess = F.greatest(F.lit(0.0), dist - r["r_max_m"])
     off = F.when(r["omni"], 0.0).otherwise(F.greatest(F.lit(0.0), F.abs(angle_delta(cog0, bearing)) - r["half_deg"]))

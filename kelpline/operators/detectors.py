@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.codes import AIR, EXCLUDED_KIND, EXCLUDED_NAME, GEO, GNSS_DEGRADED, MILITARY, ON_GROUND, SEA, THERMAL, has, squawk_severity
-from kelpline.functions.geo import cell_center, geohash, haversine_m, js_round, quantize
-from kelpline.functions.kinematics import evaluate_reacquisition, profile_for
+from kelpline.functions.geo import bearing_deg, cell_center, geohash, haversine_m, js_round, quantize
+from kelpline.functions.kinematics import evaluate_reacquisition, profile_for, reachable_set
 from kelpline.operators.state import deltas, first_watchbox, newest
 
 MIN, HOUR = 60_000, 3_600_000
@@ -59,8 +59,10 @@ def gaps(obs: DataFrame, boxes: DataFrame, default_s: int = 3600) -> DataFrame:
     moored = (F.col("domain") == SEA) & (F.coalesce("prev_sog_kt", F.lit(0.0)) < 0.4)
     landed = (F.col("domain") == AIR) & has("prev_flags", ON_GROUND)
     d = d.where((F.col("dt_ms") >= F.coalesce("dark_threshold_s", F.lit(default_s)) * 1000) & ~moored & ~landed)
-    verdict = evaluate_reacquisition("prev_lat", "prev_lon", "prev_sog_kt", "prev_cog_deg", "lat", "lon", F.col("dt_ms") / 1000, F.col("profile"))
-    return d.withColumn("profile", profile_for("domain", "kind")).withColumn("v", verdict)
+    leg = ("prev_lat", "prev_lon", "lat", "lon")
+    d = d.withColumns({"profile": profile_for("domain", "kind"), "dist_m": haversine_m(*leg), "bearing": bearing_deg(*leg), "gap_s": F.col("dt_ms") / 1000})
+    d = d.withColumn("reach", reachable_set("prev_sog_kt", "prev_cog_deg", "gap_s", "profile"))
+    return d.withColumn("v", evaluate_reacquisition("prev_lat", "prev_lon", "prev_sog_kt", "prev_cog_deg", "lat", "lon", "gap_s", "profile", "dist_m", "bearing", "reach"))
 
 
 def reacquisition(obs: DataFrame, boxes: DataFrame) -> DataFrame:

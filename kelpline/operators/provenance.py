@@ -73,7 +73,7 @@ def entity_tracks_around(detections: DataFrame, obs: DataFrame, before_ms: int,
 
 def case_files(gaps: DataFrame, steps: int = 48) -> DataFrame:
     """Each gap with the set that could be reached in it: area's radii, half angle, and outline as a ring."""
-    r = gaps.withColumn("reach", reachable_set("prev_sog_kt", "prev_cog_deg", F.col("dt_ms") / 1000, profile_for("domain", "kind")))
+    r = gaps if "reach" in gaps.columns else gaps.withColumn("reach", reachable_set("prev_sog_kt", "prev_cog_deg", F.col("dt_ms") / 1000, profile_for("domain", "kind")))
     return r.withColumn("ring", reachable_polygon("prev_lat", "prev_lon", "reach", steps))
 
 

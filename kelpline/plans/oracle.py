@@ -215,6 +215,7 @@ ORACLE: dict[str, str] = {
     "gnss_bloom": f"WITH {OBS}, z AS (SELECT {gh('lat', 'lon', 2)} AS cell, {q('ts_ms', DAY)} AS tick, count(*) FILTER (WHERE (flags&2)<>0) AS degraded, count(*) AS total, avg(lat) FILTER (WHERE (flags&2)<>0) AS lat, avg(lon) FILTER (WHERE (flags&2)<>0) AS lon, least(25,count(DISTINCT CASE WHEN (flags&2)<>0 THEN entity_id END))::INT AS n_ids FROM obs WHERE {AIRBORNE} GROUP BY ALL) SELECT 'GNSS_BLOOM' AS rule, {capped('35+degraded/total*45+least(20,degraded)')} AS severity, tick AS ts_start, round(lat,5) AS lat, round(lon,5) AS lon, n_ids, degraded, total FROM z WHERE degraded>=5 AND total>=8 AND degraded/total>=0.35",
     "squawk_emergency": f"WITH {OBS}, {SQUAWK} SELECT {SLIM} FROM sq",
     "rendezvous": f"WITH {OBS}, {BURST}, {_RD} SELECT {SLIM} FROM rd WHERE severity>=45",
+    "rendezvous_neighbours": f"WITH {OBS}, {BURST}, {_RD.replace(' AND a.cell=b.cell', '')} SELECT count(*) AS n, sum(severity)::BIGINT AS severity_sum FROM rd WHERE severity>=45",
     "loiter": f"""WITH {OBS}, {BURST}, e0 AS (SELECT *, {first_box("lat", "lon")} AS fb, {gh("lat", "lon", 4)} AS c4 FROM burst WHERE domain=1 AND step=49 AND (flags&64)=0),
 e AS (SELECT * FROM e0 WHERE (flags&32)<>0 OR fb IS NOT NULL), t0 AS (SELECT *, {hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS leg, row_number() OVER w AS rn FROM burst WHERE domain=1 AND step>=4 WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms)),
 t AS (SELECT entity_id, count(*) AS fixes, sum(CASE WHEN rn>1 THEN leg ELSE 0e0 END) AS path, first(lat ORDER BY ts_ms) AS a, first(lon ORDER BY ts_ms) AS b, last(lat ORDER BY ts_ms) AS c, last(lon ORDER BY ts_ms) AS d, max(ts_ms)-min(ts_ms) AS dur FROM t0 GROUP BY entity_id),
@@ -231,7 +232,7 @@ SELECT 'LOITER' AS rule, {capped("35+(1-straight)*40+(CASE WHEN (flags&32)<>0 TH
     "incidents_ranked": f"WITH RECURSIVE {SIMPLE}, {CELLS}, {REACH}, {INCIDENTS} SELECT big.severity, big.ts_start, count(*) AS members, string_agg(DISTINCT m.rule, ',' ORDER BY m.rule) AS rules, min(m.id) AS least_id FROM big JOIN m USING (cluster) WHERE big.severity>=40 GROUP BY cluster, big.severity, big.ts_start",
     "purge_rule": f"WITH RECURSIVE {SIMPLE}, {CELLS}, {REACH}, {INCIDENTS} SELECT 'detections' AS what, count(*) AS n FROM simple WHERE rule<>'THERMAL_ANOMALY' UNION ALL SELECT 'incidents', count(*) FROM (SELECT cluster FROM big JOIN m USING (cluster) WHERE big.severity>=40 AND m.rule<>'THERMAL_ANOMALY' GROUP BY cluster HAVING count(*)>=2)",
     "route_events": f"WITH {OBS}, {THERMAL}, sub AS (SELECT bkey AS client_id, least(31,floor((mala+90e0)/180e0*128)::BIGINT) AS dummy, floor((mila+90e0)/180e0*128)::BIGINT AS r0, floor((mala+90e0)/180e0*128)::BIGINT AS r1, floor((milo+180e0)/360e0*256)::BIGINT AS c0, floor((malo+180e0)/360e0*256)::BIGINT AS c1 FROM box), ev2 AS (SELECT *, floor((lat+90e0)/180e0*128)::BIGINT AS rr, floor((lon+180e0)/360e0*256)::BIGINT AS cc FROM th) SELECT client_id, count(*) AS n, sum(obs_id)::BIGINT AS id_sum FROM sub JOIN ev2 ON severity>=70 OR (rr BETWEEN r0 AND r1 AND cc BETWEEN c0 AND c1) GROUP BY client_id",
-    "case_file": f"WITH {OBS}, {GAPS} SELECT obs_id, round(rmax,1) AS r_max_m, round(half,4) AS half_deg, half>=180 AS omni, (13+(CASE WHEN rmin>0 THEN 13 WHEN half<180 THEN 1 ELSE 0 END)+1)::INT AS points FROM g WHERE verdict='IMPOSSIBLE_TRANSIT'",
+    "case_file": f"WITH {OBS}, {GAPS} SELECT obs_id, round(rmax,1) AS r_max_m, round(half,6) AS half_deg, half>=180 AS omni, (13+(CASE WHEN rmin>0 THEN 13 WHEN half<180 THEN 1 ELSE 0 END)+1)::INT AS points FROM g WHERE verdict='IMPOSSIBLE_TRANSIT'",
     "evidence_bundle": f"WITH RECURSIVE {OBS}, {THERMAL}, {CHAIN} SELECT th.obs_id AS id, rule, severity, payload_sha, 1::BIGINT AS fixes FROM th JOIN chain ON chain.id=th.obs_id//100",
     "chain_build": f"WITH RECURSIVE {CHAIN} SELECT source_id, id, payload_sha, prev_sha, chain_sha FROM chain",
     "chain_verify": f"WITH {LOG}, z AS (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id)-1 AS idx FROM log) SELECT source_id, count(*) AS links, (min(idx) FILTER (WHERE id%41=17))::INT AS broken_at, CASE WHEN count(*) FILTER (WHERE id%41=17)>0 THEN 'payload' END AS reason FROM z GROUP BY source_id",

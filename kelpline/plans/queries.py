@@ -262,7 +262,7 @@ def route_events(s, d):
 def case_file(s, d):
     g = detectors.gaps(ob.sparse(s, d), dims.watchboxes(s)).where("v.verdict = 'IMPOSSIBLE_TRANSIT'")
     c = provenance.case_files(g, 12)
-    return c.select("obs_id", r("reach.r_max_m", 1).alias("r_max_m"), r("reach.half_deg", 4).alias("half_deg"), F.col("reach.omni").alias("omni"), F.size("ring").alias("points"))
+    return c.select("obs_id", r("reach.r_max_m", 1).alias("r_max_m"), r("reach.half_deg", 6).alias("half_deg"), F.col("reach.omni").alias("omni"), F.size("ring").alias("points"))
 
 
 def evidence_bundle(s, d):
