@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle and checkpoint files of steps that nothing refers to any longer.
+
+    The cleaner goes by the driver's garbage collection, which a driver with little to do may put off until long after
+    the files of a first step stand beside those of the last.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
