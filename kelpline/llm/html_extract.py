@@ -14,7 +14,7 @@
 4. Pages keep the texts in their host's content slots.
 
 No host is gathered in a task: tables by host hold a row a role, and templates go
-to pages by a join.
+to pages by a join whose smaller side is measured first.
 
 Defined cases: a null or empty page has no text; a page whose url has no host
 shares the host ''; unclosed and misplaced tags are read as browsers do, roughly.
@@ -58,6 +58,8 @@ BOILER = re.compile(
 MOST_TEXT, SUPPORT = 0.6, 0.5
 #: Pages of a host from which on its texts can belong to the template.
 LEAST_PAGES = 5
+#: Size of all templates up to which they are broadcast, and parts of a host beyond.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
 
 
 def blocks(page: str):
@@ -205,13 +207,25 @@ def templates(pages: DataFrame) -> DataFrame:
     return content.join(fixed, "host", "left")
 
 
+def with_template(parsed: DataFrame, t: DataFrame) -> DataFrame:
+    """Pages with their host's template.  Templates of up to BROADCAST_BYTES are sent to all executors, so pages aren't
+    shuffled; beyond that, both sides are dealt by host and one of SALTS parts, so a large host is many tasks' work."""
+    chars = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    size = t.agg(F.sum(chars(F.col("content")) + chars(F.col("fixed")) + F.octet_length("host") + 64)).first()[0] or 0
+    t = t.select(F.col("host").alias("h"), "content", "fixed")
+    if size <= BROADCAST_BYTES:
+        return parsed.join(F.broadcast(t), F.col("host") == F.col("h"), "left")
+    t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parsed = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return parsed.join(t, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("part")), "left").drop("salt", "part")
+
+
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) for each page."""
     require(df, id_col, url_col, html_col)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    t = templates(pages).select(F.col("host").alias("h"), "content", "fixed")
-    joined = parse(pages).join(t, F.col("host") == F.col("h"), "left")
+    joined = with_template(parse(pages), checkpointed(templates(pages)))
     # A page with an article is read by it; the container and the template's texts are for the others.
     article = F.exists("blocks", lambda b: b["kind"] == 2)
     name = lambda b: F.concat_ws(" ", b["role"], F.substring(F.sha2(b["text"], 256), 1, 24))

@@ -316,7 +316,9 @@ def test_main_text(spark, small):
         assert got[r.page_id] == " ".join(html.unescape(body).split())
 
 
-def test_main_text_without_articles(spark):
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_main_text_without_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", most)
     inner = "<div class='wrap'><div class='content'><h2>Head %d &lt;3</h2><p>First <b>bo</b>ld\n line of text number %d.</p><p>Second para %d</div><div class='comments'><p>nice</p></div></div>"
     rows = [(i, f"http://h.example/{i}", PAGE % (inner % (i, i, i))) for i in range(8)]
     rows += [(20, "http://h.example/a", PAGE % "<article><header><h1>H</h1></header><p>Body &#233;</p><section class='comments'><p>no</p></section></article>"), (21, None, None), (22, "http://o/", ""), (23, "nonsense", "<p>plain < text")]
