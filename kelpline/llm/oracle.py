@@ -33,4 +33,18 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM q
 """
 
-ORACLE: dict[str, str] = {"op5_quality": OP5}
+#: All pairs that share a shingle, their overlap, and what links reach.
+OP1 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+i AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM i JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+least AS (SELECT reach.x AS rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5}
