@@ -2,16 +2,17 @@
 
 1. Each page is cut into tags and texts.  A tag's role is its path of block
    elements with their classes; a text belongs to the role that holds it.
-2. For each host and role, or role and text, the occurrence vector (how often it
-   occurs on each page) is summed up as a fingerprint, which combines before the
-   shuffle.  Tokens of a host with one fingerprint are an equivalence class; a
-   class is valid if it holds a tag and enough of the host's pages.
-3. Valid classes nest by their paths and make the template: texts whose vector is
-   that of their tag belong to it; what is left are slots.  Slots under menus,
-   headers, footers and the like are no content; of the others those in an
-   article are, or else those in the deepest container of a valid class that
-   holds most of the host's text.
-4. Pages keep the texts in their host's content slots.
+2. A page's layout is the deepest container that it opens once and that holds most
+   of its own text.  For each layout of a host and role, or role and text, the
+   occurrence vector (how often it occurs on each page) is summed up as a
+   fingerprint, which combines before the shuffle.  Tokens of a layout with one
+   fingerprint are an equivalence class; a class is valid if it holds a tag and
+   enough of the layout's pages.
+3. Texts in valid classes are the template; what is left are
+   slots.  Slots under menus, headers, footers and the like are no content.
+4. Pages keep the texts in all other slots: those in their article, if they have
+   one.  A page of which nothing would be left (copies of one page look like a
+   template) keeps its texts.
 
 No host is gathered in a task: tables by host hold a row a role, and templates go
 to pages by a join whose smaller side is measured first.
@@ -54,14 +55,32 @@ BOILER = re.compile(
     re.I,
 )
 
-#: Share of a host's text that its container holds, and of its pages that a valid class covers.
+#: Elements that can be a layout's container.
+CONTAINERS = frozenset("html body main article section div".split())
+#: Share of a page's text that its container holds, and of a layout's pages that a valid class covers.
 MOST_TEXT, SUPPORT = 0.6, 0.5
-#: Pages of a host from which on its texts can belong to the template.
+#: Pages from which on a text can belong to the template.
 LEAST_PAGES = 5
 #: Size of all templates up to which they are broadcast, and parts of a host beyond.
 BROADCAST_BYTES, SALTS = 16 << 20, 64
 
 
+def layout(opened: dict) -> str:
+    """The deepest container that a page opens once and that holds MOST_TEXT of its text, of {(role, kind): (times, chars)}."""
+    kind = 2 if any(k == 2 and c for (_, k), (_, c) in opened.items()) else 1
+    held, times, total = {}, {}, 0
+    for (role, k), (n, chars) in opened.items():
+        times[role] = times.get(role, 0) + n
+        if k == kind and chars:
+            total += chars
+            parts = role.split("/")
+            for i in range(2, len(parts) + 1):
+                path = "/".join(parts[:i])
+                held[path] = held.get(path, 0) + chars
+    fit = [r for r, c in held.items() if c >= total * MOST_TEXT and times.get(r) == 1 and r.rsplit("/", 1)[1].split(".")[0] in CONTAINERS]
+    return max(fit, key=lambda r: (r.count("/"), r), default="")
+
+
 def blocks(page: str):
     """(role, kind, text) of each block with text, and the roles of all block elements opened.
 
@@ -126,7 +145,7 @@ def blocks(page: str):
             kind = 0
         elif kind == 1 and (name in ARTICLE or named.get("role") == "main"):
             kind = 2
-        signature = re.sub(r"\d+", "0", named.get("class") or "")
+        signature = re.sub(r"\d+", "0", named.get("class") or "").replace("/", "|")
         path = f"{path}/{name}" + (f".{'.'.join(signature.split())}" if signature else "")
         stack.append((name, path, kind))
         roles.append((path, kind))
@@ -148,9 +167,9 @@ def parse(pages: DataFrame) -> DataFrame:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, role, kind, text, n, chars): for each page a row without a role, one for each role with how often it
-    is opened and the text it holds, and one for each text of a role (as its characters and hash) outside articles."""
-    shape = "host string, page long, role string, kind int, text string, n int, chars long"
+    """(host, layout, page, role, kind, text, n): for each page a row without a role, one for each role with how often it
+    is opened, and one for each text of a role (as its hash) outside articles."""
+    shape = "host string, layout string, page long, role string, kind int, text string, n int"
 
     def run(batches):
         for batch in slices(batches, "html"):
@@ -166,53 +185,40 @@ def tokens(pages: DataFrame) -> DataFrame:
                     if k == 1:
                         key = (r, k, hashlib.sha256(t.encode()).hexdigest()[:24])
                         texts[key] = texts.get(key, 0) + 1
-                rows.append((host, page, None, None, None, 1, 0))
-                rows += [(host, page, r, k, None, n, c) for (r, k), (n, c) in opened.items()]
-                rows += [(host, page, r, k, t, n, 0) for (r, k, t), n in texts.items()]
-            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "page", "role", "kind", "text", "n", "chars"])
+                of = layout(opened)
+                rows.append((host, of, page, None, None, None, 1))
+                rows += [(host, of, page, r, k, None, n) for (r, k), (n, _) in opened.items()]
+                rows += [(host, of, page, r, k, t, n) for (r, k, t), n in texts.items()]
+            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "layout", "page", "role", "kind", "text", "n"])
 
     return pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, shape)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, content: array of roles, fixed: array of "role text-hash" that belong to the template).
+    """(host, fixed: array of "role text-hash" that belong to the template of one of its layouts).
 
     Runs a job while it is called: the sums by token are kept in the shared checkpoint folder.
     """
     # One page's part of an occurrence vector's fingerprint; parts add up in any order.
     part = F.xxhash64("page", "n").cast("decimal(38,0)")
-    sums = tokens(pages).groupBy("host", "role", "kind", "text").agg(F.sum(part).alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
-    sums = checkpointed(sums.where(F.col("text").isNull() | (F.col("pages") >= LEAST_PAGES)))
-    sizes = sums.where("role is null").select("host", F.col("pages").alias("all"))
-    tags = sums.where("role is not null and text is null").drop("text")
-    # Classes: tokens of a host with one vector.  A class is valid if it covers enough pages.
-    classes = tags.groupBy("host", "vector").agg(F.max("pages").alias("support"), F.max("most").alias("times"))
-    classes = classes.join(sizes, "host").where(F.col("support") >= F.col("all") * SUPPORT)
-    valid = tags.join(classes.select("host", "vector", "times"), ["host", "vector"])
-    # A text on every page that its tag is on, as often as the tag: template.  Articles are left alone.
-    fixed = sums.where("text is not null").select("host", "role", "vector", "text").join(valid.select("host", "role", "vector"), ["host", "role", "vector"])
-    fixed = fixed.groupBy("host").agg(F.collect_set(F.concat_ws(" ", "role", "text")).alias("fixed"))
-    # The container of pages without an article: the deepest role of a class that is once on its pages, with most of the text.
-    slots = tags.where("kind = 1 and chars > 0").select("host", "role", "chars")
-    paths = F.expr("transform(sequence(2, greatest(2, size(split(role, '/')))), i -> array_join(slice(split(role, '/'), 1, i), '/'))")
-    over = slots.select("host", "chars", F.explode(paths).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("held"))
-    total = slots.groupBy("host").agg(F.sum("chars").alias("total"))
-    once = valid.where("times = 1").select("host", F.col("role").alias("path"))
-    over = over.join(once, ["host", "path"]).join(total, "host").where(F.col("held") >= F.col("total") * MOST_TEXT)
-    best = over.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), F.col("held"), F.col("path"))).alias("container"))
-    content = tags.where("kind = 1").join(best, "host", "left")
-    is_content = F.col("container").isNull() | (F.col("role") == F.col("container")) | F.col("role").startswith(F.concat("container", F.lit("/")))
-    content = content.where(is_content).groupBy("host").agg(F.collect_set("role").alias("content"))
-    return content.join(fixed, "host", "left")
+    sums = tokens(pages).groupBy("host", "layout", "role", "kind", "text").agg(F.sum(part).alias("vector"), F.count(F.lit(1)).alias("pages"))
+    sums = checkpointed(sums.where(F.col("pages") >= LEAST_PAGES))
+    sizes = sums.where("role is null").select("host", "layout", F.col("pages").alias("all"))
+    # Classes: tokens of a layout with one vector.  A class is valid if it holds a tag and covers enough pages.
+    classes = sums.where("role is not null and text is null").groupBy("host", "layout", "vector").agg(F.max("pages").alias("support"))
+    classes = classes.join(sizes, ["host", "layout"]).where(F.col("support") >= F.col("all") * SUPPORT)
+    # A text on every page that a class's tag is on, as often as the tag: template.
+    fixed = sums.where("text is not null").join(classes.select("host", "layout", "vector"), ["host", "layout", "vector"])
+    return fixed.groupBy("host").agg(F.collect_set(F.concat_ws(" ", "role", "text")).alias("fixed"))
 
 
 def with_template(parsed: DataFrame, t: DataFrame) -> DataFrame:
     """Pages with their host's template.  Templates of up to BROADCAST_BYTES are sent to all executors, so pages aren't
     shuffled; beyond that, both sides are dealt by host and one of SALTS parts, so a large host is many tasks' work."""
     chars = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
-    size = t.agg(F.sum(chars(F.col("content")) + chars(F.col("fixed")) + F.octet_length("host") + 64)).first()[0] or 0
-    t = t.select(F.col("host").alias("h"), "content", "fixed")
+    size = t.agg(F.sum(chars(F.col("fixed")) + F.octet_length("host") + 64)).first()[0] or 0
+    t = t.select(F.col("host").alias("h"), "fixed")
     if size <= BROADCAST_BYTES:
         return parsed.join(F.broadcast(t), F.col("host") == F.col("h"), "left")
     t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -226,11 +232,11 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     joined = with_template(parse(pages), checkpointed(templates(pages)))
-    # A page with an article is read by it; the container and the template's texts are for the others.
-    article = F.exists("blocks", lambda b: b["kind"] == 2)
+    # A page with an article is read by it.
+    kind = F.when(F.exists("blocks", lambda b: b["kind"] == 2), 2).otherwise(1)
     name = lambda b: F.concat_ws(" ", b["role"], F.substring(F.sha2(b["text"], 256), 1, 24))
-    known = lambda b: F.array_contains("content", b["role"]) & ~F.coalesce(F.array_contains("fixed", name(b)), F.lit(False))
-    keep = lambda b: F.when(article, b["kind"] == 2).otherwise((b["kind"] == 1) & F.coalesce(known(b), F.lit(False)))
-    text = F.array_join(F.transform(F.filter("blocks", keep), lambda b: b["text"]), " ")
+    joined = joined.withColumn("kind", kind).withColumn("blocks", F.filter("blocks", lambda b: b["kind"] == F.col("kind")))
+    joined = joined.withColumn("slots", F.when(F.col("fixed").isNull() | (F.col("kind") == 2), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("fixed", name(b)))))
+    text = F.array_join(F.transform(F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("blocks")), lambda b: b["text"]), " ")
     out = joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.coalesce(text, F.lit("")).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

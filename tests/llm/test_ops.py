@@ -329,6 +329,26 @@ def test_main_text_without_articles(spark, monkeypatch, most):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def main_text(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_main_text_keeps_all_layouts_and_slots(spark):
+    page = "<body><div class='top'>Site</div>%s</body>"
+    two = [(i, "http://two.example/", page % f"<div class='{'content' if i % 10 < 7 else 'story'}'><div class='hint'>{'Read on' if i % 10 < 7 else 'A story'}</div><p>Text of page {i}</p></div>") for i in range(20)]
+    lead = [(i, "http://lead.example/", page % f"<div class='lead'>Lead {i} has words</div><div class='content'><p>{f'Body {i} ' * 4}</p></div>") for i in range(20, 30)]
+    three = [(i, "http://three.example/", page % f"<div class='{'abc'[i % 3]}'>{'xyz'[i % 3]}<p>Text {i}</p></div>") for i in range(30, 48)]
+    same = [(i, f"http://same.example/{i}", page % "<div class='content'><p>One text in copies</p></div>") for i in range(50, 56)]
+    got = main_text(spark, two + lead + three + same)
+    for i in range(20):
+        assert got[i] == f"Text of page {i}"
+    for i in range(20, 30):
+        assert got[i] == f"Lead {i} has words " + " ".join([f"Body {i}"] * 4)
+    for i in range(30, 48):
+        assert got[i] == f"Text {i}"
+    assert all("One text in copies" in got[i] for i in range(50, 56))
+
+
 # ---- secrets
 
 
