@@ -8,7 +8,7 @@
    fingerprint, which combines before the shuffle.  Tokens of a layout with one
    fingerprint are an equivalence class; a class is valid if it holds a tag and
    enough of the layout's pages.
-3. Texts in valid classes are the template; what is left are
+3. Texts in valid classes are the template, inside articles too; what is left are
    slots.  Slots under menus, headers, footers and the like are no content.
 4. Pages keep the texts in all other slots: those in their article, if they have
    one.  A page of which nothing would be left (copies of one page look like a
@@ -55,8 +55,8 @@ BOILER = re.compile(
     re.I,
 )
 
-#: Elements that can be a layout's container.
-CONTAINERS = frozenset("html body main article section div".split())
+#: Elements that can be a layout's container, and headings, whose ids are anchors.
+CONTAINERS, HEADINGS = frozenset("html body main article section div".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of a page's text that its container holds, and of a layout's pages that a valid class covers.
 MOST_TEXT, SUPPORT = 0.6, 0.5
 #: Pages from which on a text can belong to the template.
@@ -65,6 +65,15 @@ LEAST_PAGES = 5
 BROADCAST_BYTES, SALTS = 16 << 20, 64
 
 
+def is_boiler(element: str, named: dict, kind: int) -> bool:
+    """Whether names tell that an element isn't the article: any part of them outside articles, whole classes and roles inside."""
+    if element in HEADINGS or element in ("html", "body", *ARTICLE):
+        return False
+    if kind == 2:
+        return any(BOILER.fullmatch(x) for x in f"{named.get('class') or ''} {named.get('role') or ''}".split())
+    return bool(BOILER.search(" ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))))
+
+
 def layout(opened: dict) -> str:
     """The deepest container that a page opens once and that holds MOST_TEXT of its text, of {(role, kind): (times, chars)}."""
     kind = 2 if any(k == 2 and c for (_, k), (_, c) in opened.items()) else 1
@@ -139,9 +148,8 @@ def blocks(page: str):
             if stack[k][0] in SCOPE:
                 break
         named = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-        marks = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
         path, kind = stack[-1][1:] if stack else ("", 1)
-        if name in NOT_CONTENT or (name == "header" and kind != 2) or (name not in ("html", "body", *ARTICLE) and BOILER.search(marks)) or "hidden" in named:
+        if name in NOT_CONTENT or (name == "header" and kind != 2) or is_boiler(name, named, kind) or "hidden" in named:
             kind = 0
         elif kind == 1 and (name in ARTICLE or named.get("role") == "main"):
             kind = 2
@@ -168,7 +176,7 @@ def parse(pages: DataFrame) -> DataFrame:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """(host, layout, page, role, kind, text, n): for each page a row without a role, one for each role with how often it
-    is opened, and one for each text of a role (as its hash) outside articles."""
+    is opened, and one for each text of a role (as its hash) that names don't exclude."""
     shape = "host string, layout string, page long, role string, kind int, text string, n int"
 
     def run(batches):
@@ -182,7 +190,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                     opened[role][0] += 1
                 for r, k, t in found:
                     opened.setdefault((r, k), [1, 0])[1] += len(t)
-                    if k == 1:
+                    if k:
                         key = (r, k, hashlib.sha256(t.encode()).hexdigest()[:24])
                         texts[key] = texts.get(key, 0) + 1
                 of = layout(opened)
@@ -235,8 +243,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     # A page with an article is read by it.
     kind = F.when(F.exists("blocks", lambda b: b["kind"] == 2), 2).otherwise(1)
     name = lambda b: F.concat_ws(" ", b["role"], F.substring(F.sha2(b["text"], 256), 1, 24))
-    joined = joined.withColumn("kind", kind).withColumn("blocks", F.filter("blocks", lambda b: b["kind"] == F.col("kind")))
-    joined = joined.withColumn("slots", F.when(F.col("fixed").isNull() | (F.col("kind") == 2), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("fixed", name(b)))))
+    joined = joined.withColumn("blocks", F.filter("blocks", lambda b: b["kind"] == kind))
+    joined = joined.withColumn("slots", F.when(F.col("fixed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("fixed", name(b)))))
     text = F.array_join(F.transform(F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("blocks")), lambda b: b["text"]), " ")
     out = joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.coalesce(text, F.lit("")).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

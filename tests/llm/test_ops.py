@@ -349,6 +349,13 @@ def test_main_text_keeps_all_layouts_and_slots(spark):
     assert all("One text in copies" in got[i] for i in range(50, 56))
 
 
+def test_classes_judge_articles_too(spark):
+    inner = "<h1 id='search-algorithms'>Head {0}</h1><div class='x1'>Buy a boat now</div><p>Body {0}.</p><p>Written by us all.</p><section id='related-work' class='cookie-recipes'><p>Others in {0}.</p></section><div class='share'>Send {0}</div>"
+    got = main_text(spark, [(i, f"http://a.example/{i}", f"<body><article>{inner.format(i)}</article></body>") for i in range(8)])
+    for i in range(8):
+        assert got[i] == f"Head {i} Body {i}. Others in {i}."
+
+
 # ---- secrets
 
 
