@@ -1,24 +1,31 @@
 """License scans with DataFrame functions only: TF-IDF cosine to templates, then inheritance along paths.
 
-1. A file's header lines are its lines with a licence word, wherever they stand.
-2. Lines and templates are sparse TF-IDF vectors of their words, with document
-   frequencies over all header lines and templates; a line has the licence of the
-   template with the greatest cosine, if that is LEAST or more.
-3. A file's own licence is that of its best line.  A file whose words are to
-   MOSTLY per cent in licence lines, or whose name says so, is a licence file of
-   its directory.
+1. A file's header units are its lines, sentences, paragraphs and blocks with a
+   licence word, wherever they stand, and the whole text of what looks like a
+   licence file.  A block ends at a blank line, or where comments begin or end; a
+   paragraph at an empty comment line too.
+2. Units and templates are sparse TF-IDF vectors of their words, with document
+   frequencies over all units and templates.  Lines and sentences are held against
+   statements, the others against notices and full texts; a unit has the licence
+   of the template with the greatest cosine, if that is LEAST or LEAST_LONG or more.
+   An SPDX identifier is taken as it is declared.
+3. A file's own licence is that of its best unit.  A file whose words are to
+   MOSTLY per cent in licence units of one kind, or whose name says so, is a
+   licence file of its directory.
 4. A file without a licence inherits that of its nearest ancestor directory which
    has a licence file, found by joining its ancestors to the directories.
 
 Defined cases: null and empty texts have no header; a null path is a file without
-a directory; equal cosines go to the first template by name, then the first line;
+a directory; equal cosines go to lines before longer units, then to the first unit and template by name;
 of several licence files in a directory the best match counts, then the first
 path; repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from importlib import resources
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.text import WORD, require
@@ -42,18 +49,65 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain, Unlicense."),
 )
 
-#: Words that make a line a header line.
-KEYS = r"(?i)(licen[sc]e|licensed|copyright|creative commons|public domain|spdx)"
+GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+GNU_ONLY = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License version {2} as published by the Free Software Foundation."
+GNU_MORE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} Public License for more details. You should have received a copy of the GNU {1} Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+APACHE_MORE = " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+NOTICE = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+GNU_KINDS = (("GPL-2.0", "program", "General", "2"), ("GPL-3.0", "program", "General", "3"), ("LGPL-2.1", "library", "Lesser General", "2.1"), ("LGPL-3.0", "library", "Lesser General", "3"), ("AGPL-3.0", "program", "Affero General", "3"))
+#: Notices and full texts by SPDX name, besides those in licence_texts.  Fixed values.
+NOTICES = (
+    ("Apache-2.0", APACHE), ("Apache-2.0", APACHE + APACHE_MORE),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0" + APACHE[47:] + APACHE_MORE),
+    ("BSD-2-Clause", BSD), ("BSD-2-Clause", BSD + BSD_AS_IS), ("BSD-3-Clause", BSD + BSD_NAMES), ("BSD-3-Clause", BSD + BSD_NAMES + BSD_AS_IS), ("ISC", ISC), ("ISC", ISC + ISC_AS_IS),
+    ("MIT", GRANT), ("MIT", GRANT + NOTICE), ("MIT", "MIT License " + GRANT + NOTICE + AS_IS), ("Unlicense", UNLICENSE), ("Unlicense", UNLICENSE + " " + AS_IS),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((name, text.format(*of)) for name, *of in GNU_KINDS for text in (GNU, GNU_ONLY, f"{GNU} {GNU_MORE}", f"{GNU_ONLY} {GNU_MORE}")),
+)
+FULL = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+NAMES = tuple(sorted({name for name, _ in TEMPLATES + NOTICES}))
+
+#: Words that make a line, or a longer unit, a header.
+KEYS = r"(?i)(licen[sc]e|licensed|copyright|creative commons|public domain|spdx|permission is hereby granted|redistribution and use|free software|general public)"
+#: A declared identifier, what of it is left out, and what is none.
+SPDX, SPDX_ENDS, SPDX_NONE = r"(?i)spdx-license-identifier:?[ \t]*\(?([a-z0-9][a-z0-9.+-]*)", r"(?i)(-only|-or-later|\+)$", r"(?i)^(none|noassertion)?$"
+#: What comment lines begin with.
+MARK = r"[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--)"
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
-#: Cosine that a line needs, and words of a licence file in licence lines, in per cent.
+#: Cosine that a line needs, and words of a licence file in licence units, in per cent.
 LEAST, MOSTLY = 0.6, 20
+#: Cosine that paragraphs, blocks and whole texts need: their common words make any two alike.
+LEAST_LONG = 0.8
+#: Terms up to which their weights are sent to the units; beyond, units' terms are shuffled to them.
+BROADCAST_TERMS = 200_000
+#: Kinds of units; the first two are short.
+LINE, SENTENCE, PARAGRAPH, BLOCK, WHOLE = range(5)
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 
 
-def header_lines(files: DataFrame) -> DataFrame:
-    """(path, text_id, line_no, line) of (path, text): each text's lines with a licence word."""
-    texts = files.where(F.col("text").rlike(KEYS)).select("path", F.xxhash64("path", "text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return texts.where(F.col("line").rlike(KEYS)).distinct()
+def header_units(files: DataFrame) -> DataFrame:
+    """(path, text_id, scope, line_no, line) of (path, text): each text's units with a licence word, numbered by kind."""
+    texts = files.where(F.col("text").rlike(KEYS)).select("path", F.xxhash64("path", "text").alias("text_id"), F.regexp_replace("text", "\r", "").alias("text"))
+    # Blank lines where comments end and begin.
+    cut = F.regexp_replace(F.regexp_replace("text", rf"(?m)^({MARK}[^\n]*)\n(?!{MARK})", "$1\n\n"), rf"(?m)^(?!{MARK})([^\n]+)\n(?={MARK})", "$1\n\n")
+    texts = texts.withColumn("cut", cut).withColumns({"blocks": F.split("cut", r"\n(?:[ \t]*\n)+"), "paragraphs": F.split("cut", rf"\n(?:(?:{MARK})?[ \t]*\n)+")})
+    joined = F.transform("paragraphs", lambda p: F.regexp_replace(p, rf"\n(?:{MARK})?[ \t]*", " "))
+    sentences = F.flatten(F.transform(joined, lambda p: F.split(p, r"(?<=[.!?;])[ \t]+")))
+    keyed = lambda scope, c: F.filter(F.transform(c, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.cast("int").alias("line_no"), x.alias("line"))), lambda u: u["line"].rlike(KEYS))
+    texts = texts.withColumns({"long": keyed(PARAGRAPH, F.col("paragraphs")), "lines": keyed(LINE, F.split("text", "\n"))})
+    mostly = F.aggregate("long", F.lit(0).cast("long"), lambda n, u: n + F.length(u["line"])) * 100 >= F.length("text") * MOSTLY
+    whole = F.when(mostly | F.coalesce(F.col("path").rlike(NAMED), F.lit(False)), keyed(WHOLE, F.array("text"))).otherwise(keyed(WHOLE, F.array().cast("array<string>")))
+    units = F.concat("lines", keyed(SENTENCE, sentences), "long", keyed(BLOCK, F.array_except("blocks", "paragraphs")), whole)
+    return texts.select("path", "text_id", F.explode(units).alias("u")).select("path", "text_id", "u.*").distinct()
 
 
 def _terms(lines: DataFrame, *ids: str) -> DataFrame:
@@ -61,39 +115,67 @@ def _terms(lines: DataFrame, *ids: str) -> DataFrame:
     return lines.select(*ids, words.alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def matches(lines: DataFrame) -> DataFrame:
-    """(text_id, line_no, licence, cosine): the best template of each header line whose cosine is LEAST or more."""
-    spark = SparkSession.active()
-    values = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
-    given = spark.sql(f"SELECT * FROM VALUES {values} AS t(name, line)")
-    mine, theirs = _terms(lines, "text_id", "line_no"), _terms(given, "name")
-    # Counted by term over distinct lines; combined before the shuffle.
-    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("n")).unionByName(theirs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
-    total = lines.count() + len(TEMPLATES)
-    idf = df.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    weigh = lambda t, *ids: t.join(idf, "term").select(*ids, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    a, b = weigh(mine, "text_id", "line_no"), weigh(theirs, "name")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    na, nb = a.groupBy("text_id", "line_no").agg(norm.alias("na")), b.groupBy("name").agg(norm.alias("nb"))
-    # Templates are a fixed list of some dozens of words; only terms that a line shares with one get through.
-    dots = a.join(b.select("name", "term", F.col("w").alias("v")), "term").groupBy("text_id", "line_no", "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(nb, "name").join(na, ["text_id", "line_no"]).select("text_id", "line_no", "name", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
-    best = scored.where(F.col("cosine") >= LEAST).groupBy("text_id", "line_no").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("b"))
-    return best.select("text_id", "line_no", F.col("b.name").alias("licence"), (-F.col("b.c")).alias("cosine"))
+def given_templates(spark: SparkSession) -> DataFrame:
+    """(template, name, short, line)"""
+    folder = resources.files("kelpline.llm").joinpath("licence_texts")
+    titled = [(name, f"License: {name}") for name in NAMES]
+    full = [(name, folder.joinpath(f"{name}.txt").read_text(encoding="utf-8")) for name in FULL]
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = [(name, True, text) for name, text in (*TEMPLATES, *titled)] + [(name, False, text) for name, text in (*NOTICES, *full)]
+    values = ", ".join(f"({i}, {quoted(name)}, {str(short).lower()}, {quoted(text)})" for i, (name, short, text) in enumerate(rows))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, name, short, line)")
+
+
+def matches(units: DataFrame) -> DataFrame:
+    """(text_id, scope, line_no, licence, cosine): the best template of each unit whose cosine is high enough."""
+    given = given_templates(SparkSession.active())
+    unit, template = ("text_id", "scope", "line_no"), ("template", "name", "short")
+    # Dealt by text, so that nothing that is grouped by unit is shuffled again.
+    mine, theirs = _terms(units.repartition("text_id"), *unit), checkpointed(_terms(given, *template))
+    # Counted by term over distinct units; combined before the shuffle.
+    count = lambda t, c: t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max(c).alias("given"))
+    df = count(mine, F.lit(False)).unionByName(count(theirs, F.lit(True))).groupBy("term").agg(F.sum("n").alias("df"), F.max("given").alias("given"))
+    total = units.count() + theirs.select("template").distinct().count()
+    idf = checkpointed(df.select("term", "given", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
+    weigh = lambda t, *ids: t.join(idf, "term").select(*ids, "term", "given", (F.col("tf") * F.col("idf")).alias("w"))
+    a, b = weigh(mine, *unit), weigh(theirs, *template)
+    square = F.col("w") * F.col("w")
+    b = checkpointed(b.drop("given").join(b.groupBy("template").agg(F.sqrt(F.sum(square)).alias("nb")), "template"))
+    # A cosine is at most the part of a unit's length that lies in terms of templates: other units are left out.
+    a = a.groupBy(*unit).agg(F.sqrt(F.sum(square)).alias("na"), F.sqrt(F.sum(F.when(F.col("given"), square))).alias("part"), F.collect_list(F.when(F.col("given"), F.struct("term", "w"))).alias("terms"))
+    need = F.when(F.col("scope") <= SENTENCE, LEAST).otherwise(LEAST_LONG)
+    a = a.where(F.col("part") >= F.col("na") * (need - 1e-5)).select(*unit, "na", (F.col("scope") <= SENTENCE).alias("short"), F.explode("terms").alias("t")).select(*unit, "na", "short", "t.*")
+    # Templates are a fixed list of some thousands of terms.
+    dots = a.join(F.broadcast(b.select(*template, "nb", "term", F.col("w").alias("v"))), ["short", "term"]).groupBy(*unit, "template", "name", "na", "nb").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.select(*unit, "name", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+    enough = F.col("cosine") >= need
+    best = scored.where(enough).groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("b"))
+    return best.select(*unit, F.col("b.name").alias("licence"), (-F.col("b.c")).alias("cosine"))
+
+
+def declared(line) -> Column:
+    """The SPDX identifier that a line declares, or null; of an expression the first."""
+    name = F.regexp_replace(F.regexp_extract(line, SPDX, 1), SPDX_ENDS, "")
+    known = F.element_at(F.create_map(*[F.lit(x) for n in NAMES for x in (n.lower(), n)]), F.lower(name))
+    return F.when(~name.rlike(SPDX_NONE), F.coalesce(known, name))
 
 
 def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., path, own_licence, cosine, is_licence_file, licence, origin) for each row; origin is header, directory or
     none.  ``licence`` is the own or inherited one.
 
-    Runs jobs while it is called: header lines, and files without their texts, are kept in the shared checkpoint folder.
+    Runs jobs while it is called: header units, and files without their texts, are kept in the shared checkpoint folder.
     """
     require(df, path_col, text_col, *keep)
     src = df.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lines = checkpointed(header_lines(src.select("path", "text")))
-    found = lines.join(matches(lines.select("text_id", "line_no", "line")), ["text_id", "line_no"])
+    units = checkpointed(header_units(src.select("path", "text")))
+    found = units.join(matches(units.select("text_id", "scope", "line_no", "line")), ["text_id", "scope", "line_no"], "left")
+    spdx = F.when(F.col("scope") == LINE, declared(F.col("line")))
+    found = found.withColumns({"licence": F.coalesce(spdx, "licence"), "cosine": F.when(spdx.isNotNull(), 1.0).otherwise(F.col("cosine"))}).where("licence is not null")
     n = lambda c: F.regexp_count(c, F.lit(WORD))
-    own = found.groupBy("text_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("line_no"), F.col("licence"))).alias("b"), F.sum(n(F.col("line"))).alias("licence_words"))
+    own = found.groupBy("text_id", "scope").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("scope"), F.col("line_no"), F.col("licence"))).alias("b"), F.sum(n(F.col("line"))).alias("licence_words"))
+    own = own.groupBy("text_id").agg(F.min("b").alias("b"), F.max("licence_words").alias("licence_words"))
     files = src.select("*", F.xxhash64("path", "text").alias("id"), n(F.coalesce("text", F.lit(""))).alias("n_words")).drop("text")
     files = files.join(own, F.col("id") == F.col("text_id"), "left").withColumns({"own_licence": F.col("b.licence"), "cosine": -F.col("b.c")})
     is_file = F.col("own_licence").isNotNull() & (F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col("licence_words") * 100 >= F.col("n_words") * MOSTLY))

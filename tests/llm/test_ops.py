@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import public_tokenizers as P
@@ -159,6 +160,22 @@ def test_licences(spark, docs):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_of_real_headers_and_files(spark):
+    full = {name: resources.files("kelpline.llm").joinpath(f"licence_texts/{name}.txt").read_text() for name in ("GPL-2.0", "GPL-3.0", "Apache-2.0", "MPL-2.0")}
+    code = "\nint main() { return 0; }\n" + "int value; " * 400
+    gnu = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version %d of the License, or\n * (at your option) any later version.\n"
+    mit = "Copyright (c) 2020 Some Body\n\n" + licenses.GRANT + "\n\n" + licenses.NOTICE.strip() + "\n\n" + licenses.AS_IS + "\n"
+    files = [
+        ("s/a.c", "// SPDX-License-Identifier: MIT" + code, "MIT"), ("s/b.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code, "GPL-2.0"), ("s/c.py", "# License: Apache-2.0" + code, "Apache-2.0"),
+        ("g/a.c", "/*\n * A tool.\n *\n" + gnu % 3 + " */" + code, "GPL-3.0"), ("g/b.c", "/*\n" + gnu % 2 + " */" + code, "GPL-2.0"), ("m/LICENSE", mit, "MIT"), ("m/x.c", code, "MIT"),
+        ("l/d.txt", "Some words come first. " * 30 + "Released under the MIT License. " + "Other words follow. " * 30, "MIT"), ("p/e.txt", "The copyright of the novel and the licence of the play were sold to the house of the family in the town. " * 40, None),
+        ("b/f.c", "/*\n * " + "\n * ".join((licenses.BSD + licenses.BSD_NAMES + licenses.BSD_AS_IS).split(". ")) + "\n */" + code, "BSD-3-Clause"), *((f"f/{name}/COPYING", text, name) for name, text in full.items()),
+    ]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert {p: got[p].licence for p, _, _ in files} == {p: want for p, _, want in files}
+    assert got["m/LICENSE"].is_licence_file and got["m/x.c"].origin == "directory" and all(got[f"f/{name}/COPYING"].is_licence_file for name in full)
+
+
 # ---- mixing
 
 
