@@ -62,7 +62,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def lay_out(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Rows (doc_id, source, size, tie, start): where each document's words start on its source's line."""
+    """Rows (doc_id, source, size, tie, start, copy): where each document's words start on its source's line, and a number that
+    tells equal rows apart, also those without words."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
     docs = docs.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "tie"))
     # Ranges of the key's upper bits, as many as the source's documents ask for; each is small however large the source.
@@ -76,10 +77,10 @@ def lay_out(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     ranges = docs.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie")
+    docs = docs.withColumns({"start": F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "copy": F.row_number().over(within)})
     docs = docs.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    return docs.select("doc_id", "source", "size", "tie", (F.col("start") + F.col("base")).alias("start"))
+    return docs.select("doc_id", "source", "size", "tie", (F.col("start") + F.col("base")).alias("start"), "copy")
 
 
 def split_path(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +165,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
     taken = F.col("shard").isNotNull() & (F.col("to") > F.col("from"))
     some = lambda c: F.when(taken, c)
     return got.select(
-        "doc_id", "tie", "source", "size", "source_size", "target", "start",
+        "doc_id", "tie", "source", "size", "source_size", "target", "start", "copy",
         some(F.col("shard")).alias("shard"), some(F.col("p")).alias("pass"), some(F.col("turn")).alias("turn"),
         some(F.col("from") - F.col("start")).alias("first"), F.coalesce(some(F.col("to") - F.col("from")), F.lit(0)).alias("words"),
     )
@@ -172,4 +173,4 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
 
 def taken(mixed: DataFrame) -> DataFrame:
     """One row a document: doc_id, tie, start, source, size, source_size, target, taken (words, repeats counted)."""
-    return mixed.groupBy("doc_id", "tie", "source", "start").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("words").alias("taken"))
+    return mixed.groupBy("doc_id", "tie", "source", "start", "copy").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("words").alias("taken"))

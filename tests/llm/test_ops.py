@@ -233,6 +233,11 @@ def test_mix_takes_odd_rows(odd):
     assert mixing.taken(mixing.mix(odd.limit(0))).count() == 0
 
 
+def test_mix_keeps_repeated_empty_rows(odd):
+    more = odd.unionByName(odd.where("doc_id <= 3")).unionByName(odd.where("doc_id <= 3"))
+    assert mixing.taken(mixing.mix(more)).count() == more.count()
+
+
 # ---- quality
 
 
