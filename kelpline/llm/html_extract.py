@@ -1,250 +1,379 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-1. Each page is cut into tags and texts.  A tag's role is its path of block
-   elements with their classes; a text belongs to the role that holds it.
-2. A page's layout is the deepest container that it opens once and that holds most
-   of its own text.  For each layout of a host and role, or role and text, the
-   occurrence vector (how often it occurs on each page) is summed up as a
-   fingerprint, which combines before the shuffle.  Tokens of a layout with one
-   fingerprint are an equivalence class; a class is valid if it holds a tag and
-   enough of the layout's pages.
-3. Texts in valid classes are the template, inside articles too; what is left are
-   slots.  Slots under menus, headers, footers and the like are no content.
-4. Pages keep the texts in all other slots: those in their article, if they have
-   one.  A page of which nothing would be left (copies of one page look like a
-   template) keeps its texts.
-
-No host is gathered in a task: tables by host hold a row a role, and templates go
-to pages by a join whose smaller side is measured first.
-
-Defined cases: a null or empty page has no text; a page whose url has no host
-shares the host ''; unclosed and misplaced tags are read as browsers do, roughly.
+1. Each page is read as a tree of block elements.  A node's role is the hash of its
+   path of elements, with classes, ids or places; a text belongs to the role that holds it.
+2. For each host and tag, or text of a role, the occurrence vector (how often it
+   occurs on each page) is summed up as a fingerprint, which combines before the
+   shuffle.  Tokens of a host with one fingerprint are an equivalence class; a class
+   is valid if it holds a tag and enough of the host's pages.
+3. Valid classes nest as their tags do and are the host's template: its texts are
+   fixed, its tags are nodes with the measures of the slots below them: their share
+   of a page's text, their unlinked characters a page, their links.
+4. On each page the template is walked from the root into the node that holds most of
+   its host's text, as long as one does.  All slots there are content, whatever their
+   share of this page; a slot beside that way is content if it holds as much as
+   LEAST_SHARE of the main slot and isn't mostly links.  Fixed texts go.
+5. Names only support this: elements that HTML marks as no content (nav, footer, aside,
+   forms and the like) are left out, and so are containers named as menus, adverts or
+   comments: beside the main slot by any part of a class, id or role, inside it by
+   whole ones; paragraphs, lists and headings are never judged by names.
+
+Pages of a host with too few pages share one template, deduced over the tags of all
+hosts.  A page of which fixed texts leave nothing (copies of one page look like a
+template) keeps them.  If there are fewer pages than LEAST_PAGES in all, nothing is
+known of templates, and only what HTML marks as no content goes.
+
+No host is gathered in a task: a host's table holds a row a token that at least
+SUPPORT of its pages have, so it is bounded by a page's size divided by SUPPORT.
+Reading takes time in proportion to a page's length, however broken it is.
+
+Defined cases: a null or empty page has no text; a page whose url has no host shares
+the host ''; unclosed and misplaced tags are read as browsers do, roughly; an element
+such as video or select that isn't closed anywhere is taken as empty.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+import struct
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.text import require, slices
 from kelpline.plans.checkpoints import checkpointed
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# No alternative can go back over what it has read, and none reads past a "<" before it has matched.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|(?<![a-zA-Z-])(hidden)(?![a-zA-Z-])""")
+UNSEEN, DIGITS = re.compile(r"display\s*+:\s*+none", re.I), re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't end a block of text.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg math textarea title head select option canvas audio video".split())
-TEXTUAL = frozenset("script style textarea title".split())  # their content has no tags
+#: Elements whose content is no text of the page; that of the first has no tags, the head's ends before other elements.
+UNTAGGED = frozenset("script style textarea title".split())
+RAW = frozenset("noscript template iframe object svg math head select canvas audio video".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 NOT_CONTENT = frozenset("nav footer aside form button menu dialog fieldset".split())
-ARTICLE = frozenset("article main".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")} | {k: ("p",) for k in "div section article aside nav header footer main ul ol dl table form h1 h2 h3 h4 h5 h6 blockquote pre figure hr fieldset".split()}
 #: Elements that a p or li can't close through.
 SCOPE = frozenset("html body div section article aside nav header footer main ul ol dl table td th form blockquote figure".split())
-#: Words in class, id and role attributes that mark what isn't the article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|toolbar|topbar|header|masthead|footer|foot|copyright|legal|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|widget|complementary|contentinfo|navigation)(?:$|[\s_-])",
-    re.I,
-)
-
-#: Elements that can be a layout's container, and headings, whose ids are anchors.
-CONTAINERS, HEADINGS = frozenset("html body main article section div".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Share of a page's text that its container holds, and of a layout's pages that a valid class covers.
-MOST_TEXT, SUPPORT = 0.6, 0.5
-#: Pages from which on a text can belong to the template.
-LEAST_PAGES = 5
+#: Containers without a name that are told apart by their place.
+PLACED = frozenset("div section table td".split())
+#: Containers whose names are looked at.
+NAMED = frozenset("div section aside header ul ol dl table".split())
+WORDS = r"(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|toolbar|topbar|header|masthead|footer|foot|copyright|legal|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|widget|complementary|contentinfo|navigation)"
+PART, WHOLE_NAME = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I), re.compile(WORDS, re.I)
+
+#: What an element itself tells: no content by HTML; a header, which is content inside the main slot; a part of a name; a whole one.
+NO_CONTENT, HEADER, NAME_PART, NAME = 1, 2, 4, 8
+#: Share of its host's text that a node must hold to be walked into; of the main slot's text that another slot must hold.
+MOST_TEXT, LEAST_SHARE = 0.6, 0.1
+#: Share of a slot's text in links up to which it is content.
+MOST_LINKS = 0.5
+#: Pages, and share of a host's pages, that a valid class covers.
+LEAST_PAGES, SUPPORT = 5, 0.1
 #: Size of all templates up to which they are broadcast, and parts of a host beyond.
 BROADCAST_BYTES, SALTS = 16 << 20, 64
 
+#: Whether it is a text, role, text, share, characters.
+ENTRY = "<Bqqff"
 
-def is_boiler(element: str, named: dict, kind: int) -> bool:
-    """Whether names tell that an element isn't the article: any part of them outside articles, whole classes and roles inside."""
-    if element in HEADINGS or element in ("html", "body", *ARTICLE):
-        return False
-    if kind == 2:
-        return any(BOILER.fullmatch(x) for x in f"{named.get('class') or ''} {named.get('role') or ''}".split())
-    return bool(BOILER.search(" ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))))
 
+@lru_cache(maxsize=1 << 16)
+def role_of(parent: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label, parent) >> 1
 
-def layout(opened: dict) -> str:
-    """The deepest container that a page opens once and that holds MOST_TEXT of its text, of {(role, kind): (times, chars)}."""
-    kind = 2 if any(k == 2 and c for (_, k), (_, c) in opened.items()) else 1
-    held, times, total = {}, {}, 0
-    for (role, k), (n, chars) in opened.items():
-        times[role] = times.get(role, 0) + n
-        if k == kind and chars:
-            total += chars
-            parts = role.split("/")
-            for i in range(2, len(parts) + 1):
-                path = "/".join(parts[:i])
-                held[path] = held.get(path, 0) + chars
-    fit = [r for r, c in held.items() if c >= total * MOST_TEXT and times.get(r) == 1 and r.rsplit("/", 1)[1].split(".")[0] in CONTAINERS]
-    return max(fit, key=lambda r: (r.count("/"), r), default="")
 
+def judged(element: str, named: dict) -> int:
+    """The flags of an element."""
+    if element in NOT_CONTENT or "hidden" in named or UNSEEN.search(named.get("style") or ""):
+        return NO_CONTENT
+    flags = HEADER if element == "header" else 0
+    if element in NAMED and named:
+        names = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
+        if names and PART.search(names):
+            whole = f"{named.get('class') or ''} {named.get('role') or ''}".split()
+            flags |= NAME_PART | (NAME if any(WHOLE_NAME.fullmatch(x) for x in whole) else 0)
+    return flags
 
-def blocks(page: str):
-    """(role, kind, text) of each block with text, and the roles of all block elements opened.
 
-    kind: 0 no content by name, 1 content if its container is, 2 in an article.
-    """
-    stack: list[tuple[str, str, int]] = []  # element, path, kind
-    found, roles, open_text = [], [], []
-    skip = 0
+def read(page: str):
+    """(nodes, texts): nodes as (parent, role, flags), the root first; texts as (node, text, characters in links)."""
+    nodes: list[tuple[int, int, int]] = [(-1, 0, 0)]
+    stack: list[tuple[str, int]] = []  # element, node; -1 where nothing is seen
+    opened: dict[str, int] = {}
+    ends: dict[str, int] = {}
+    places: dict[tuple[int, str], int] = {}
+    texts: list[tuple[int, str, int]] = []
+    parts: list[str] = []
+    linked, in_link = 0, False
 
     def flush():
-        if open_text:
-            text = " ".join(html.unescape("".join(open_text)).split())
-            open_text.clear()
+        nonlocal linked
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            parts.clear()
             if text:
-                path, kind = stack[-1][1:] if stack else ("", 1)
-                found.append((path, kind, text))
+                texts.append((stack[-1][1] if stack else 0, text, min(linked, len(text))))
+        linked = 0
+
+    def close(to: int):
+        for element, _ in stack[to:]:
+            opened[element] -= 1
+        del stack[to:]
 
-    at, n = 0, len(page)
+    at, n, match = 0, len(page), TOKEN.match
     while at < n:
-        m = TOKEN.match(page, at)
+        m = match(page, at)
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if not skip and page[m.start() : m.start() + 2] not in ("<!", "<?"):
-                open_text.append(m[0])
-            continue
-        closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if name in RAW:
-            if name in TEXTUAL and not closing:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-            elif not attrs.endswith("/"):
-                skip = max(0, skip + (-1 if closing else 1))
-            if name != "head":
-                open_text.append("" if name in INLINE else " ")
-            continue
-        if name == "body" and not closing:
-            skip = 0  # whatever the head left open
-        if skip:
+        name = m[2] or m[5]
+        if name is None:
+            if page.startswith(("<!", "<?"), m.start()):
+                continue
+            if not stack or stack[-1][1] >= 0:
+                s = m[0]
+                parts.append(s)
+                if in_link:
+                    linked += len(s)
             continue
+        name = name.lower()
+        closing = (m[1] or m[4]) == "/"
         if name in INLINE:
+            if name == "a":
+                in_link = not closing
             continue
-        flush()
         if name in VOID:
+            flush()
+            continue
+        if name in UNTAGGED:
+            if not closing:
+                end = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
+                at = end.end() if end else n
+            parts.append(" ")
             continue
+        flush()
+        in_link = False
         if closing:
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
+            continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        attrs = m[3] or m[6] or ""
+        if name in RAW:
+            if name not in ends:
+                ends[name] = max((x.start() for x in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
+            if (name == "head" or ends[name] >= at) and not attrs.endswith("/"):
+                stack.append((name, -1))
+                opened[name] = opened.get(name, 0) + 1
+            continue
+        if stack and stack[-1][1] < 0:
+            continue
+        gone = CLOSES.get(name, ())
+        if any(opened.get(x) for x in gone):
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+                if stack[k][0] in gone:
+                    close(k)
                     break
-            continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
-        named = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-        path, kind = stack[-1][1:] if stack else ("", 1)
-        if name in NOT_CONTENT or (name == "header" and kind != 2) or is_boiler(name, named, kind) or "hidden" in named:
-            kind = 0
-        elif kind == 1 and (name in ARTICLE or named.get("role") == "main"):
-            kind = 2
-        signature = re.sub(r"\d+", "0", named.get("class") or "").replace("/", "|")
-        path = f"{path}/{name}" + (f".{'.'.join(signature.split())}" if signature else "")
-        stack.append((name, path, kind))
-        roles.append((path, kind))
+                if stack[k][0] in SCOPE:
+                    break
+        named = {(a or e).lower(): b or c or d for a, b, c, d, e in ATTRIBUTE.findall(attrs)} if attrs and not attrs.isspace() else {}
+        parent = stack[-1][1] if stack else 0
+        # Of its kind by class or id; without them containers are told apart by their place among their like.
+        label = name
+        if kind := named.get("class") or named.get("id"):
+            label = f"{name}.{'.'.join(DIGITS.sub('0', kind).split())}"
+        elif name in PLACED:
+            places[parent, name] = place = places.get((parent, name), 0) + 1
+            label = f"{name}#{place}"
+        nodes.append((parent, role_of(nodes[parent][1], label), judged(name, named)))
+        stack.append((name, len(nodes) - 1))
+        opened[name] = opened.get(name, 0) + 1
     flush()
-    return found, roles
+    return nodes, texts
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks: array<struct<role,kind,text>>) of (page_id, url, html, host)"""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    of_block = pa.list_(pa.struct([("role", pa.string()), ("kind", pa.int32()), ("text", pa.string())]))
-
-    def run(batches):
-        for batch in slices(batches, "html"):
-            texts = [[{"role": r, "kind": k, "text": t} for r, k, t in blocks(page or "")[0]] for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(texts, of_block)], ["page_id", "url", "host", "blocks"])
-
-    return pages.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<role:string,kind:int,text:string>>")
+def text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, layout, page, role, kind, text, n): for each page a row without a role, one for each role with how often it
-    is opened, and one for each text of a role (as its hash) that names don't exclude."""
-    shape = "host string, layout string, page long, role string, kind int, text string, n int"
+    """(host, page, role, text, n, chars, links, total): for each page a row without a role; one for each role with how often
+    it opens, its unlinked and linked characters and those of the page; one for each text of a role, as its hash.  Rows of
+    tags come once more with a null host, for the template of all."""
+    shape = "host string, page long, role long, text long, n long, chars long, links long, total long"
 
     def run(batches):
         for batch in slices(batches, "html"):
             rows = []
             for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                found, seen = blocks(source or "")
-                opened: dict = {r: [0, 0] for r in seen}
-                texts: dict = {}
-                for role in seen:
-                    opened[role][0] += 1
-                for r, k, t in found:
-                    opened.setdefault((r, k), [1, 0])[1] += len(t)
-                    if k:
-                        key = (r, k, hashlib.sha256(t.encode()).hexdigest()[:24])
-                        texts[key] = texts.get(key, 0) + 1
-                of = layout(opened)
-                rows.append((host, of, page, None, None, None, 1))
-                rows += [(host, of, page, r, k, None, n) for (r, k), (n, _) in opened.items()]
-                rows += [(host, of, page, r, k, t, n) for (r, k, t), n in texts.items()]
-            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "layout", "page", "role", "kind", "text", "n"])
+                nodes, texts = read(source or "")
+                below = [[0, 0] for _ in nodes]
+                of_text: dict = {}
+                for i, t, links in texts:
+                    below[i][0] += len(t) - links
+                    below[i][1] += links
+                    key = (nodes[i][1], text_hash(t))
+                    of_text[key] = of_text.get(key, 0) + 1
+                roles: dict = {}
+                for i in range(len(nodes) - 1, 0, -1):
+                    parent, role, flags = nodes[i]
+                    chars, links = below[i]
+                    r = roles.setdefault(role, [0, 0, 0])
+                    r[0], r[1], r[2] = r[0] + 1, r[1] + chars, r[2] + links
+                    if not flags & NO_CONTENT:
+                        below[parent][0] += chars
+                        below[parent][1] += links
+                total = below[0][0]
+                rows += [(h, page, None, None, 1, 0, 0, total) for h in (host, None)]
+                rows += [(h, page, role, None, *r, total) for role, r in roles.items() for h in (host, None)]
+                rows += [(host, page, role, t, k, 0, 0, 0) for (role, t), k in of_text.items()]
+            names = ["host", "page", "role", "text", "n", "chars", "links", "total"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if x == "host" else pa.int64()) for x, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     return pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, shape)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed: array of "role text-hash" that belong to the template of one of its layouts).
+    """(host, nodes: array<struct<role, share, chars>>, fixed: array<struct<role, text>>) of hosts with enough pages, and of a
+    null host for all; share is null for a node that a page may have several times, chars negative if mostly links.
 
     Runs a job while it is called: the sums by token are kept in the shared checkpoint folder.
     """
     # One page's part of an occurrence vector's fingerprint; parts add up in any order.
     part = F.xxhash64("page", "n").cast("decimal(38,0)")
-    sums = tokens(pages).groupBy("host", "layout", "role", "kind", "text").agg(F.sum(part).alias("vector"), F.count(F.lit(1)).alias("pages"))
+    total = lambda c: F.sum(c).alias(c)
+    sums = tokens(pages).groupBy("host", "role", "text").agg(F.sum(part).alias("vector"), F.count(F.lit(1)).alias("pages"), *map(total, ("n", "chars", "links", "total")))
     sums = checkpointed(sums.where(F.col("pages") >= LEAST_PAGES))
-    sizes = sums.where("role is null").select("host", "layout", F.col("pages").alias("all"))
-    # Classes: tokens of a layout with one vector.  A class is valid if it holds a tag and covers enough pages.
-    classes = sums.where("role is not null and text is null").groupBy("host", "layout", "vector").agg(F.max("pages").alias("support"))
-    classes = classes.join(sizes, ["host", "layout"]).where(F.col("support") >= F.col("all") * SUPPORT)
-    # A text on every page that a class's tag is on, as often as the tag: template.
-    fixed = sums.where("text is not null").join(classes.select("host", "layout", "vector"), ["host", "layout", "vector"])
-    return fixed.groupBy("host").agg(F.collect_set(F.concat_ws(" ", "role", "text")).alias("fixed"))
-
-
-def with_template(parsed: DataFrame, t: DataFrame) -> DataFrame:
-    """Pages with their host's template.  Templates of up to BROADCAST_BYTES are sent to all executors, so pages aren't
-    shuffled; beyond that, both sides are dealt by host and one of SALTS parts, so a large host is many tasks' work."""
-    chars = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
-    size = t.agg(F.sum(chars(F.col("fixed")) + F.octet_length("host") + 64)).first()[0] or 0
-    t = t.select(F.col("host").alias("h"), "fixed")
+    sizes = sums.where("role is null").select(F.col("host").alias("h"), F.col("pages").alias("all"))
+    # Classes: tokens of a host with one vector.  A class is valid if it holds a tag and covers enough pages.
+    same = F.col("host").eqNullSafe(F.col("h"))
+    valid = sums.where("role is not null").join(sizes, same).where(F.col("pages") >= F.col("all") * SUPPORT)
+    tags = valid.where("text is null")
+    share = F.when(F.col("n") == F.col("pages"), F.col("chars") / F.greatest(F.lit(1), "total"))
+    chars = F.col("chars") / F.col("pages") * F.when(F.col("links") > (F.col("chars") + F.col("links")) * MOST_LINKS, -1).otherwise(1)
+    nodes = tags.groupBy("host").agg(F.collect_list(F.struct("role", share.alias("share"), chars.alias("chars"))).alias("nodes"))
+    # A text on every page that a class's tag is on, as often as the tag.
+    fixed = valid.where("text is not null").join(tags.select("host", "vector").distinct(), ["host", "vector"])
+    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("role", "text")).alias("fixed"))
+    out = nodes.join(fixed.select(F.col("host").alias("h"), "fixed"), F.col("host").eqNullSafe(F.col("h")), "left")
+    return out.select("host", "nodes", "fixed")
+
+
+def packed(t: DataFrame) -> DataFrame:
+    """(h, template): a host's template as bytes, small beside a page and read once a host."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for nodes, fixed in zip(batch.column("nodes").to_pylist(), batch.column("fixed").to_pylist(), strict=True):
+                rows = [struct.pack(ENTRY, 0, x["role"], 0, -1.0 if x["share"] is None else x["share"], x["chars"]) for x in nodes or ()]
+                rows += [struct.pack(ENTRY, 1, x["role"], x["text"], 0.0, 0.0) for x in fixed or ()]
+                out.append(b"".join(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.binary())], ["h", "template"])
+
+    return t.mapInArrow(run, "h string, template binary")
+
+
+@lru_cache(maxsize=64)
+def unpacked(template: bytes) -> tuple[dict, set]:
+    """(role -> (share, chars), fixed (role, text) pairs)"""
+    nodes, fixed = {}, set()
+    for kind, role, text, share, chars in struct.iter_unpack(ENTRY, template):
+        if kind:
+            fixed.add((role, text))
+        else:
+            nodes[role] = (share, chars)
+    return nodes, fixed
+
+
+def main_text(page: str, template: bytes | None) -> str:
+    """The text of a page's content slots by its host's template."""
+    nodes, texts = read(page)
+    if not template:
+        seen = [True] * len(nodes)
+        for i, (parent, _, flags) in enumerate(nodes[1:], 1):
+            seen[i] = seen[parent] and not flags & (NO_CONTENT | HEADER)
+        return " ".join(t for i, t, _ in texts if seen[i])
+    known, fixed = unpacked(template)
+    # Down from the root while one node holds most of its host's text.
+    children: dict[int, dict[int, list[int]]] = {}
+    for i, (parent, role, flags) in enumerate(nodes[1:], 1):
+        if not flags & NO_CONTENT and known.get(role, (-1,))[0] >= MOST_TEXT:
+            children.setdefault(parent, {}).setdefault(role, []).append(i)
+    way, main, usual = {0}, 0, 0.0
+    while once := [c[0] for c in children.get(main, {}).values() if len(c) == 1]:
+        main = max(once, key=lambda i: known[nodes[i][1]])
+        usual = known[nodes[main][1]][1]
+        way.add(main)
+    own = [0] * len(nodes)
+    for i, t, links in texts:
+        own[i] += len(t) - links
+    for i in range(len(nodes) - 1, 0, -1):
+        own[nodes[i][0]] += own[i]
+    usual = abs(usual) or own[0]
+    content = [False] * len(nodes)
+    inside = [False] * len(nodes)  # of the main slot
+    content[main] = inside[main] = True
+    for i, (parent, role, flags) in enumerate(nodes):
+        if i in way:
+            continue
+        inside[i] = inside[parent]
+        if inside[i]:
+            content[i] = content[parent] and not flags & (NO_CONTENT | NAME)
+        elif flags & (NO_CONTENT | HEADER | NAME_PART):
+            content[i] = False
+        elif parent in way:  # a slot beside the way
+            content[i] = known.get(role, (0, own[i]))[1] >= LEAST_SHARE * usual
+        else:
+            content[i] = content[parent]
+    for i in way - {main}:  # texts beside the way's elements
+        content[i] = sum(len(t) for j, t, _ in texts if j == i) >= LEAST_SHARE * usual
+    kept = [(i, t) for i, t, _ in texts if content[i]]
+    slots = [t for i, t in kept if (nodes[i][1], text_hash(t)) not in fixed] if fixed else [t for _, t in kept]
+    return " ".join(slots or [t for _, t in kept])
+
+
+def with_template(pages: DataFrame, t: DataFrame) -> DataFrame:
+    """Pages with their host's template, or that of all.  Templates of up to BROADCAST_BYTES are sent to all executors, so
+    pages aren't shuffled; beyond that, both sides are dealt by host and one of SALTS parts, so a large host is many tasks'
+    work.  The template of all is one row, bounded by SUPPORT."""
+    size = t.agg(F.sum(F.octet_length("template") + F.coalesce(F.octet_length("h"), F.lit(0)) + 64)).first()[0] or 0
+    common = t.where("h is null").select(F.col("template").alias("common"))
+    pages, t = pages.join(F.broadcast(common), F.lit(True), "left"), t.where("h is not null")
     if size <= BROADCAST_BYTES:
-        return parsed.join(F.broadcast(t), F.col("host") == F.col("h"), "left")
+        return pages.join(F.broadcast(t), F.col("host") == F.col("h"), "left")
     t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    parsed = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return parsed.join(t, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("part")), "left").drop("salt", "part")
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return pages.join(t, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("part")), "left")
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url_col, text, n_chars) for each page."""
+    """(id_col, url_col, text, n_chars) for each page.
+
+    Runs jobs while it is called: the templates are kept in the shared checkpoint folder.
+    """
     require(df, id_col, url_col, html_col)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    joined = with_template(parse(pages), checkpointed(templates(pages)))
-    # A page with an article is read by it.
-    kind = F.when(F.exists("blocks", lambda b: b["kind"] == 2), 2).otherwise(1)
-    name = lambda b: F.concat_ws(" ", b["role"], F.substring(F.sha2(b["text"], 256), 1, 24))
-    joined = joined.withColumn("blocks", F.filter("blocks", lambda b: b["kind"] == kind))
-    joined = joined.withColumn("slots", F.when(F.col("fixed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("fixed", name(b)))))
-    text = F.array_join(F.transform(F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("blocks")), lambda b: b["text"]), " ")
-    out = joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.coalesce(text, F.lit("")).alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    joined = with_template(pages, checkpointed(packed(templates(pages))))
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches, "html"):
+            given = zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)
+            texts = [main_text(page or "", template) for page, template in given]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    out = joined.select("page_id", "url", "html", F.coalesce("template", "common").alias("template")).mapInArrow(run, f"page_id {kind}, url string, text string")
+    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -378,6 +378,49 @@ def test_classes_judge_articles_too(spark):
         assert got[i] == f"Head {i} Body {i}. Others in {i}."
 
 
+def truth_of(pages):
+    import html
+
+    out = {}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        body = re.sub(r"</?[a-z][^>]*>", "", re.sub(r"</?(h1|p|br)>", " ", body))
+        out[r.page_id] = " ".join(html.unescape(body).split())
+    return out
+
+
+@pytest.mark.parametrize("elements", ["article", "article|nav|footer"])
+def test_templates_find_the_slot_without_articles(spark, small, elements):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = html_extract.extract_main_text(pages.withColumn("html", F.regexp_replace("html", f"(</?)({elements})>", "$1div>")))
+    assert {r.page_id: r.text for r in got.collect()} == truth_of(pages)
+
+
+def test_templates_decide(spark, small, monkeypatch):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    given = html_extract.templates
+    monkeypatch.setattr(html_extract, "templates", lambda pages: given(pages).where("false"))
+    got, want = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}, truth_of(pages)
+    assert all(got[i] != want[i] and want[i] in got[i] for i in want)
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for page in ("<p" * 20000, "<!" * 40000, "<div>" * 20000, '<a b="' * 20000, "</section>" * 20000 + "<div>" * 20000, "<x-a>" * 20000 + "<p>" * 20000, "&" * 80000, "<!--" * 20000, "<title>" * 20000, "<svg>" * 20000, f"<p {'a' * 80000}>", f"<p {'a ' * 40000}>"):
+        began = time.process_time()
+        html_extract.main_text(page, None)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_broken_and_named_elements_lose_no_text():
+    text = lambda page: html_extract.main_text(page, None)
+    assert text("<article><p>a</p><select><option>o</select><p>kept</p></article>") == "a kept"
+    assert text("<article><p>a<video src=x><p>b</article><p>c") == "a b c" and text("<p>a<object><b>no</b></object> b<svg/>c") == "a b c"
+    assert text('<article><h2 class="post-header">Title</h2><p class="legal note">N</p></article>') == "Title N"
+    assert text("<head><title>x</title><p>text<select>") == "text" and text("<p style='display: none'>no<p>plain < text") == "plain < text"
+
+
 # ---- secrets
 
 
