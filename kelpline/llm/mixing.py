@@ -61,10 +61,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return a.select("source", "source_size", "rank", F.least("cap", F.max("level").over(whole) * F.col("weight")).alias("target"))
 
 
-def lay_out(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Rows (doc_id, source, size, tie, start, copy): where each document's words start on its source's line, and a number that
-    tells equal rows apart, also those without words."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
+def lay_out(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, told_by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, source, size, tie, start, copy): where each document's words start on its source's line, a hash of its
+    text (and of ``told_by``), and a number that tells rows apart which are equal in all of these, also those without words."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col, *told_by).alias("tie"))
     docs = docs.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "tie"))
     # Ranges of the key's upper bits, as many as the source's documents ask for; each is small however large the source.
     # Grouped by the finest range first, so that nothing is gathered by source alone.
@@ -126,7 +126,10 @@ def shard_draws(targets: DataFrame, seed: int, block: int, per_shard: int) -> Da
     one = src.agg(F.sort_array(F.collect_list(F.struct("rank", "source", "blocks", "quota"))).alias("sources"), F.sum("quota").alias("draws"))
     one = one.where("draws is not null").withColumn("guard", F.when(F.size("sources") > MOST_SOURCES, F.raise_error(F.lit("too many sources"))))
     one = one.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("draws") / per_shard)).cast("long"))
-    each = one.where("guard is null").select("sources", "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).repartition("shard")
+    one = one.where("guard is null")
+    # One row of at most MOST_SOURCES quotas goes to all tasks; the shards' numbers alone are dealt out.
+    each = one.select(F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).repartition("shard")
+    each = each.join(F.broadcast(one.select("sources", "shards")), F.lit(True))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -141,15 +144,15 @@ def shard_draws(targets: DataFrame, seed: int, block: int, per_shard: int) -> Da
     return each.mapInPandas(run, "shard long, source string, pass long, block long, turn long")
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", told_by: tuple[str, ...] = ()) -> DataFrame:
     """The mix as pieces of documents: doc_id, tie, source, size, source_size, target, and for a piece that
     is taken shard, pass, turn, first (word of the document) and words; a document without a piece has
-    one row with nulls there.  ``tie`` tells rows of one id with different texts apart.
+    one row with nulls there.  ``tie`` tells rows of one id with different texts (or ``told_by``) apart.
 
     A piece is what a block holds of a document.  The draws end at the exact word of the target.
     """
     require(df, id_col, text_col, source_col)
-    laid = lay_out(df, id_col, text_col, source_col, seed)
+    laid = lay_out(df, id_col, text_col, source_col, seed, told_by)
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     draws = shard_draws(targets, seed, block, per_shard)
@@ -174,3 +177,20 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
 def taken(mixed: DataFrame) -> DataFrame:
     """One row a document: doc_id, tie, start, source, size, source_size, target, taken (words, repeats counted)."""
     return mixed.groupBy("doc_id", "tie", "source", "start", "copy").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("words").alias("taken"))
+
+
+def repeat_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix as whole rows with the input's columns, each as often as it is taken; where a target ends inside a document,
+    it is taken if at least half of its words are.  Rows without words, and those that the mix has no room for, don't
+    come out.  Columns go by place, so their names may be any.
+    """
+    require(df, id_col, text_col, source_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    key, text, source = (f"c{df.columns.index(c)}" for c in (id_col, text_col, source_col))
+    # Rows that are equal in all columns are alike: what is taken of them is summed up, and one of them is repeated.
+    told_by = tuple(c for c, t in plain.dtypes if "map<" not in t and "variant" not in t)
+    got = taken(mix(plain, id_col=key, text_col=text, source_col=source, told_by=told_by, **how)).where("taken > 0")
+    times = got.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("tie").alias("m_tie")).agg(F.sum(F.round(F.col("taken") / F.col("size")).cast("int")).alias("m_times"))
+    rows = plain.withColumn("m_key", F.xxhash64(text, *told_by)).dropDuplicates([key, source, "m_key"])
+    rows = rows.join(times.where("m_times > 0"), F.col(key).eqNullSafe(F.col("m_id")) & F.col(source).eqNullSafe(F.col("m_source")) & (F.col("m_key") == F.col("m_tie")))
+    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(plain.columns).toDF(*df.columns)

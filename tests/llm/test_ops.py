@@ -229,7 +229,7 @@ def test_splitting_tree_is_exact():
 
 def test_mix_takes_odd_rows(odd):
     rows = mixing.taken(mixing.mix(clashing(odd))).collect()
-    assert len(rows) >= odd.count() - 1 and all(r.taken <= 2 * r.size for r in rows)
+    assert len(rows) == odd.count() and all(r.taken <= 2 * r.size for r in rows)
     assert mixing.taken(mixing.mix(odd.limit(0))).count() == 0
 
 
@@ -238,6 +238,22 @@ def test_mix_keeps_repeated_empty_rows(odd):
     assert mixing.taken(mixing.mix(more)).count() == more.count()
 
 
+def test_whole_rows_are_repeated_as_taken(spark):
+    rng = random.Random(5)
+    rows = [(i % 40, " ".join(rng.choice("abc") for _ in range(rng.randrange(9))), rng.choice(["a", "b", None]), i % 2, "x") for i in range(300)]
+    rows += [(7, "same text here", s, 0, "x") for s in ("a", "b", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, m_key string")
+    for c in ("copy", "rows", "m_id", "m_tie", "tie", "size", "start"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = mixing.repeat_whole(df, block=8, per_shard=4)
+    got, given = Counter(map(tuple, out.collect())), Counter(map(tuple, df.collect()))
+    assert out.columns == df.columns and got.keys() <= given.keys() and all(n <= 2 * given[k] for k, n in got.items()) and not any(len(k[1].split()) == 0 for k in got)
+    words = lambda rows, s: sum(len(k[1].split()) * n for k, n in rows.items() if k[2] == s)
+    want = targets({s: words(given, s) for s in ("a", "b", None)})
+    full = [s for s, t in want.items() if t == 2 * words(given, s)]
+    assert all(abs(words(got, s) - t) <= 5 for s, t in want.items()) and all(got[k] == 2 * n for k, n in given.items() if k[2] in full and k[1])
+
+
 # ---- quality
 
 
