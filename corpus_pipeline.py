@@ -33,13 +33,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, whole; where a target ends inside a document, it is
     taken if at least half of its words are.  A document whose source has no room left doesn't come out."""
-    taken = mixing.taken(mixing.mix(docs)).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), "start", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    # Rows of one id and text are alike: their places on the line are dealt to them one by one.
-    times = times.groupBy("m_id", "m_tie").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    rows = docs.withColumn("m_key", F.xxhash64("text")).dropDuplicates(["doc_id", "m_key"])
-    rows = rows.join(times, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_key") == F.col("m_tie")))
-    return rows.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    return mixing.repeat_whole(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
