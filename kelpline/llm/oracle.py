@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kelpline.llm import quality
+import re
+
+from kelpline.llm import quality, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,4 +49,32 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, do
 FROM d LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)
 """
 
-ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5}
+
+
+def _plain(pattern: str) -> str:
+    """An expression for an engine whose letters in either case, and white space, are others: both spelled out."""
+    either = lambda m: re.sub("[a-zA-Z]", lambda x: f"[{x[0].lower()}{x[0].upper()}]", m[1])
+    pattern = re.sub(r"\(\?i:([^()]*)\)", lambda m: f"(?:{either(m)})", pattern)
+    return pattern.replace(r"[^\s", r"[^ \t\n\r\f\x0b").replace(r"\s", r"[ \t\n\r\f\x0b]").replace("'", "''")
+
+
+def _found(nth: int, rule: secret_scan.Rule) -> str:
+    """A rule's matches beside what stands between them, from which their places follow.  A run of a class that has no
+    group may ask for its length at once: it is whole or no match."""
+    p = _plain(re.sub(r"^(AKIA)?(\[[^]]*\])\+$", lambda m: f"{m[1] or ''}{m[2]}{{{rule.least - len(m[1] or '')},}}", rule.pattern) if not rule.group else rule.pattern)
+    # The only group that counts is the last one; the others are made to stand for nothing.
+    group = p.count("(") - p.count("(?") if rule.group else 0
+    return f"SELECT id, {nth} AS nth, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}', 0) AS full_, regexp_extract_all(text, '{p}', {group}) AS grp FROM d WHERE regexp_matches(text, '{p}')"
+
+
+OP9 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_found(i, r) for i, r in enumerate(secret_scan.RULES))}),
+e AS (SELECT *, unnest(range(1, len(full_) + 1)) AS i FROM f),
+place AS (SELECT id, nth, kind, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(full_[1:i - 1], lambda x: length(x))), 0) AS start, length(full_[i]) AS n FROM e WHERE length(grp[i]) >= least),
+s AS (SELECT id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access, count(*) FILTER (WHERE nth = 2) AS n_hex,
+  string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, nth) FILTER (WHERE nth < 3) AS base, string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, nth) AS spans FROM place GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (id)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5, "op9_secrets": OP9}
