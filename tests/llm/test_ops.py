@@ -500,17 +500,91 @@ def test_masking(odd, spark):
 # ---- fingerprints
 
 
-@pytest.mark.parametrize("ranges", [None, 1, 9])
-def test_fingerprints_of_neighbours(docs, ranges):
+def h128(kind, data):
+    return hashlib.blake2b(data.encode(), digest_size=16, person=kind).hexdigest()
+
+
+def plain_tree(text):
+    """The tree as nested lists (hash, size, children), written down once more from the description."""
+    lines, top = text.split("\n"), []
+    blank = [not re.search(r"[^ \t\r\x0b\x0c]", x) for x in lines]
+    i = 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and blank[j] == blank[i]:
+            j += 1
+        if blank[i]:
+            top.append((h128(b"gap", "\n".join(lines[i:j])), len("\n".join(lines[i:j])) + 1, []))
+        else:
+            section = []
+            for line in lines[i:j]:
+                leaves = [(h128(b"piece", x), len(x)) for x in plain_pieces(line)]
+                section.append((h128(b"paragraph", "".join(h for h, _ in leaves)), len(line), leaves))
+            # A section ends with each paragraph whose hash falls on one in eight, and with the run.
+            part = []
+            for p in section:
+                part.append(p)
+                if int(p[0][:8], 16) % 8 == 0:
+                    top.append((h128(b"section", "".join(x[0] for x in part)), sum(x[1] for x in part), part))
+                    part = []
+            if part:
+                top.append((h128(b"section", "".join(x[0] for x in part)), sum(x[1] for x in part), part))
+        i = j
+    return h128(b"root", "".join(x[0] for x in top)), top
+
+
+def plain_pieces(line):
+    out, words, held = [], re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", line), ""
+    for w in words:
+        held += w
+        if len(held) >= 1024 or (len(held) >= 24 and sum(w.lstrip(" \t\r\x0b\x0c").encode()) * 2654435761 % 2**32 < 2**32 // 12):
+            out.append(held)
+            held = ""
+    return out + [held] * bool(held)
+
+
+def plain_text_of(t):
+    one = lambda x: f"{x[0]}:{x[1]}"
+    return t[0] + "|" + ",".join(s[0] + "(" + ",".join(p[0] + "(" + ",".join(map(one, p[2])) + ")" if len(p[2]) > 1 else one(p) for p in s[2]) + ")" if s[2] else "~" + one(s) for s in t[1])
+
+
+def plain_likeness(a, b):
+    """Common size over both sizes: whole sections and gaps first, then paragraphs of the rest, then pieces of the rest."""
+    if a[0] == b[0]:
+        return 1.0
+    total, shared, left, right = sum(s[1] for s in a[1]) + sum(s[1] for s in b[1]), 0, list(a[1]), list(b[1])
+    for level in range(3):
+        if level:
+            left, right = [c for s in left for c in s[2]], [c for s in right for c in s[2]]
+        for x in list(left):
+            for y in right:
+                if x[0] == y[0]:
+                    shared += x[1]
+                    left.remove(x)
+                    right.remove(y)
+                    break
+    return 2 * shared / total
+
+
+@pytest.mark.parametrize("ranges, coarse", [(None, 1024), (1, 1024), (9, 1024), (9, 2)])
+def test_fingerprints_of_neighbours(docs, monkeypatch, ranges, coarse):
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
     got = {r.doc_id: r for r in fingerprints.compare_with_next(clashing(docs), n_ranges=ranges).collect()}
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)].text
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        mine, r = fingerprints.tree(t), got[i]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.written(mine), fingerprints.written(fingerprints.tree(e)))
-        assert r.near_next == fingerprints.likeness(mine, fingerprints.tree(nxt)) and 0 <= r.near_edited <= 1
+        mine, edited, r = plain_tree(t), plain_tree(e), got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), plain_text_of(mine), plain_text_of(edited))
+        assert r.near_next == pytest.approx(plain_likeness(mine, plain_tree(nxt))) and r.near_edited == pytest.approx(plain_likeness(mine, edited))
+
+
+def test_roots_tell_texts_apart():
+    given = ["", "\n", "\n\n", "a", "a\n", "\na", "a\n\nb", "a\nb", "a \nb", "a\n \nb", "b\na", "a b", "ab", *fuzz(800, 30), *(f"x {i}\n{'y ' * i}" for i in range(300))]
+    assert len({fingerprints.tree(t)[0] for t in given}) == len(set(given))
+    # A root follows from its children, without the text.
+    assert all(fingerprints.tree(t)[0] == fingerprints.over(b"root", fingerprints.tree(t)[1]) for t in given)
 
 
 def test_likeness_and_edits(odd):
