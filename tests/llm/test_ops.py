@@ -135,6 +135,45 @@ def test_keys_guarantee_the_reach():
     assert ((ka == kb).sum(axis=1) >= 1).all()
 
 
+def test_parities_never_leave_out_a_link():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 50, 400, 3000, 20000):
+        for _ in range(12):
+            shared = int(n * rng.uniform(0.7, 1))
+            a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+            b[:shared] = a[:shared]
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 75 * (len(a) + len(b) - both)
+            for x, y in ((a, b), (b, a)):
+                got = near_dup.may_link(np.array([len(x)]), np.array([len(y)]), [near_dup.parity(x)], [near_dup.parity(y)])[0]
+                assert got or not linked
+    far = near_dup.may_link(np.array([300]), np.array([300]), *([near_dup.parity(np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)))] for _ in range(2)))
+    assert not far[0]
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(1200):
+        n = rng.randrange(40, 400)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        # Two texts with s shingles each and as many in common as 0.75 asks for, or one less.
+        common = -(-6 * n // 7) - k % 2
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: common + 4] + [f"x{k}y{i}" for i in range(n - common)]))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = shingle_sets([t for _, t in rows])
+    linked = [100 * len(a & b) >= 75 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(linked) == 600 and [got[2 * k + 1] == 2 * k for k in range(1200)] == linked
+
+
+def test_one_row_of_each_component_stays(spark):
+    same = "the very same words are said here once more for all"
+    rows = [(5, same, "a"), (5, f"{same} ", "b"), (5, "a clean text that shares its id with others of another kind", "c"), (3, "short", "d"), (9, same, "e"), (None, same, "f"), (None, "only here and without an id at all", "g"), (None, "only here and without an id at all", "h"), (2, None, "i"), (2, "", "j"), (4, same.upper(), "k")]
+    got = near_dup.drop_near_duplicates(clashing(spark.createDataFrame(rows, "doc_id long, text string, is string"))).collect()
+    assert Counter((r.doc_id, r["is"]) for r in got) == Counter([(4, "k"), (5, "c"), (3, "d"), (None, "g"), (2, "i"), (2, "j")])
+
+
 def test_near_duplicates_take_odd_rows(odd):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
