@@ -158,9 +158,9 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 #: Size of tables of ranges up to which they are sent to all executors.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of text in a range of ids, which is one task's stretch of the ring, as long as there are fewer ranges than cores, and
-#: beyond; and coarse ranges at most: a coarse range has as many fine ones as it takes.
-FEW_BYTES, RANGE_BYTES, COARSE = 2 << 20, 64 << 20, 1024
+#: Bytes of text in a range of ids, which is one task's stretch of the ring, as long as there are fewer than so many ranges a
+#: core (several may fall into one task), and beyond; and coarse ranges at most: a coarse range has as many fine ones as it takes.
+FEW_BYTES, PER_CORE, RANGE_BYTES, COARSE = 1 << 20, 16, 64 << 20, 1024
 
 
 def in_ring(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def in_ring(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """
     if n_ranges is None:
         size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-        n_ranges = 1 + max(size // RANGE_BYTES, min(size // FEW_BYTES, 3 * docs.sparkSession.sparkContext.defaultParallelism))
+        n_ranges = 1 + max(size // RANGE_BYTES, min(size // FEW_BYTES, PER_CORE * docs.sparkSession.sparkContext.defaultParallelism))
     coarse = min(n_ranges, COARSE)
     per = -(-n_ranges // coarse)
     at = [i / coarse for i in range(1, coarse)]
