@@ -30,25 +30,31 @@ class RunIndex:
         text[stops] = 0
         n = len(text)
         left = np.repeat(stops, lengths + 1) - np.arange(n)
-        # Suffixes are sorted by substrings of 7 symbols of 9 bits, then of twice the length, until no two
-        # are equal or no string is longer.  Past its 0 a suffix runs on; ``left`` bounds what counts.
+        # Suffixes are sorted by substrings of 7 symbols of 9 bits, then those that are still equal by twice the length.
+        # Past its 0 a suffix runs on; ``left`` bounds what counts.  A rank is the place of the first of its equals.
         padded = np.concatenate([text, np.zeros(7, np.int64)])
         key = np.zeros(n, np.int64)
         for k in range(7):
             key = key << 9 | padded[k : n + k]
-        width, levels = 7, []
-        while True:
-            order = np.argsort(key, kind="stable")
-            new = np.empty(n, bool)
-            new[0], new[1:] = True, key[order[1:]] != key[order[:-1]]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            levels.append((width, rank.astype(np.int32)))
-            if new.all() or width > lengths.max(initial=0):
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        width, levels = 7, [(7, rank.astype(np.int32))]
+        while width <= lengths.max(initial=0):
+            at = np.flatnonzero(~(new & np.append(new[1:], True)))
+            if not len(at):
                 break
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - width)] = rank[width:]
-            key, width = rank * (n + 1) + after, 2 * width
+            open_ = order[at]
+            after = open_ + width
+            key = rank[open_] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            sort = np.argsort(key, kind="stable")
+            open_, key = open_[sort], key[sort]
+            first = np.append(True, key[1:] != key[:-1])
+            order[at], new[at] = open_, first
+            rank[open_] = np.maximum.accumulate(np.where(first, at, 0))
+            width *= 2
+            levels.append((width, rank.astype(np.int32)))
         bwt = text[order - 1]
         start = np.ones(n, bool)  # a 0 is a run of its own: what precedes a string is no context of it
         start[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
@@ -70,12 +76,13 @@ class RunIndex:
             # what has stopped stays: its next symbols differ again
         return np.minimum(total, most)
 
-    def matching_statistics(self) -> np.ndarray:
+    def matching_statistics(self, copies: np.ndarray | None = None) -> np.ndarray:
         """For each position of the text the length of the longest match that starts there and at another place too.
 
         A match is longest with a neighbour in suffix order.  Inside a run both rows are preceded by the same
         symbol, so the match is one shorter than one that starts a position earlier; only the pairs of rows at
-        the sampled run ends are compared.
+        the sampled run ends are compared.  A string that stands for several ``copies``, whose rows would lie in
+        the same runs, matches another as a whole.
         """
         n = len(self.text)
         a, b = self.tails[:-1], self.heads[1:]
@@ -83,4 +90,7 @@ class RunIndex:
         reach = np.full(n, -1, np.int64)  # where a match that starts at a sample ends
         np.maximum.at(reach, a, a + common)
         np.maximum.at(reach, b, b + common)
+        if copies is not None:
+            begin = np.flatnonzero(np.append(True, self.text[:-1] == 0))[copies > 1]
+            reach[begin] = begin + self.left[begin]
         return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)

@@ -5,23 +5,33 @@ substrings.  Equal strings have equal anchors at equal places, so only contexts
 one anchor (the strings that share an occurrence of it, overlapping) need be
 compared, and contexts are dealt by anchor.
 
-1. Each document's contexts are hashed.  Contexts that occur twice are repeated
-   throughout; an anchor whose contexts are all alike needs nothing more.
-2. Where an anchor has differing contexts, one of each is fetched from its document.
-   Tasks build run-compressed Burrows-Wheeler transforms of bounded size over whole
-   anchors, stream matching statistics from the sampled run ends, and mark the
-   strings whose match is long enough.
-3. An anchor with more contexts than an index may hold is resolved exactly by
-   counting the hashes of its strings, which combine before the shuffle.
-4. Marks are merged per document and the bytes between them kept.
-
-Hashes have 64 bits.  Defined cases: texts are UTF-8 bytes, null is empty; a text
-shorter than LENGTH loses nothing; equal rows repeat each other, so all their
-strings go; matches never cross texts, and all is judged on the input.
+1. Each document's contexts are hashed.  An anchor that occurs once needs nothing more.
+   Those that a slice of documents holds twice are known to occur again and aren't
+   dealt by anchor; the slice sends one mark for them, so no anchor, however hot, has
+   more than one row a slice there.
+2. Contexts that are alike become one group with its number of copies, combined before
+   the shuffle, and one of each is fetched from its document.
+3. Tasks build run-compressed Burrows-Wheeler transforms of bounded size over whole
+   anchors, one string a group, stream matching statistics from the sampled run ends,
+   and mark the strings whose match is long enough; a group of several copies matches
+   as a whole, as its copies would fill the same runs.
+4. An anchor with more groups than an index may hold is split by longer seeds: the
+   strings of its contexts have anchors of 128 bytes, and where these are still hot, of
+   all LENGTH, under which no two groups meet.
+5. Marks go to all members of a group.  There each context's bytes are compared with
+   those that were indexed, by a 128-bit digest, marks are merged per document, and the
+   bytes between them kept.
+
+Defined cases: texts are UTF-8 bytes, null is empty; a text shorter than LENGTH loses
+nothing; equal rows repeat each other, so all their strings go; matches never cross
+texts, and all is judged on the input.  If two contexts of one anchor had one 64-bit
+hash but other bytes, the job would fail and say so, rather than take them as alike.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,8 +43,10 @@ from kelpline.llm.text import require, slices
 from kelpline.plans.checkpoints import checkpointed
 
 LENGTH, SEED = 200, 64
+#: Seeds by which hot anchors are split, one after the other.
+LONGER = (128, LENGTH)
 SLICE = 2 << 20
-#: Contexts of one anchor that go into an index, and bytes after which an index takes no further anchor.
+#: Groups of one anchor that go into an index, and bytes after which an index takes no further anchor.
 HOT, INDEX_BYTES = 4096, 1 << 20
 
 U = np.uint64
@@ -66,17 +78,17 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(end[:n], start[width - 1 : width - 1 + n])
 
 
-def contexts(texts: list[bytes]):
+def contexts(texts: list[bytes], seed: int = SEED):
     """(text, first, last, anchor, context) arrays: strings starting from first to last, relative to the text, share an anchor."""
     h = Hashed(texts)
     n = len(h.data)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
     if n < LENGTH:
         return none
-    at = np.arange(n - SEED + 1)
-    seed = h.of(at, at + SEED)
+    at = np.arange(n - seed + 1)
+    seeds = h.of(at, at + seed)
     # Upper bits of the hash, then the place: of equal seeds the leftmost.
-    least = sliding_least((seed >> U(32) << U(32)) | at.astype(U), LENGTH - SEED + 1)
+    least = sliding_least((seeds >> U(32) << U(32)) | at.astype(U), LENGTH - seed + 1)
     place = (least & U(0xFFFFFFFF)).astype(np.int64)
     start = np.arange(len(place))
     text = np.searchsorted(h.bounds, start, side="right") - 1
@@ -87,47 +99,54 @@ def contexts(texts: list[bytes]):
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])))
     last = np.append(first[1:], len(start)) - 1
     a, b, p, t = start[first], start[last], place[first], text[first]
-    anchor = seed[p]
+    anchor = seeds[p]
     context = h.of(a, b + LENGTH) + mix64(((p - a) << 32 | (b - a)).astype(U))
     return t, a - h.bounds[t], b - h.bounds[t], anchor, context
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, context, row, first, last, again) from (row, text).  Contexts that a slice holds twice come out once
-    with ``again``; their occurrences come out with a null anchor, being repeated for certain."""
+    """(anchor, context, row, check, first, last, times) from (row, check, text).  ``times`` is null for an occurrence whose anchor its slice
+    holds twice or more; for each such anchor there is a row without a context, with 2 times."""
 
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             t, a, b, anchor, context = contexts(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
             if not len(t):
                 continue
-            row = batch.column("row").to_numpy()[t]
-            order = np.lexsort((context, anchor))
-            x, y = anchor[order], context[order]
-            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-            twice = ~(new & np.append(new[1:], True))
-            out = np.concatenate([order[new], order[twice]])
-            known = np.arange(len(out)) >= new.sum()
-            again = np.concatenate([twice[new], np.ones(twice.sum(), bool)])
-            cols = [pa.array(anchor[out].view(np.int64), mask=known), pa.array(context[out].view(np.int64)), pa.array(row[out]), pa.array(a[out].astype(np.int32)), pa.array(b[out].astype(np.int32)), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "row", "first", "last", "again"])
-
-    return docs.mapInArrow(run, "anchor long, context long, row long, first int, last int, again boolean")
-
-
-def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds each wanted context's bytes."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "again", "hot")).alias("wanted"))
-    joined = docs.join(lists, "row")
+            row, check = (batch.column(c).to_numpy()[t] for c in ("row", "check"))
+            order = np.argsort(anchor, kind="stable")
+            new = np.append(True, anchor[order][1:] != anchor[order][:-1])
+            twice = np.zeros(len(t), bool)
+            twice[order] = ~(new & np.append(new[1:], True))
+            marks = order[new & twice[order]]
+            out = np.concatenate([np.arange(len(t)), marks])
+            mark = np.arange(len(out)) >= len(t)
+            of = lambda x, kind: pa.array(x[out].astype(kind), mask=mark)
+            times = pa.array(np.where(mark, 2, 1).astype(np.int32), mask=np.concatenate([twice, np.zeros(len(marks), bool)]))
+            cols = [pa.array(anchor[out].view(np.int64)), pa.array(context[out].view(np.int64), mask=mark), of(row, np.int64), of(check, np.int32), of(a, np.int32), of(b, np.int32), times]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "row", "check", "first", "last", "times"])
+
+    return docs.mapInArrow(run, "anchor long, context long, row long, check int, first int, last int, times int")
+
+
+def fetch(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(anchor, context, copies, bytes) of (anchor, context, copies, rep), with the bytes of each group's representative."""
+    lists = groups.groupBy("rep.row", "rep.check").agg(F.collect_list(F.struct("anchor", "context", "copies", "rep.first", "rep.last")).alias("wanted"))
+    joined = docs.join(lists, ["row", "check"])
 
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
-            rows = [(w["anchor"], row, w["first"], w["again"], w["hot"], t[w["first"] : w["last"] + LENGTH]) for t, row, ws in zip(raw, batch.column("row").to_pylist(), batch.column("wanted").to_pylist(), strict=True) for w in ws]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "row", "first", "again", "hot", "bytes"])
+            rows = [(w["anchor"], w["context"], w["copies"], t[w["first"] : w["last"] + LENGTH]) for t, ws in zip(raw, batch.column("wanted").to_pylist(), strict=True) for w in ws]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "context", "copies", "bytes"])
 
-    return joined.select("row", "text", "wanted").mapInArrow(run, "anchor long, row long, first int, again boolean, hot boolean, bytes binary")
+    # Equal rows yield a group several times; only one of them goes into an index.
+    return joined.select("text", "wanted").mapInArrow(run, GROUP)
+
+
+GROUP = "anchor long, context long, copies long, bytes binary"
+MARKS = "anchor long, context long, digest binary, starts array<int>, ends array<int>"
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +155,28 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def indexed_marks(found: DataFrame) -> DataFrame:
-    """(row, start, end) of repeated bytes from contexts that are sorted by anchor in each partition."""
+def digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=16).digest()
+
+
+def indexed_marks(groups: DataFrame) -> DataFrame:
+    """Rows of MARKS: where the groups' strings are repeated, from groups that are sorted by anchor in each partition."""
 
     def marks(rows: pa.Table):
+        place = np.rec.fromarrays([rows[c].to_numpy() for c in ("anchor", "context")], names="anchor,context")
+        rows = rows.take(pa.array(np.unique(place, return_index=True)[1]))
         strings = rows["bytes"].to_pylist()
-        long = RunIndex.build(strings).matching_statistics() >= LENGTH
+        long = RunIndex.build(strings).matching_statistics(rows["copies"].to_numpy()) >= LENGTH
         begin = np.cumsum([0, *[len(s) + 1 for s in strings[:-1]]])
         a, b = runs_of(long)
         which = np.searchsorted(begin, a, side="right") - 1
-        fresh = ~rows["again"].to_numpy()[which]  # the others are marked as a whole
-        a, b, which = a[fresh], b[fresh], which[fresh]
-        base = rows["first"].to_numpy()[which] - begin[which]
-        cols = [pa.array(rows["row"].to_numpy()[which]), pa.array((a + base).astype(np.int32)), pa.array((b - 1 + base + LENGTH).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, ["row", "start", "end"])
+        base = begin[which]
+        has, first = np.unique(which, return_index=True)
+        bounds = np.append(first, len(which)).astype(np.int32)
+        spans = [pa.ListArray.from_arrays(pa.array(bounds), pa.array((x - base).astype(np.int32))) for x in (a, b - 1 + LENGTH)]
+        some = rows.take(pa.array(has))
+        cols = [some["anchor"].combine_chunks(), some["context"].combine_chunks(), pa.array([digest(strings[i]) for i in has.tolist()], pa.binary()), *spans]
+        return pa.RecordBatch.from_arrays(cols, ["anchor", "context", "digest", "starts", "ends"])
 
     def run(batches):
         held: list[pa.Table] = []
@@ -169,60 +196,83 @@ def indexed_marks(found: DataFrame) -> DataFrame:
         if held and (table := pa.concat_tables(held)).num_rows:
             yield marks(table)
 
-    return found.mapInArrow(run, "row long, start int, end int")
+    return groups.mapInArrow(run, MARKS)
 
 
-def counted_marks(found: DataFrame) -> DataFrame:
-    """The same for contexts of any number: the hashes of all their strings are counted."""
+def shorter(groups: DataFrame, seed: int) -> DataFrame:
+    """The groups' contexts cut by a longer seed: (outer_anchor, outer_context, at, anchor, context, copies, bytes)."""
 
-    def strings(batches):
+    def run(batches):
         for batch in slices(batches, "bytes", SLICE // 8):
             raw = batch.column("bytes").to_pylist()
-            h = Hashed(raw)
-            n = np.array([len(r) - LENGTH + 1 for r in raw])
-            which = np.repeat(np.arange(len(raw)), n)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            start = h.bounds[which] + at
-            cols = [pa.array(h.of(start, start + LENGTH).view(np.int64)), pa.array(batch.column("row").to_numpy()[which]), pa.array((batch.column("first").to_numpy()[which] + at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["hash", "row", "start"])
+            t, a, b, anchor, context = contexts(raw, seed)
+            if not len(t):
+                continue
+            outer = [batch.column(c).take(pa.array(t)) for c in ("anchor", "context", "copies")]
+            cut = [raw[i][x : y + LENGTH] for i, x, y in zip(t.tolist(), a.tolist(), b.tolist(), strict=True)]
+            cols = [outer[0], outer[1], pa.array(a.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), outer[2], pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["outer_anchor", "outer_context", "at", "anchor", "context", "copies", "bytes"])
+
+    return groups.mapInArrow(run, f"outer_anchor long, outer_context long, at int, {GROUP}")
+
+
+def marked(groups: DataFrame, seeds: tuple[int, ...] = LONGER) -> DataFrame:
+    """Rows of MARKS for groups of any number; hot anchors are split by the first of ``seeds``, then by the others."""
+    # The longest seed is a whole string, and an anchor's only group.
+    hot = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("anchor").alias("h")) if seeds else None
+    if hot is None or (hot := checkpointed(hot)).isEmpty():
+        return indexed_marks(groups.repartition("anchor").sortWithinPartitions("anchor"))
+    is_hot = F.col("anchor") == F.col("h")
+    cool = groups.join(hot, is_hot, "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    parts = checkpointed(shorter(groups.join(hot, is_hot, "left_semi"), seeds[0]))
+    inner = parts.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.max("bytes").alias("bytes"))
+    again = inner.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("anchor").alias("h"))
+    found = marked(checkpointed(inner.join(again, is_hot, "left_semi")), seeds[1:])
+    # Each part is held against the bytes that stood for it, then its marks are moved to its place.
+    found = parts.join(found, ["anchor", "context"])
+    shift = lambda c: F.transform(c, lambda x: (x + F.col("at")).cast("int"))
+    out = found.groupBy("outer_anchor", "outer_context").agg(F.collect_list(F.struct("at", "bytes", "digest", shift("starts").alias("starts"), shift("ends").alias("ends"))).alias("parts"))
+    whole = groups.select("anchor", "context", "bytes").dropDuplicates(["anchor", "context"]).join(out, (F.col("anchor") == F.col("outer_anchor")) & (F.col("context") == F.col("outer_context")))
+
+    def run(batches):
+        for batch in slices(batches, "bytes", SLICE // 8):
+            rows = []
+            for raw, anchor, context, ps in zip(*(batch.column(c).to_pylist() for c in ("bytes", "anchor", "context", "parts")), strict=True):
+                if any(digest(p["bytes"]) != p["digest"] for p in ps):
+                    raise ValueError(COLLISION)
+                rows.append((anchor, context, digest(raw), [x for p in ps for x in p["starts"]], [x for p in ps for x in p["ends"]]))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "context", "digest", "starts", "ends"])
+
+    return indexed_marks(cool).unionByName(whole.select("anchor", "context", "bytes", "parts").mapInArrow(run, MARKS))
+
 
-    each = found.mapInArrow(strings, "hash long, row long, start int")
-    twice = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("h"))
-    return each.join(twice, F.col("hash") == F.col("h"), "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
+COLLISION = "two contexts of one anchor have one hash but other bytes; use another seed of BYTE"
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, marks: array<struct<start,end>>) of the rows of (row, text) that have repeated strings; marks may overlap."""
+    """(row, check, marks: array<struct<first,last,digest,starts,ends>>) of the rows of (row, check, text) that have repeated strings."""
     seen = occurrences(docs)
-    known = seen.where("anchor is null")
-    order = Window.partitionBy("anchor").orderBy("context", "row", "first")
-    # A context's rows are neighbours; its first one speaks for it.
-    spans = Window.partitionBy("anchor")
-    dealt = seen.where("anchor is not null").withColumns({"before": F.lag("context").over(order), "after": F.lead("context").over(order)})
-    dealt = dealt.withColumns({"low": F.min("context").over(spans), "high": F.max("context").over(spans)})
-    is_first = F.col("before").isNull() | (F.col("before") != F.col("context"))
-    twice = F.col("again") | ~is_first | F.coalesce(F.col("after") == F.col("context"), F.lit(False))
-    dealt = dealt.select("anchor", "row", "first", "last", twice.alias("again"), (is_first & (F.col("low") != F.col("high"))).alias("wanted"))
-    both = checkpointed(dealt.where("again or wanted").unionByName(known.select("anchor", "row", "first", "last", "again", F.lit(False).alias("wanted"))))
-    whole = both.where("again").select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    wanted = both.where("wanted")
-    many = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("anchor").alias("k"), F.lit(True).alias("hot"))
-    wanted = wanted.join(many, F.col("anchor") == F.col("k"), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found = checkpointed(fetch(docs, wanted))
-    some = indexed_marks(found.where("not hot").repartition("anchor").sortWithinPartitions("anchor"))
-    rest = counted_marks(found.where("hot"))
-    marks = whole.unionByName(some).unionByName(rest)
-    return marks.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    times = F.sum("times").over(Window.partitionBy("anchor"))
+    dealt = seen.where("times is not null").withColumn("all", times).where("all > 1 and context is not null").drop("all")
+    live = checkpointed(seen.where("times is null").unionByName(dealt).drop("times"))
+    groups = live.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "check", "first", "last")).alias("rep"))
+    found = checkpointed(fetch(docs, groups))
+    marks = marked(found)
+    mine = live.join(marks, ["anchor", "context"])
+    return mine.groupBy("row", "check").agg(F.collect_list(F.struct("first", "last", "digest", "starts", "ends")).alias("marks"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, removed: array<struct<start,end>> in bytes, kept_bytes binary) for each row.
 
-    Runs jobs while it is called: repeated contexts are kept in the shared checkpoint folder.
+    Runs jobs while it is called: contexts that may be repeated are kept in the shared checkpoint folder.
     """
     require(df, id_col, text_col)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.select("row", "text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows go by 96 bits of hashes, equal rows by the same.
+    docs = docs.withColumns({"row": F.xxhash64("doc_id", "text"), "check": F.hash("doc_id", "text")})
+    spans = repeated_spans(docs.select("row", "check", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -231,7 +281,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for raw, marks in zip(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for m in sorted((m["start"], m["end"]) for m in marks or ()):
+                spans = []
+                for m in marks or ():
+                    if digest(raw[m["first"] : m["last"] + LENGTH]) != m["digest"]:
+                        raise ValueError(COLLISION)
+                    spans += [(m["first"] + x, m["first"] + y) for x, y in zip(m["starts"], m["ends"], strict=True)]
+                for m in sorted(spans):
                     if merged and m[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], m[1])
                     else:
@@ -242,5 +297,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n, removed, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, of), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept_bytes"])
 
-    joined = docs.join(spans, "row", "left").select("doc_id", "text", "marks")
+    joined = docs.join(spans, ["row", "check"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start:int,end:int>>, kept_bytes binary").withColumnRenamed("doc_id", id_col)
