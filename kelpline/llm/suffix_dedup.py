@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from kelpline.llm.run_index import RunIndex
 from kelpline.llm.shingles import mix64, powers, stream
 from kelpline.llm.text import require, slices
-from kelpline.plans.checkpoints import checkpointed
+from kelpline.plans.checkpoints import checkpointed, release
 
 LENGTH, SEED = 200, 64
 #: Seeds by which hot anchors are split, one after the other.
@@ -256,10 +256,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     times = F.sum("times").over(Window.partitionBy("anchor"))
     dealt = seen.where("times is not null").withColumn("all", times).where("all > 1 and context is not null").drop("all")
     live = checkpointed(seen.where("times is null").unionByName(dealt).drop("times"))
+    del seen, dealt, times
+    release(docs.sparkSession)
     groups = live.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "check", "first", "last")).alias("rep"))
     found = checkpointed(fetch(docs, groups))
-    marks = marked(found)
-    mine = live.join(marks, ["anchor", "context"])
+    del groups
+    release(docs.sparkSession)
+    mine = live.join(marked(found), ["anchor", "context"])
     return mine.groupBy("row", "check").agg(F.collect_list(F.struct("first", "last", "digest", "starts", "ends")).alias("marks"))
 
 
