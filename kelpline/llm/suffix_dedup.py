@@ -262,8 +262,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = checkpointed(fetch(docs, groups))
     del groups
     release(docs.sparkSession)
-    mine = live.join(marked(found), ["anchor", "context"])
-    return mine.groupBy("row", "check").agg(F.collect_list(F.struct("first", "last", "digest", "starts", "ends")).alias("marks"))
+    marks = checkpointed(marked(found))
+    del found
+    release(docs.sparkSession)
+    mine = live.join(marks, ["anchor", "context"])
+    mine = checkpointed(mine.groupBy("row", "check").agg(F.collect_list(F.struct("first", "last", "digest", "starts", "ends")).alias("marks")))
+    del live, marks
+    release(docs.sparkSession)
+    return mine
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
