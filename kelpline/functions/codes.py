@@ -51,7 +51,7 @@ def slim_props(props) -> Column:
 
 def strip_heavy(evidence, most: int = 12) -> Column:
     """An evidence map of JSON values without those that are long arrays."""
-    return F.map_filter(col(evidence), lambda k, v: ~(v.startswith("[") & (F.size(F.split(v, ",")) > most)))
+    return F.map_filter(col(evidence), lambda k, v: F.coalesce(F.json_array_length(v), F.lit(0)) <= most)
 
 
 def contact_status(flags, age_s) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.geo import geohash, quantize
+from kelpline.plans.checkpoints import checkpointed
 
 
 def write_observations(obs: DataFrame, path: str) -> None:
@@ -39,6 +40,33 @@ def retention_counts(obs: DataFrame, now_ms: int, raw_h: int = 12, track_h: int
     return all_.join(kept, F.lit(True)).select("kept", (F.col("old") + F.col("raw") - F.col("kept")).alias("thinned"), "purged")
 
 
+def apply_retention(spark: SparkSession, path: str, entities: DataFrame, now_ms: int, raw_h: int = 12, track_h: int = 168, bucket_min: int = 30) -> DataFrame:
+    """Thins and purges an archive that ``write_observations`` wrote, and returns the entities that were heard within
+    ``track_h``.  Days that are raw stay as they are; those that change are written anew, and a day's domain of which nothing
+    stays loses its folder.  A run that is repeated finds nothing more to do.
+    """
+    raw, horizon = now_ms - raw_h * 3_600_000, now_ms - track_h * 3_600_000
+    date = lambda ms: F.to_date(F.timestamp_millis(F.lit(ms)))
+    obs = spark.read.parquet(path)
+    past = obs.where((F.col("date") >= date(horizon)) & (F.col("date") <= date(raw)))
+    # Kept before it is written back, as its source is what it replaces.
+    kept = checkpointed(thinned(past, now_ms, raw_h, track_h, bucket_min))
+    parts = lambda df: {(r.date, r.domain) for r in df.select("date", "domain").distinct().collect()}
+    before, left = parts(obs.where(F.col("date") <= date(raw))), parts(kept)  # as many as there are days and domains
+    how = {"partitionOverwriteMode": "dynamic"}
+    kept.repartition("date", "domain").sortWithinPartitions("date", "domain", "entity_id", "ts_ms").write.mode("overwrite").options(**how).partitionBy("date", "domain").parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for day, domain in before - left:
+        folder = files.Path(f"{path}/date={day}/domain={domain}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return live_within(entities, now_ms, track_h)
+
+
+def live_within(entities: DataFrame, now_ms: int, track_h: int = 168) -> DataFrame:
+    """Entities that aren't stale: heard within ``track_h``."""
+    return entities.where(F.col("last_seen") >= now_ms - track_h * 3_600_000)
+
+
 def trim_to_rows(obs: DataFrame, max_rows: int) -> DataFrame:
     """Whole days, from the newest back, while they fit: (day, n, kept).  Windows run over one row a day."""
     days = obs.groupBy(quantize("ts_ms", 86_400_000).alias("day_ms")).agg(F.count(F.lit(1)).alias("n"))
@@ -46,6 +74,12 @@ def trim_to_rows(obs: DataFrame, max_rows: int) -> DataFrame:
     return days.withColumn("kept", total <= max_rows)
 
 
+def trimmed(obs: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of the days that ``trim_to_rows`` keeps."""
+    days = trim_to_rows(obs, max_rows).where("kept").select(F.col("day_ms").alias("kept_day"))
+    return obs.join(days, quantize("ts_ms", 86_400_000) == F.col("kept_day"), "left_semi")
+
+
 def archive_stats(obs: DataFrame, *keys: str) -> DataFrame:
     aggs = (F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("oldest"), F.max("ts_ms").alias("newest"), F.count_distinct("entity_id").alias("entities"))
     return obs.groupBy(*keys).agg(*aggs)
@@ -54,12 +88,16 @@ def archive_stats(obs: DataFrame, *keys: str) -> DataFrame:
 def ingest_health(log: DataFrame) -> DataFrame:
     """One row a source: attempts, successes, failures since the last success, records and bytes, seconds to wait."""
     ok = F.col("http_status").between(200, 299)
-    w = Window.partitionBy("source_id")
-    rows = log.withColumn("last_ok", F.max(F.when(ok, F.struct("fetched_ms", "id"))).over(w))
-    late = F.col("last_ok").isNull() | (F.struct("fetched_ms", "id") > F.col("last_ok"))
-    out = rows.groupBy("source_id").agg(
-        F.max("fetched_ms").alias("last_attempt"), F.max(F.when(ok, F.col("fetched_ms"))).alias("last_success"), F.count(F.lit(1)).alias("attempts"),
-        F.count_if(ok).alias("successes"), F.count_if(late).alias("streak"), F.sum(F.when(ok, F.col("record_count")).otherwise(0)).alias("records"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"),
+    # Grouped, not windowed: sums combine before the shuffle, and no payload is in it.
+    at = F.struct("fetched_ms", "id")
+    rows = log.select("source_id", "fetched_ms", "id", "record_count", ok.alias("ok"), F.octet_length("payload").cast("long").alias("size"))
+    last = rows.where("ok").groupBy("source_id").agg(F.max(at).alias("last_ok")).withColumnRenamed("source_id", "s")
+    sums = rows.groupBy("source_id").agg(
+        F.max("fetched_ms").alias("last_attempt"), F.max(F.when(F.col("ok"), F.col("fetched_ms"))).alias("last_success"), F.count(F.lit(1)).alias("attempts"),
+        F.count_if("ok").alias("successes"), F.sum(F.when(F.col("ok"), F.col("record_count")).otherwise(0)).alias("records"), F.sum("size").alias("bytes"),
     )
+    late = rows.join(last, F.col("source_id") == F.col("s"), "left").where(F.col("last_ok").isNull() | (at > F.col("last_ok")))
+    streak = late.groupBy(F.col("source_id").alias("s")).agg(F.count(F.lit(1)).alias("streak"))
+    out = sums.join(streak, F.col("source_id") == F.col("s"), "left").drop("s").withColumn("streak", F.coalesce("streak", F.lit(0)))
     wait = F.when(F.col("streak") > 0, F.least(F.lit(300.0), F.pow(F.lit(2.0), F.least(F.lit(8), F.col("streak"))))).otherwise(0.0)
     return out.withColumn("backoff_s", wait.cast("long"))

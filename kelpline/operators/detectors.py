@@ -28,15 +28,17 @@ def finish(df: DataFrame, rule, severity: Column, ts_start: Column, ts_end: Colu
     """The detection schema: evidence is JSON with its keys in order; ``hash`` is over all that was found, ``dedup_key``
     over rule, start, place and entities, so that a lasting condition is one detection."""
     rule = rule if isinstance(rule, Column) else F.lit(rule)
-    proof = F.to_json(F.struct(*[evidence[k].alias(k) for k in sorted(evidence)]))
+    proof = F.struct(*[evidence[k].alias(k) for k in sorted(evidence)])
     out = df.select(
         rule.alias("rule"), severity.alias("severity"), ts_start.cast("long").alias("ts_start"), ts_end.cast("long").alias("ts_end"), "lat", "lon",
-        geohash("lat", "lon", 5).alias("geohash5"), F.array_sort(entity_ids).alias("entity_ids"), title.alias("title"), proof.alias("evidence"), F.lit("open").alias("state"),
+        geohash("lat", "lon", 5).alias("geohash5"), F.array_sort(entity_ids).alias("entity_ids"), title.alias("title"), F.to_json(proof).alias("evidence"), proof.alias("proof_"), F.lit("open").alias("state"),
         *[v.alias(k) for k, v in more.items()],
     )
-    six = lambda c: F.col(c).cast("decimal(10,6)").cast("string")
-    key = F.concat_ws("|", "rule", F.col("ts_start").cast("string"), F.concat_ws(",", "entity_ids"), "geohash5")
-    return out.withColumns({"hash": F.sha2(F.concat_ws("|", "rule", F.col("ts_start").cast("string"), F.concat_ws(",", "entity_ids"), six("lat"), six("lon"), "evidence"), 256), "dedup_key": F.sha2(key, 256)})
+    # Canonical JSON: keys in order at each level, places to six digits.
+    six = lambda c: F.col(c).cast("decimal(10,6)").alias(c)
+    facts = F.to_json(F.struct(F.col("entity_ids").alias("entityIds"), F.col("proof_").alias("evidence"), six("lat"), six("lon"), "rule", F.col("ts_start").alias("tsStart")))
+    key = F.to_json(F.struct(F.col("entity_ids").alias("entityIds"), "geohash5", "rule", F.col("ts_start").alias("tsStart")))
+    return out.withColumns({"hash": F.sha2(facts, 256), "dedup_key": F.sha2(key, 256)}).drop("proof_")
 
 
 def going_dark(obs: DataFrame, now_ms: int, boxes: DataFrame, open_gaps: DataFrame | None = None, default_s: int = 3600, max_age_s: int = 36 * 3600) -> DataFrame:
@@ -100,22 +102,32 @@ def merge_baselines(a: DataFrame, b: DataFrame, *season: str) -> DataFrame:
     return out.withColumn("sd", F.sqrt(F.col("m2") / (F.col("samples") - 1)))
 
 
-def airspace_void(obs: DataFrame, base: DataFrame, tick_ms: int, boxes: DataFrame, precision: int = 4, season: Callable[[Column], Column] | None = None, dedupe: bool = True) -> DataFrame:
+def airspace_void(obs: DataFrame, base: DataFrame, tick_ms: int, boxes: DataFrame, precision: int = 4, season: Callable[[Column], Column] | None = None, dedupe: bool = True, ticks: DataFrame | None = None) -> DataFrame:
     """Cells that usually hold traffic and, at a tick, don't.  Driven from the baseline: what isn't seen has no row.
 
-    ``base`` may have a column ``season``, which ``season`` gives for a tick.  Without ``dedupe`` fixes count, not aircraft.
+    ``ticks`` (tick_ms) are those to judge, by default all from the first to the last with a fix in the air; a run over one
+    batch gives its one tick.  ``base`` may have a column ``season``, which ``season`` gives for a tick.  Without ``dedupe`` fixes count, not aircraft.
     """
     air = obs.where((F.col("domain") == AIR) & ~has("flags", ON_GROUND)).withColumns({"cell": geohash("lat", "lon", precision), "tick_ms": quantize("ts_ms", tick_ms)})
     if dedupe:
         air = newest(air, "entity_id", "tick_ms")
     live = air.groupBy("cell", "tick_ms").agg(F.count(F.lit(1)).alias("observed"), F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
-    span = obs.agg(quantize(F.min("ts_ms"), tick_ms).alias("a"), quantize(F.max("ts_ms"), tick_ms).alias("b"))
-    ticks = span.where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(tick_ms).cast("long"))).alias("tick_ms"))
+    # Ticks are told by the caller, or run from the first fix to the last; cells of other seasons meet none of them.
+    if ticks is None:
+        span = obs.agg(quantize(F.min("ts_ms"), tick_ms).alias("a"), quantize(F.max("ts_ms"), tick_ms).alias("b")).where("a is not null")
+        ticks = span.select(F.explode(F.sequence("a", "b", F.lit(tick_ms).cast("long"))).alias("tick_ms"))
     cells = base.where("mean >= 8")
     if season is None:
-        grid = cells.join(F.broadcast(span), F.lit(True)).where("a is not null").select("cell", "samples", "mean", "sd", F.explode(F.sequence("a", "b", F.lit(tick_ms).cast("long"))).alias("tick_ms"))
+        # One row of ticks, opened up beside each cell: absence has no row that could be joined on.
+        grid = cells.join(F.broadcast(ticks.agg(F.collect_set("tick_ms").alias("at"))), F.lit(True)).select("cell", "samples", "mean", "sd", F.explode("at").alias("tick_ms"))
     else:
-        grid = cells.join(ticks.withColumn("season", season(F.col("tick_ms"))), "season")
+        grid = cells.join(ticks.select("tick_ms").distinct().withColumn("season", season(F.col("tick_ms"))), "season")
+    return voids(live, grid, boxes)
+
+
+def voids(live: DataFrame, grid: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Detections for (cell, tick_ms, samples, mean, sd) of which too little was seen: ``live`` has (cell, tick_ms, observed, c_lat,
+    c_lon) where anything was."""
     d = grid.join(live, ["cell", "tick_ms"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     d = d.withColumns({"z": (F.col("observed") - F.col("mean")) / F.greatest(F.lit(1.0), "sd"), "drop": 1 - F.col("observed") / F.col("mean")}).where("z <= -3 and drop >= 0.6")
     center = cell_center("cell")
@@ -134,7 +146,7 @@ def gnss_bloom(obs: DataFrame, tick_ms: int, boxes: DataFrame, precision: int =
     bad = has("flags", GNSS_DEGRADED)
     g = air.groupBy("cell", "tick_ms").agg(
         F.count_if(bad).alias("degraded"), F.count(F.lit(1)).alias("total"), F.avg(F.when(bad, F.col("lat"))).alias("lat"), F.avg(F.when(bad, F.col("lon"))).alias("lon"),
-        F.slice(F.array_sort(F.collect_set(F.when(bad, F.col("entity_id")))), 1, 25).alias("ids"),
+        F.array_sort(F.collect_set(F.when(bad, F.col("entity_id")))).alias("ids"),
     )
     g = g.withColumn("rate", F.col("degraded") / F.col("total")).where("degraded >= 5 and total >= 8 and rate >= 0.35")
     g = first_watchbox(g, boxes)
@@ -186,6 +198,14 @@ def cell_pairs(points: DataFrame, neighbours: bool = False, precision: int = 5)
     return a.join(b, (F.col("tick_ms") == F.col("t")) & (F.col("near") == F.col("cell")) & (F.col("a.entity_id") < F.col("b.entity_id"))).select("tick_ms", "a", "b")
 
 
+def fixes_before(archive: DataFrame, who: DataFrame, within_ms: int) -> DataFrame:
+    """Fixes of each (entity_id, tick_ms) from ``within_ms`` before the tick up to it.  Stretches of that length are part of
+    the key, so a fix meets the one or two stretches of ticks that reach it, however long the archive is."""
+    asked = who.withColumn("stretch", F.explode(F.array(F.floor(F.col("tick_ms") / F.lit(within_ms)), F.floor(F.col("tick_ms") / F.lit(within_ms)) - 1)))
+    f = archive.select("entity_id", "ts_ms", "obs_id", "lat", "lon", F.floor(F.col("ts_ms") / F.lit(within_ms)).alias("stretch"))
+    return f.join(asked, ["entity_id", "stretch"]).drop("stretch").where((F.col("ts_ms") >= F.col("tick_ms") - within_ms) & (F.col("ts_ms") <= F.col("tick_ms")))
+
+
 def rendezvous(batch: DataFrame, archive: DataFrame, boxes: DataFrame, neighbours: bool = False, most_slow: int = 6) -> DataFrame:
     """Two slow hulls side by side, one of them from afar, together for a while, not at an anchorage.
 
@@ -199,7 +219,7 @@ def rendezvous(batch: DataFrame, archive: DataFrame, boxes: DataFrame, neighbour
     same = (F.coalesce("a.label", F.lit("")) != "") & (F.col("a.label") == F.col("b.label"))
     p = p.where((F.col("sep") >= 25) & (F.col("sep") <= 400) & ~same)
     who = p.select("tick_ms", F.explode(F.array("a.entity_id", "b.entity_id")).alias("entity_id")).distinct()
-    fixes = archive.select("entity_id", "ts_ms", "obs_id", "lat", "lon").join(who, "entity_id").where((F.col("ts_ms") > F.col("tick_ms") - 6 * HOUR) & (F.col("ts_ms") <= F.col("tick_ms")))
+    fixes = fixes_before(archive, who, 6 * HOUR).where(F.col("ts_ms") > F.col("tick_ms") - 6 * HOUR)
     stats = path_stats(fixes, "entity_id", "tick_ms").where("fixes >= 4").select("entity_id", "tick_ms", "path_m")
     then = fixes.where(F.col("ts_ms") <= F.col("tick_ms") - 25 * MIN).groupBy("entity_id", "tick_ms").agg(F.max_by(F.struct("ts_ms", "lat", "lon"), F.struct("ts_ms", "obs_id")).alias("at"))
     hist = stats.join(then, ["entity_id", "tick_ms"])
@@ -224,8 +244,7 @@ def loiter(batch: DataFrame, archive: DataFrame, boxes: DataFrame) -> DataFrame:
     mil = has("flags", MILITARY)
     air = air.where((mil & (F.col("sog_kt") >= 60)) | (~mil & (F.col("sog_kt") >= 150) & ft.between(18_000, 55_000) & F.col("box_key").isNotNull()))
     air = air.select("entity_id", "tick_ms", "lat", "lon", mil.alias("mil"), "box_key", "label")
-    fixes = archive.select("entity_id", "ts_ms", "obs_id", F.col("lat").alias("lat"), F.col("lon").alias("lon")).join(air.select("entity_id", "tick_ms"), "entity_id")
-    fixes = fixes.where((F.col("ts_ms") >= F.col("tick_ms") - 45 * MIN) & (F.col("ts_ms") <= F.col("tick_ms")))
+    fixes = fixes_before(archive, air.select("entity_id", "tick_ms"), 45 * MIN)
     t = path_stats(fixes, "entity_id", "tick_ms").where((F.col("fixes") >= 12) & (F.col("path_m") >= 150_000) & (F.col("duration_ms") >= 25 * MIN))
     t = t.withColumn("straight", F.col("net_m") / F.col("path_m")).where("straight <= 0.25")
     d = air.join(t.select("entity_id", "tick_ms", "fixes", "path_m", "straight", "duration_ms"), ["entity_id", "tick_ms"])
@@ -235,17 +254,21 @@ def loiter(batch: DataFrame, archive: DataFrame, boxes: DataFrame) -> DataFrame:
     return finish(d, "LOITER", severity, quantize(F.col("tick_ms") - F.col("duration_ms"), 30 * MIN), F.col("tick_ms"), F.array("entity_id"), F.concat(F.col("entity_id"), F.lit(" circles")), proof)
 
 
-#: Detections of a rule that one tick keeps.
+#: Detections of a rule that one tick keeps.  Fixed values.
 CAPS = {"RENDEZVOUS": 6, "AIRSPACE_VOID": 8, "GNSS_BLOOM": 8, "LOITER": 10, "SQUAWK_EMERGENCY": 10, "THERMAL_ANOMALY": 15, "SEISMIC_SHALLOW": 15, "REACQUISITION": 20}
 
 
+def rule_group() -> Column:
+    return F.when(F.col("rule").isin("SPOOF_DISCONTINUITY", "DARK_VESSEL"), "REACQUISITION").otherwise(F.col("rule"))
+
+
 def breaker(detections: DataFrame, tick_ms: int, caps: dict[str, int] = CAPS, default: int = 12) -> tuple[DataFrame, DataFrame]:
     """The strongest detections of each rule group and tick, and a report (rule_group, tick_ms, produced, kept)."""
-    group = F.when(F.col("rule").isin("SPOOF_DISCONTINUITY", "DARK_VESSEL"), "REACQUISITION").otherwise(F.col("rule"))
-    d = detections.withColumns({"rule_group": group, "tick_ms": quantize(F.coalesce("ts_end", "ts_start"), tick_ms)})
+    d = detections.withColumns({"rule_group": rule_group(), "tick_ms": quantize(F.coalesce("ts_end", "ts_start"), tick_ms)})
     cap = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("rule_group")), F.lit(default))
     w = Window.partitionBy("rule_group", "tick_ms").orderBy(F.col("severity").desc(), F.concat_ws(",", "entity_ids"), "hash")
-    kept = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
+    # The greatest cap is a number, by which Spark thins each group out before it is dealt; then each rule's own.
+    kept = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max([default, *caps.values()])).where(F.col("rn") <= cap).drop("rn")
     report = d.groupBy("rule_group", "tick_ms").agg(F.count(F.lit(1)).alias("produced"), F.first(cap).alias("cap"))
     return kept, report.select("rule_group", "tick_ms", "produced", F.least("produced", "cap").alias("kept"))
 
@@ -257,20 +280,24 @@ def append_new(found: DataFrame, existing: DataFrame | None = None, key: str = "
     return one if existing is None else one.join(existing.select(key), key, "left_anti")
 
 
-#: Rules by name; each takes (obs, boxes) and returns detections.
+#: Rules that a batch alone feeds, by name; each takes (obs, boxes) and returns detections.
 REGISTRY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "reacquisition": reacquisition, "squawk": lambda obs, boxes: squawk_emergency(obs), "thermal": thermal_anomaly, "seismic": seismic_shallow,
     "gnss": lambda obs, boxes: gnss_bloom(obs, 30_000, boxes),
 }
 
 
+def checked(name: str, found: DataFrame) -> DataFrame:
+    """A rule's detections in the order of the schema; a rule that doesn't return it is refused by name."""
+    if missing := [c for c in FIELDS if c not in found.columns]:
+        raise ValueError(f"rule {name} lacks {missing}")
+    return found.select(*FIELDS)
+
+
 def run_detectors(obs: DataFrame, boxes: DataFrame, rules: dict | None = None) -> DataFrame:
-    """All rules' detections, one a key.  A rule that doesn't return the schema is refused by name."""
+    """All detections of the rules that a batch alone feeds, one a key; ``engine.run_engine`` runs all nine."""
     out = None
     for name, rule in (rules or REGISTRY).items():
-        found = rule(obs, boxes)
-        if missing := [c for c in FIELDS if c not in found.columns]:
-            raise ValueError(f"rule {name} lacks {missing}")
-        found = found.select(*FIELDS)
+        found = checked(name, rule(obs, boxes))
         out = found if out is None else out.unionByName(found)
     return append_new(out)

@@ -20,29 +20,73 @@ def _map(values: dict, key: str) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key))
 
 
+def _dealt(points: DataFrame, radius_m: float, window_ms: int, group: str | None) -> DataFrame:
+    """Points with their cube around the sphere and stretch of time, and the finer cell in which all points are in reach."""
+    side = 2 * math.sin(min(math.pi / 2, radius_m / EARTH_RADIUS_M / 2))
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    # The chord of a fine cell's diagonal is under the radius, and its time under the window.
+    fine = side / math.sqrt(3) * 0.999
+    p = points.select("id", "lat", "lon", "ts_start", (F.col(group) if group else F.lit(0)).alias("g"))
+    p = p.withColumns({c: F.floor(v / F.lit(side)).cast("int") for c, v in at.items()} | {"t": F.floor(F.col("ts_start") / F.lit(window_ms)).cast("long")})
+    return p.withColumn("fine", F.struct(*[F.floor(v / F.lit(fine)).cast("int").alias(f"f{c}") for c, v in at.items()], F.col("t").alias("ft")))
+
+
+def _beside(a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
+    """Joins rows of cubes and stretches that touch; columns of a come as a struct ``l``, those of b as ``r``."""
+    steps = [(i, j, k, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) for m in (-1, 0, 1)]
+    if not both_ways:  # one of two opposite steps will do
+        steps = [s for s in steps if s >= (0, 0, 0, 0)]
+    near = F.explode(F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip("xyzt", s, strict=True)]) for s in steps]))
+    left = a.select("g", near.alias("n"), F.struct(*a.columns).alias("l")).select("g", *[F.col(f"n.{c}").alias(c) for c in "xyzt"], "l")
+    return left.join(b.select("g", *"xyzt", F.struct(*b.columns).alias("r")), ["g", *"xyzt"]).select("l", "r")
+
+
+def _in_reach(radius_m: float, window_ms: int, a: str, b: str) -> Column:
+    return (F.abs(F.col(f"{a}.ts_start") - F.col(f"{b}.ts_start")) <= window_ms) & (haversine_m(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon") <= radius_m)
+
+
 def spacetime_pairs(points: DataFrame, radius_m: float, window_ms: int, group: str | None = None) -> DataFrame:
-    """(a, b) ids of points within both limits, a < b, from (id, lat, lon, ts_start); ``group`` must be equal.
+    """(a, b) ids of all points within both limits, a < b, from (id, lat, lon, ts_start); ``group`` must be equal.
 
     Points are dealt to cubes of the chord's length around the sphere, so poles and the antimeridian are places like
-    any other, and to stretches of the window; one side looks into the 27 cubes and 3 stretches around.
+    any other, and to stretches of the window; one side looks into half of the cubes and stretches around.
     """
-    side = 2 * math.sin(min(math.pi / 2, radius_m / EARTH_RADIUS_M / 2))
-    lat, lon = F.radians("lat"), F.radians("lon")
-    cube = lambda x: F.floor(x / F.lit(side)).cast("int")
-    p = points.select("id", "lat", "lon", "ts_start", (F.col(group) if group else F.lit(0)).alias("g")).withColumns({
-        "x": cube(F.cos(lat) * F.cos(lon)), "y": cube(F.cos(lat) * F.sin(lon)), "z": cube(F.sin(lat)), "t": F.floor(F.col("ts_start") / F.lit(window_ms)).cast("long"),
-    })
-    a = p
-    for c in "xyzt":
-        a = a.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    a = a.select("g", *"xyzt", *[F.col(c).alias(f"a_{c}") for c in ("id", "lat", "lon", "ts_start")])
-    j = a.join(p, ["g", *"xyzt"]).where((F.col("a_id") < F.col("id")) & (F.abs(F.col("a_ts_start") - F.col("ts_start")) <= window_ms))
-    return j.where(haversine_m("a_lat", "a_lon", "lat", "lon") <= radius_m).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
+    p = _dealt(points, radius_m, window_ms, group).drop("fine")
+    same = F.struct(*[F.col(f"l.{c}").alias(c) for c in "xyzt"]) == F.struct(*[F.col(f"r.{c}").alias(c) for c in "xyzt"])
+    j = _beside(p, p, False).where((~same | (F.col("l.id") < F.col("r.id"))) & _in_reach(radius_m, window_ms, "l", "r"))
+    return j.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).where("a < b")
+
+
+#: Pairs of cells up to which all are looked at again, as that costs less than finding out which needn't be.
+FEW_PAIRS = 100_000
 
 
 def clusters(points: DataFrame, radius_m: float = 150_000, window_ms: int = 90 * 60_000, group: str | None = None) -> DataFrame:
-    """(id, cluster) of points that have company; a cluster is named by its least id."""
-    edges = checkpointed(spacetime_pairs(points, radius_m, window_ms, group))
+    """(id, cluster) of points that have company; a cluster is named by its least id.
+
+    Only connectivity counts, so not all pairs are made.  Points of one fine cell are linked to its least one.  Neighbouring
+    cells are first tried by their outermost points, six at most; where that leaves them in different clusters, by all.
+    """
+    p = checkpointed(_dealt(points, radius_m, window_ms, group))
+    cells = p.groupBy("g", "fine").agg(F.min("id").alias("cell"))
+    p = checkpointed(p.join(cells, ["g", "fine"]).drop("fine"))
+    inside = p.where("id <> cell").select(F.col("cell").alias("a"), F.col("id").alias("b"))
+    point = F.struct("id", "lat", "lon", "ts_start")
+    ends = F.array_distinct(F.array(*[f(point, c) for c in ("lat", "lon", "ts_start") for f in (F.min_by, F.max_by)]))
+    outer = p.groupBy("g", *"xyzt", "cell").agg(ends.alias("ends"))
+    beside = _beside(outer, outer, False).where("l.cell <> r.cell")
+    reach = F.exists("l.ends", lambda a: F.exists("r.ends", lambda b: (F.abs(a["ts_start"] - b["ts_start"]) <= window_ms) & (haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) <= radius_m)))
+    tried = checkpointed(beside.select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), reach.alias("linked")))
+    sure = tried.where("linked").select("a", "b").distinct()
+    rest = tried.where("not linked").select("a", "b").distinct()
+    if rest.count() > FEW_PAIRS:  # those of one cluster already need no second look
+        labels = checkpointed(connected_components(sure, "a", "b"))
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
+    one = lambda c: p.select(F.col("cell").alias(c), point.alias(f"p{c}"))
+    more = rest.join(one("a"), "a").join(one("b"), "b").where(_in_reach(radius_m, window_ms, "pa", "pb")).select("a", "b").distinct()
+    edges = checkpointed(sure.unionByName(more).unionByName(inside))
     return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
@@ -80,6 +124,12 @@ def merge_incidents(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("hash").agg(F.max("ts_end").alias("ts_end"), F.max("severity").alias("severity"), F.max_by("detection_ids", "updated_ms").alias("detection_ids"), F.max("updated_ms").alias("updated_ms"))
 
 
+def incident_links(incidents: DataFrame) -> DataFrame:
+    """(id, incident): the incident that each detection belongs to, as a link back; of several the one that was updated last."""
+    one = incidents.select(F.explode("detection_ids").alias("id"), "hash", "updated_ms")
+    return one.groupBy("id").agg(F.max_by("hash", F.struct("updated_ms", "hash")).alias("incident"))
+
+
 def purge_rule(detections: DataFrame, incidents: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
     """What stays of both: detections of other rules, and incidents that keep two members."""
     kept = detections.where(F.col("rule") != rule)

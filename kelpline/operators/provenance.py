@@ -47,21 +47,52 @@ def build_chain(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "source_id int, id long, payload_sha string, prev_sha string, chain_sha string")
 
 
-def verify_chain(chain: DataFrame) -> DataFrame:
+#: Links of a source that one task verifies, about.
+PER_STRETCH = 100_000
+
+
+def verify_chain(chain: DataFrame, per_stretch: int = PER_STRETCH) -> DataFrame:
     """(source_id, links, broken_at, reason): the first link that doesn't follow from the one before, or nulls.
-    A source's first link is taken at its own word for what came before it, so a slice verifies too."""
-    w = Window.partitionBy("source_id").orderBy("id")
-    c = chain.withColumns({"before": F.lag("chain_sha").over(w), "idx": F.row_number().over(w) - 1})
+    A source's first link is taken at its own word for what came before it, so a slice verifies too.
+
+    Each source is cut into stretches of ids.  A stretch is verified by itself, and its first link against the last hash of
+    the stretch before it, which is one row a stretch: verifying needs no order of work, as building does.
+    """
+    c = chain.select("source_id", "id", "payload_sha", "prev_sha", "chain_sha", F.floor(F.col("id") / F.lit(per_stretch)).alias("stretch"))
+    edge = c.groupBy("source_id", "stretch").agg(F.count(F.lit(1)).alias("n"), F.max_by("chain_sha", "id").alias("last"))
+    by_stretch = Window.partitionBy("source_id").orderBy("stretch")
+    edge = edge.select("source_id", "stretch", F.lag("last").over(by_stretch).alias("handed"), F.coalesce(F.sum("n").over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"))
+    w = Window.partitionBy("source_id", "stretch").orderBy("id")
+    c = c.withColumns({"before": F.lag("chain_sha").over(w), "place": F.row_number().over(w) - 1}).join(edge, ["source_id", "stretch"])
+    c = c.withColumns({"before": F.when(F.col("place") == 0, F.col("handed")).otherwise(F.col("before")), "idx": F.col("place") + F.col("done")})
     bad = F.when(F.col("before").isNotNull() & (F.col("prev_sha") != F.col("before")), "link").when(F.col("chain_sha") != chain_next("prev_sha", "payload_sha"), "payload")
     out = c.withColumn("bad", bad).groupBy("source_id").agg(F.count(F.lit(1)).alias("links"), F.min(F.when(F.col("bad").isNotNull(), F.struct("idx", "bad"))).alias("f"))
     return out.select("source_id", "links", F.col("f.idx").alias("broken_at"), F.col("f.bad").alias("reason"))
 
 
+def chain_verdicts(links: DataFrame, chain: DataFrame) -> DataFrame:
+    """(id, records, chain_ok): whether the payloads behind each detection follow from one another, where two in a row of one
+    source are both behind it, and whether each follows from its own payload."""
+    p = chain.select(F.col("id").alias("provenance_id"), "source_id", "payload_sha", "prev_sha", "chain_sha")
+    one = links.select("id", F.explode(F.array_distinct("provenance_ids")).alias("provenance_id")).join(p, "provenance_id")
+    w = Window.partitionBy("id", "source_id").orderBy("provenance_id")
+    before, own = F.lag("chain_sha").over(w), F.col("chain_sha") == chain_next("prev_sha", "payload_sha")
+    one = one.withColumn("ok", own & (before.isNull() | (before == F.col("prev_sha"))))
+    return one.groupBy("id").agg(F.count(F.lit(1)).alias("records"), F.min("ok").alias("chain_ok"))
+
+
+def siblings(incidents: DataFrame) -> DataFrame:
+    """(id, incident, siblings): for each detection of an incident (hash, detection_ids) the others; each gets the incident's own
+    list without itself, so no pairs are made."""
+    one = incidents.select(F.col("hash").alias("incident"), "detection_ids", F.explode("detection_ids").alias("id"))
+    return one.select("id", "incident", F.array_remove("detection_ids", F.col("id")).alias("siblings"))
+
+
 def detections_with_sources(links: DataFrame, provenance: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, provenance_id, source_key, payload_sha): of (id, provenance_ids), each payload behind a detection."""
     one = links.select("id", F.explode("provenance_ids").alias("provenance_id"))
     p = provenance.select(F.col("id").alias("provenance_id"), "source_id", "payload_sha")
-    return one.join(p, "provenance_id").join(F.broadcast(sources.select("source_id", "source_key")), "source_id")
+    return one.join(p, "provenance_id").join(sources.select("source_id", "source_key"), "source_id")
 
 
 def entity_tracks_around(detections: DataFrame, obs: DataFrame, before_ms: int, after_ms: int, most_ids: int = 4) -> DataFrame:
@@ -77,26 +108,55 @@ def case_files(gaps: DataFrame, steps: int = 48) -> DataFrame:
     return r.withColumn("ring", reachable_polygon("prev_lat", "prev_lon", "reach", steps))
 
 
-def evidence_bundles(detections: DataFrame, methods: DataFrame, tracks: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, bundle, manifest_sha): detection, method, tracks and sources of each detection as one JSON text."""
+def full_case_files(detections: DataFrame, gaps: DataFrame, obs: DataFrame, provenance: DataFrame, incidents: DataFrame | None = None, steps: int = 48) -> DataFrame:
+    """One row a detection (id, ts_start, entity_ids, provenance_ids, ...): with ``sources`` (provenance_id, source_id, payload_sha),
+    ``tracks`` of up to four entities from six hours before to one after, ``ring`` (the outline of what could be reached in
+    the gap that a detection of that id has), and its ``incident`` with the ``siblings`` in it."""
+    p = provenance.select(F.col("id").alias("provenance_id"), "source_id", "payload_sha")
+    src = detections.select("id", F.explode("provenance_ids").alias("provenance_id")).join(p, "provenance_id")
+    src = src.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("provenance_id", "source_id", "payload_sha"))).alias("sources"))
+    t = entity_tracks_around(detections, obs, 6 * 3_600_000, 3_600_000, 4).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "fixes", "track"))).alias("tracks"))
+    out = detections.join(src, "id", "left").join(t, "id", "left").join(case_files(gaps, steps).select("id", "reach", "ring"), "id", "left")
+    if incidents is None:
+        return out.withColumns({"incident": F.lit(None).cast("string"), "siblings": F.lit(None).cast("array<long>")})
+    return out.join(siblings(incidents), "id", "left")
+
+
+def evidence_bundles(detections: DataFrame, methods: DataFrame, tracks: DataFrame, sources: DataFrame, verdicts: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(id, bundle, manifest_sha): detection, method, tracks and sources of each detection as one JSON text with keys in order.
+    ``verdicts`` (see chain_verdicts) adds what verifying the sources gave, ``members`` (see siblings) incident and siblings.
+    The methods are a list kept by hand, a row a rule."""
     t = tracks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "fixes"))).alias("tracks"))
     s = sources.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source_key", "provenance_id", "payload_sha"))).alias("sources"))
-    d = detections.join(F.broadcast(methods), "rule", "left").join(t, "id", "left").join(s, "id", "left")
-    fields = ("entity_ids", "evidence", "id", "lat", "limitation", "lon", "method", "rule", "severity", "sources", "tracks", "ts_start")
-    return d.withColumn("bundle", F.to_json(F.struct(*fields))).select("id", "bundle").withColumn("manifest_sha", F.sha2("bundle", 256))
+    d = detections.join(methods, "rule", "left").join(t, "id", "left").join(s, "id", "left")
+    fields = ["entity_ids", "evidence", "id", "lat", "limitation", "lon", "method", "rule", "severity", "sources", "tracks", "ts_start"]
+    if verdicts is not None:
+        d = d.join(verdicts.select("id", F.struct("chain_ok", "records").alias("verification")), "id", "left")
+        fields.append("verification")
+    if members is not None:
+        d = d.join(members, "id", "left")
+        fields += ["incident", "siblings"]
+    return d.withColumn("bundle", F.to_json(F.struct(*sorted(fields)))).select("id", "bundle").withColumn("manifest_sha", F.sha2("bundle", 256))
 
 
 def route_events(events: DataFrame, subscriptions: DataFrame, to_all: int = 70) -> DataFrame:
     """(client_id, id): of (id, severity, geohash5) those whose cell begins with a subscribed one, and the grave ones to all.
 
-    ``subscriptions`` has (client_id, cell); cells of a length join on that many characters of an event's.
+    ``subscriptions`` has (client_id, cell); cells of a length join on that many characters of an event's.  A grave event goes
+    under the empty prefix, which every client has once.
     """
-    subs = subscriptions.withColumn("n", F.length("cell"))
-    prefixes = events.where(F.col("severity") < to_all).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("geohash5")), lambda n: F.substring("geohash5", F.lit(1), n))).alias("prefix"))
-    near = prefixes.join(subs.select("client_id", F.col("cell").alias("prefix")), "prefix").select("client_id", "id")
-    # Every client gets each grave event, which is their product by definition.
-    grave = events.where(F.col("severity") >= to_all).select("id").crossJoin(F.broadcast(subscriptions.select("client_id").distinct()))
-    return near.unionByName(grave.select("client_id", "id")).distinct()
+    subs = subscriptions.select("client_id", "cell").unionByName(subscriptions.select("client_id", F.lit("").alias("cell")).distinct())
+    from_ = F.when(F.col("severity") < to_all, 1).otherwise(0)
+    to = F.when(F.col("severity") < to_all, F.length("geohash5")).otherwise(0)
+    prefixes = events.select("id", F.explode(F.transform(F.sequence(from_, to), lambda n: F.substring("geohash5", F.lit(1), n))).alias("cell"))
+    # Clients are dealt over SALTS parts of a cell: a cell that all clients have, as the empty one, is many tasks' work.
+    subs = subs.withColumn("part", F.pmod(F.xxhash64("client_id"), F.lit(SALTS)).cast("int"))
+    prefixes = prefixes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return prefixes.join(subs, ["cell", "part"]).select("client_id", "id").distinct()
+
+
+#: Parts that a cell's clients are dealt over.
+SALTS = 16
 
 
 def subscription_cells(viewports: DataFrame, precision: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.functions.geo import col, in_box
+from kelpline.functions.geo import col
 
 
 def newest(obs: DataFrame, *keys: str) -> DataFrame:
@@ -26,6 +26,13 @@ def current_state(obs: DataFrame) -> DataFrame:
     )
 
 
+def merged_props(obs: DataFrame, props: str = "props") -> DataFrame:
+    """(entity_id, props): of each key of the map ``props`` the value that came last; keys without a value count as not told."""
+    one = obs.select("entity_id", "ts_ms", "obs_id", F.explode(props).alias("key", "value")).where("value is not null")
+    last = one.groupBy("entity_id", "key").agg(F.max_by("value", F.struct("ts_ms", -F.col("obs_id"))).alias("value"))
+    return last.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))
+
+
 def live_entities(obs: DataFrame, now_ms: int, max_age_s: int = 2700, limit: int | None = 40_000) -> DataFrame:
     """State as of ``now_ms`` of what was heard within ``max_age_s``, newest first."""
     seen = obs.where((F.col("ts_ms") <= now_ms) & (F.col("ts_ms") > now_ms - max_age_s * 1000))
@@ -42,6 +49,15 @@ def snapshot_at(obs: DataFrame, t_ms: int, window_s: int = 180, domains: list[in
     return out.where(viewport) if viewport is not None else out
 
 
+def snapshot_counts(obs: DataFrame, t_ms: int, window_s: int = 180, domains: list[int] | None = None, viewport: Column | None = None) -> DataFrame:
+    """(scanned, kept): fixes that a replay looks at, and entities that it shows."""
+    seen = obs.where((F.col("ts_ms") > t_ms - window_s * 1000) & (F.col("ts_ms") <= t_ms))
+    if domains:
+        seen = seen.where(F.col("domain").isin(domains))
+    last = seen.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("lat", "lon"), F.struct("ts_ms", -F.col("obs_id"))).alias("o")).select("n", "o.*")
+    return last.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"), F.count_if(F.lit(True) if viewport is None else viewport).alias("kept"))
+
+
 def snapshots_at(obs: DataFrame, every_ms: int, window_s: int = 180) -> DataFrame:
     """The same at every multiple of ``every_ms``: a fix is dealt to the few times whose window holds it."""
     first = F.ceil(F.col("ts_ms") / F.lit(every_ms)).cast("long")
@@ -86,18 +102,28 @@ def as_of(obs: DataFrame, wanted: DataFrame, at: str = "at_ms") -> DataFrame:
     return out.select("entity_id", F.col("t").alias(at), F.col("fix.ts_ms").alias("fix_ms"), F.col("fix.lat").alias("lat"), F.col("fix.lon").alias("lon"))
 
 
+#: Boxes that a list may have; it is sent to all executors as one row.
+MOST_BOXES = 10_000
+
+
+def _box_list(boxes: DataFrame) -> DataFrame:
+    fields = ("box_id", "box_key", "box_label", "dark_threshold_s", "min_lat", "min_lon", "max_lat", "max_lon")
+    one = boxes.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes_"))
+    many = F.raise_error(F.lit(f"more than {MOST_BOXES} boxes")).cast("array<struct<box_id:int,box_key:string,box_label:string,dark_threshold_s:int,min_lat:double,min_lon:double,max_lat:double,max_lon:double>>")
+    return F.broadcast(one.select(F.when(F.size("boxes_") > MOST_BOXES, many).otherwise(F.col("boxes_")).alias("boxes_")))
+
+
 def first_watchbox(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds box_key, box_label, dark_threshold_s of the first box by id that holds a point, or nulls.
 
-    The boxes are a list kept by hand (some tens): each point looks through them in an array that is one row wide.
+    The boxes are a list kept by hand, of at most MOST_BOXES: each point looks through them in an array that is one row wide.
     """
-    fields = ("box_id", "box_key", "box_label", "dark_threshold_s", "min_lat", "min_lon", "max_lat", "max_lon")
-    one = boxes.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes_"))
     held = F.filter("boxes_", lambda b: col(lat).between(b["min_lat"], b["max_lat"]) & col(lon).between(b["min_lon"], b["max_lon"]))
-    out = points.join(F.broadcast(one), F.lit(True), "left").withColumn("box_", F.get(held, F.lit(0))).drop("boxes_")
+    out = points.join(_box_list(boxes), F.lit(True), "left").withColumn("box_", F.get(held, F.lit(0))).drop("boxes_")
     return out.withColumns({c: F.col(f"box_.{c}") for c in ("box_key", "box_label", "dark_threshold_s")}).drop("box_")
 
 
 def all_watchboxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each point with each box that holds it: a range join over a broadcast list."""
-    return points.join(F.broadcast(boxes), in_box("lat", "lon"))
+    """Each point with each box that holds it, from the same list."""
+    held = F.filter("boxes_", lambda b: col("lat").between(b["min_lat"], b["max_lat"]) & col("lon").between(b["min_lon"], b["max_lon"]))
+    return points.join(_box_list(boxes), F.lit(True)).withColumn("box_", F.explode(held)).select(*points.columns, "box_.*")

@@ -110,14 +110,14 @@ REACQ = "re AS (SELECT * FROM (SELECT CASE WHEN verdict='IMPOSSIBLE_TRANSIT' THE
 SLIM = "rule, severity, ts_start, ts_end, round(lat,5) AS lat, round(lon,5) AS lon, entities"
 
 #: Emergency codes repeat by hour, place and aircraft: of one key the strongest stays, then by hash.
-SQ_ONE = """sqh AS (SELECT *, sha256(rule||'|'||ts_start||'|'||entities||'|'||printf('%.6f',lat::DECIMAL(10,6))||'|'||printf('%.6f',lon::DECIMAL(10,6))||'|'||'{"squawk":"'||squawk||'"}') AS hash FROM sq),
+SQ_ONE = """sqh AS (SELECT *, sha256('{"entityIds":["'||entities||'"],"evidence":{"squawk":"'||squawk||'"},"lat":'||printf('%.6f',lat::DECIMAL(10,6))||',"lon":'||printf('%.6f',lon::DECIMAL(10,6))||',"rule":"'||rule||'","tsStart":'||ts_start||'}') AS hash FROM sq),
 sq1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts_start, entities, geohash5 ORDER BY severity DESC, hash) AS rn FROM sqh) WHERE rn=1)"""
 SIMPLE = f"{OBS}, {THERMAL}, {SEISMIC}, {SQUAWK}, {SQ_ONE}"
 CELLS = f"""simple AS MATERIALIZED (SELECT *, (ts_start//{SIX_HOURS}) AS run FROM (
   SELECT obs_id*1000000+(ts_start//{H})%1000000 AS id, rule, severity, ts_start, coalesce(ts_end,ts_start) AS ts_end, lat, lon, bkey FROM th
   UNION ALL SELECT obs_id*1000000+(ts_start//{H})%1000000, rule, severity, ts_start, ts_start, lat, lon, NULL FROM se
   UNION ALL SELECT -(CAST(split_part(entities,':',2) AS BIGINT)*1000000+(ts_start//{H})%1000000), rule, severity, ts_start, coalesce(ts_end,ts_start), lat, lon, NULL FROM sq1)),
-edges AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id FROM simple a JOIN simple b ON a.run=b.run AND a.id<b.id AND abs(a.ts_start-b.ts_start)<={90 * 60000} AND {hav("a.lat", "a.lon", "b.lat", "b.lon")}<=150000)"""
+edges AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id FROM simple a JOIN simple b ON a.id<b.id AND abs(a.ts_start-b.ts_start)<={90 * 60000} AND {hav("a.lat", "a.lon", "b.lat", "b.lon")}<=150000)"""
 REACH = "both_ways AS (SELECT a_id AS x, b_id AS y FROM edges UNION SELECT b_id, a_id FROM edges), reach(x,y) AS (SELECT x, x FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON r.y=e.x), cl AS MATERIALIZED (SELECT x AS id, min(y) AS cluster FROM reach GROUP BY x)"
 
 
@@ -212,7 +212,7 @@ ORACLE: dict[str, str] = {
     "reacquisition": f"WITH {OBS}, {GAPS}, {REACQ} SELECT {SLIM} FROM re",
     "baseline_stats": f"WITH {OBS}, z AS (SELECT {gh('lat', 'lon', 2)} AS cell, {q('ts_ms', H)} AS t, count(*) AS n FROM obs WHERE {AIRBORNE} GROUP BY ALL), y AS (SELECT cell, ((t//{H}+96)%168)::INT AS how, n FROM z) SELECT cell, how, count(*) AS samples, round(avg(n),6) AS mean, round(stddev_samp(n),6) AS sd FROM y GROUP BY ALL HAVING count(*)>=2",
     "airspace_void": f"WITH {OBS}, {_BASE_DAY}, days AS (SELECT unnest(generate_series({q('min(ts_ms)', DAY)}, {q('max(ts_ms)', DAY)}, {DAY})) AS tick FROM hid), z AS (SELECT base.cell, days.tick, coalesce(live.n,0) AS observed, mean, sd FROM base CROSS JOIN days LEFT JOIN live ON live.cell=base.cell AND live.tick=days.tick WHERE mean>=8), y AS (SELECT *, (observed-mean)/greatest(1e0,sd) AS zz, 1-observed/mean AS dp FROM z) SELECT 'AIRSPACE_VOID' AS rule, {capped('40+abs(zz)*8+dp*25')} AS severity, tick AS ts_start, cell, observed FROM y WHERE zz<=-3 AND dp>=0.6",
-    "gnss_bloom": f"WITH {OBS}, z AS (SELECT {gh('lat', 'lon', 2)} AS cell, {q('ts_ms', DAY)} AS tick, count(*) FILTER (WHERE (flags&2)<>0) AS degraded, count(*) AS total, avg(lat) FILTER (WHERE (flags&2)<>0) AS lat, avg(lon) FILTER (WHERE (flags&2)<>0) AS lon, least(25,count(DISTINCT CASE WHEN (flags&2)<>0 THEN entity_id END))::INT AS n_ids FROM obs WHERE {AIRBORNE} GROUP BY ALL) SELECT 'GNSS_BLOOM' AS rule, {capped('35+degraded/total*45+least(20,degraded)')} AS severity, tick AS ts_start, round(lat,5) AS lat, round(lon,5) AS lon, n_ids, degraded, total FROM z WHERE degraded>=5 AND total>=8 AND degraded/total>=0.35",
+    "gnss_bloom": f"WITH {OBS}, z AS (SELECT {gh('lat', 'lon', 2)} AS cell, {q('ts_ms', DAY)} AS tick, count(*) FILTER (WHERE (flags&2)<>0) AS degraded, count(*) AS total, avg(lat) FILTER (WHERE (flags&2)<>0) AS lat, avg(lon) FILTER (WHERE (flags&2)<>0) AS lon, count(DISTINCT CASE WHEN (flags&2)<>0 THEN entity_id END)::INT AS n_ids FROM obs WHERE {AIRBORNE} GROUP BY ALL) SELECT 'GNSS_BLOOM' AS rule, {capped('35+degraded/total*45+least(20,degraded)')} AS severity, tick AS ts_start, round(lat,5) AS lat, round(lon,5) AS lon, n_ids, degraded, total FROM z WHERE degraded>=5 AND total>=8 AND degraded/total>=0.35",
     "squawk_emergency": f"WITH {OBS}, {SQUAWK} SELECT {SLIM} FROM sq",
     "rendezvous": f"WITH {OBS}, {BURST}, {_RD} SELECT {SLIM} FROM rd WHERE severity>=45",
     "rendezvous_neighbours": f"WITH {OBS}, {BURST}, {_RD.replace(' AND a.cell=b.cell', '')} SELECT count(*) AS n, sum(severity)::BIGINT AS severity_sum FROM rd WHERE severity>=45",

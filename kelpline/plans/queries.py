@@ -206,25 +206,26 @@ def breaker_topk(s, d):
 
 
 def _simple(s, d):
-    """Thermal, seismic and emergency detections with ids from their observations."""
+    """Thermal, seismic and emergency detections with ids from their observations.  Fusion looks at them all at once: its
+    window of 90 minutes keeps incidents apart, so none is cut where one lookback of a live run would end."""
     o, b = ob.sparse(s, d), dims.watchboxes(s)
     x = detectors.thermal_anomaly(o, b).unionByName(detectors.seismic_shallow(o, b)).unionByName(detectors.squawk_emergency(o))
     x = detectors.append_new(x)
     first = F.regexp_extract(F.element_at("entity_ids", 1), r"(\d+)$", 1).cast("long")
-    return x.withColumns({"id": first * 1_000_000 + F.pmod(F.floor(F.col("ts_start") / F.lit(3_600_000)), F.lit(1_000_000)), "run": F.floor(F.col("ts_start") / F.lit(SIX_HOURS)).cast("long")}).withColumn("id", F.when(F.col("rule") == "SQUAWK_EMERGENCY", -F.col("id")).otherwise(F.col("id")))
+    return x.withColumns({"id": first * 1_000_000 + F.pmod(F.floor(F.col("ts_start") / F.lit(3_600_000)), F.lit(1_000_000))}).withColumn("id", F.when(F.col("rule") == "SQUAWK_EMERGENCY", -F.col("id")).otherwise(F.col("id")))
 
 
 def confluence_edges(s, d):
-    e = fusion.spacetime_pairs(_simple(s, d), 150_000, 90 * 60_000, "run")
+    e = fusion.spacetime_pairs(_simple(s, d), 150_000, 90 * 60_000)
     return e.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
 
 
 def confluence_clusters(s, d):
-    return fusion.clusters(_simple(s, d), group="run").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+    return fusion.clusters(_simple(s, d)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
 def confluence_incidents(s, d):
-    c = fusion.confluence(_simple(s, d), group="run", min_severity=55)
+    c = fusion.confluence(_simple(s, d), min_severity=55)
     return c.select("severity", "members", "n_domains", "ts_start", "ts_end", r("lat", 5).alias("lat"), r("lon", 5).alias("lon"), "radius_km", "lead", F.array_join(F.transform("detection_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -238,7 +239,7 @@ def recent_detections(s, d):
 
 
 def incidents_ranked(s, d):
-    c = fusion.confluence(_simple(s, d), group="run", min_severity=40)
+    c = fusion.confluence(_simple(s, d), min_severity=40)
     m = c.select("hash", "severity", "ts_start", F.explode("detection_ids").alias("id")).join(_simple(s, d).select("id", "rule"), "id")
     m = m.groupBy("hash", "severity", "ts_start").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), F.min("id").alias("least_id"))
     return m.orderBy(F.col("severity").desc(), F.col("ts_start").desc(), "least_id").select("severity", "ts_start", "members", "rules", "least_id")
@@ -246,7 +247,7 @@ def incidents_ranked(s, d):
 
 def purge_rule(s, d):
     found = _simple(s, d)
-    inc = fusion.confluence(found, group="run", min_severity=40)
+    inc = fusion.confluence(found, min_severity=40)
     kept, left = fusion.purge_rule(found, inc, "THERMAL_ANOMALY")
     a = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("detections").alias("what"), "n")
     return a.unionByName(left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("incidents").alias("what"), "n"))
@@ -282,7 +283,8 @@ def chain_build(s, d):
 
 def chain_verify(s, d):
     c = provenance.build_chain(ob.fetch_log(s, d))
-    return provenance.verify_chain(c.withColumn("payload_sha", F.when(F.col("id") % 41 == 17, F.sha2("payload_sha", 256)).otherwise(F.col("payload_sha"))))
+    v = provenance.verify_chain(c.withColumn("payload_sha", F.when(F.col("id") % 41 == 17, F.sha2("payload_sha", 256)).otherwise(F.col("payload_sha"))), 64)
+    return v.withColumn("broken_at", F.col("broken_at").cast("int"))
 
 
 def ingest_health(s, d):

@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans.oracle import ORACLE
-from kelpline.plans.queries import QUERIES
+from kelpline.plans import feeds, oracle, queries as observations, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return observations.QUERIES | feeds.QUERIES | runs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return oracle.ORACLE | feeds.ORACLE | runs.ORACLE

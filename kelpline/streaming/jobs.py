@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kelpline.functions.codes import AIR, ON_GROUND, SEA, has
-from kelpline.functions.geo import geohash, quantize
+from kelpline.functions.geo import geohash, hour_of_week, quantize
+from kelpline.operators import engine
+from kelpline.operators.detectors import baseline, baseline_samples, voids
+from kelpline.operators.provenance import route_events
 
 GAP = "entity_id string, went_dark_ms long, back_ms long, obs_id long, lat0 double, lon0 double, sog0 double, cog0 double, lat1 double, lon1 double, open boolean"
 
@@ -69,10 +73,29 @@ def gap_stream(obs: DataFrame, threshold_s: int = 3600, lateness: str = "1 hour"
 
 
 def cell_counts(obs: DataFrame, precision: int = 4, every: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """(start_ms, cell, n) of airborne fixes, once a window is over.  Empty cells have no row: see tick_void."""
+    """(start_ms, cell, n, c_lat, c_lon) of airborne fixes, once a window is over.  Empty cells have no row: see void_tick."""
     air = obs.where((F.col("domain") == AIR) & ~has("flags", ON_GROUND)).withWatermark("ts", lateness)
-    w = air.groupBy(F.window("ts", every), geohash("lat", "lon", precision).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    return w.select(F.unix_millis("window.start").alias("start_ms"), "cell", "n")
+    w = air.groupBy(F.window("ts", every), geohash("lat", "lon", precision).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
+    return w.select(F.unix_millis("window.start").alias("start_ms"), "cell", "n", "c_lat", "c_lon")
+
+
+def void_tick(base: DataFrame, boxes: DataFrame, found: str, season: Callable | None = hour_of_week) -> Callable[[DataFrame, int], None]:
+    """One tick over windows that are over (see cell_counts): for each of them, the cells of the baseline that hold too little,
+    those without a row too.  A batch that is run again writes its own folder again."""
+
+    def tick(batch: DataFrame, epoch: int) -> None:
+        rows = batch.persist()
+        at = rows.select(F.col("start_ms").alias("tick_ms")).distinct()
+        cells = base.where("mean >= 8")
+        if season is None:
+            grid = cells.join(F.broadcast(at.agg(F.collect_set("tick_ms").alias("at"))), F.lit(True)).select("cell", "samples", "mean", "sd", F.explode("at").alias("tick_ms"))
+        else:
+            grid = cells.join(at.withColumn("season", season(F.col("tick_ms"))), "season")
+        live = rows.select("cell", F.col("start_ms").alias("tick_ms"), F.col("n").alias("observed"), "c_lat", "c_lon")
+        voids(live, grid, boxes).write.mode("overwrite").parquet(f"{found}/epoch={epoch}")
+        rows.unpersist()
+
+    return tick
 
 
 def latest_positions(obs: DataFrame) -> DataFrame:
@@ -90,21 +113,133 @@ def changed_positions(obs: DataFrame, lateness: str = "10 minutes") -> DataFrame
     return obs.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["entity_id", "ts_ms"])
 
 
+CHANGE = "entity_id string, change string, ts_ms long, lat double, lon double, sent_ms long"
+
+
+class DeltaGate(StatefulProcessor):
+    """Sends an entity's fix when it moves on; sends it again when nothing was sent for ``resend_ms``, as long as it was heard
+    within ``live_ms``; then tells once that it is gone.  Times of sending are those of the clock."""
+
+    def __init__(self, resend_ms: int, live_ms: int):
+        self.resend_ms, self.live_ms = resend_ms, live_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_ms long, lat double, lon double, heard_ms long, sent_ms long")
+
+    def _row(self, key, change: str, last) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], change, last[0], last[1], last[2], last[4])], columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    def _wake(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        f = max((r for p in rows for r in p.itertuples()), key=lambda r: (r.ts_ms, -r.obs_id))
+        last = self.last.get() if self.last.exists() else None
+        if last is not None and f.ts_ms <= last[0]:
+            self.last.update((*last[:3], now, last[4]))
+            if now - last[4] < self.resend_ms:
+                return
+            change, last = "resent", (*last[:3], now, now)
+        else:
+            change, last = "new" if last is None else "changed", (int(f.ts_ms), float(f.lat), float(f.lon), now, now)
+        self.last.update(last)
+        self._wake(now + self.resend_ms)
+        yield self._row(key, change, last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if not self.last.exists():
+            return
+        last = self.last.get()
+        if now - last[3] > self.live_ms:
+            self.last.clear()
+            yield self._row(key, "gone", (*last[:4], now))
+            return
+        last = (*last[:4], now)
+        self.last.update(last)
+        self._wake(now + self.resend_ms)
+        yield self._row(key, "resent", last)
+
+    def close(self) -> None:
+        pass
+
+
+def delta_gate(obs: DataFrame, resend_s: int = 20, live_s: int = 2700) -> DataFrame:
+    """Changes to send: new, changed, resent and gone entities.  Needs the RocksDB state store."""
+    fixes = obs.select("entity_id", "ts_ms", "obs_id", "lat", "lon")
+    return fixes.groupBy("entity_id").transformWithStateInPandas(DeltaGate(resend_s * 1000, live_s * 1000), CHANGE, "Append", "ProcessingTime")
+
+
 def run_ticks(obs: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Hands each micro-batch to ``tick(batch, epoch)``; without ``every`` it takes what has landed and ends."""
     w = obs.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def detect_tick(boxes: DataFrame, archive: str, found: str) -> Callable[[DataFrame, int], None]:
-    """One tick: append the batch to the archive, run the rules, and append what is new.  A batch that is run again
-    writes its own folder again."""
-    from kelpline.operators.detectors import run_detectors
+def earlier(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
+    """What ticks before this one wrote to a folder, or None; what a first try of this one wrote doesn't count."""
+    try:
+        return spark.read.parquet(folder).where(F.col("epoch") < epoch)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def detect_tick(boxes: DataFrame, archive: str, found: str, samples: str | None = None, tick_ms: int = 30_000, precision: int = 4, rules: dict | None = None, told: list | None = None) -> Callable[[DataFrame, int], None]:
+    """One tick: append the batch to the archive, run all rules over it and the archive's last hours, append what no earlier tick
+    has found, and then learn what is usual.
+
+    The archive is read by day, so rules that look back see the days of the batch and the one before.  With ``samples``, the
+    first batch of each clock hour adds its counts there, and what earlier ticks have learnt is the baseline.  A batch that is
+    run again writes its own folders again, and finds the same.  ``told`` gets (epoch, errors by rule).
+    """
 
     def tick(batch: DataFrame, epoch: int) -> None:
-        rows = batch.drop("ts").persist()
-        rows.withColumn("day_ms", quantize("ts_ms", 86_400_000)).write.mode("overwrite").parquet(f"{archive}/epoch={epoch}")
-        run_detectors(rows, boxes).write.mode("overwrite").parquet(f"{found}/epoch={epoch}")
+        spark = batch.sparkSession
+        rows = batch.drop("ts").withColumn("day_ms", quantize("ts_ms", DAY_MS)).persist()
+        rows.write.mode("overwrite").partitionBy("day_ms").parquet(f"{archive}/epoch={epoch}")
+        span = rows.agg(F.min("day_ms").alias("a"), F.max("day_ms").alias("b")).first()
+        if span["a"] is None:
+            rows.unpersist()
+            return
+        lately = spark.read.schema(rows.schema).option("basePath", archive).parquet(f"{archive}/epoch=*").where(F.col("day_ms").between(span["a"] - DAY_MS, span["b"]) & (F.col("epoch") <= epoch))
+        learnt = earlier(spark, samples, epoch) if samples else None
+        base = None if learnt is None else baseline(learnt.withColumn("season", hour_of_week("sample_ms")), "season")
+        c = engine.Context(rows.drop("day_ms"), boxes, tick_ms, lately.drop("day_ms", "epoch"), base, precision=precision)
+        known = earlier(spark, found, epoch)
+        run = engine.run_engine(c, None if known is None else known.select("dedup_key"), rules)
+        run.new.write.mode("overwrite").parquet(f"{found}/epoch={epoch}")
+        if told is not None:
+            told.append((epoch, run.errors))
+        if samples:
+            new = baseline_samples(rows, precision)
+            if learnt is not None:
+                new = new.join(learnt.select("sample_ms").distinct(), "sample_ms", "left_anti")
+            new.write.mode("overwrite").parquet(f"{samples}/epoch={epoch}")
         rows.unpersist()
 
     return tick
+
+
+DAY_MS = 86_400_000
+
+
+def found_stream(spark: SparkSession, found: str) -> DataFrame:
+    """Detections as ticks find them, from the folder that they write."""
+    schema = spark.read.parquet(found).schema
+    return spark.readStream.schema(schema).parquet(found)
+
+
+def push_tick(subscriptions: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
+    """One tick over new detections: (client_id, id) to tell, id being the dedup_key."""
+
+    def tick(batch: DataFrame, epoch: int) -> None:
+        told = route_events(batch.withColumn("id", F.col("dedup_key")), subscriptions)
+        told.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return tick

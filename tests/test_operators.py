@@ -164,3 +164,147 @@ def test_stream_windows_equal_batch(spark, small, tmp_path):
     batch = {(r.sample_ms, r.cell): r.n for r in detectors.baseline_samples(o, 4).collect()}
     got = {(r.start_ms, r.cell): r.n for r in spark.table("cells").collect()}
     assert got and all(batch[k] == n for k, n in got.items()) and len(got) >= len(batch) - 5
+
+
+def test_clusters_equal_single_linkage_in_dense_theatres(spark, monkeypatch):
+    import math
+    import random
+
+    from kelpline.operators import fusion
+
+    rng = random.Random(4)
+    pts = [(i, *((rng.gauss(20, 0.6), rng.gauss(50, 0.6)) if i % 3 else (rng.uniform(-85, 85), rng.uniform(-180, 180))), rng.randrange(0, 8 * 3_600_000)) for i in range(700)]
+    pts += [(1000 + i, 10.0, 170 + 0.9 * i if 170 + 0.9 * i < 180 else 170 + 0.9 * i - 360, i * 60_000) for i in range(25)]
+
+    def far(a, b):
+        x, y, dl = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
+        return 2 * 6371008.8 * math.asin(min(1, math.sqrt(math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(dl / 2) ** 2)))
+
+    parent = {p[0]: p[0] for p in pts}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(pts):
+        for b in pts[:i]:
+            if abs(a[3] - b[3]) <= 5_400_000 and far(a, b) <= 150_000:
+                x, y = sorted((find(a[0]), find(b[0])))
+                parent[y] = x
+    want = {i: find(i) for i in parent}
+    alone = {i for i in want if list(want.values()).count(want[i]) == 1}
+    df = spark.createDataFrame(pts, "id long, lat double, lon double, ts_start long")
+    for few in (100_000, 0):
+        monkeypatch.setattr(fusion, "FEW_PAIRS", few)
+        got = {r.id: r.cluster for r in fusion.clusters(df).collect()}
+        assert got == {i: c for i, c in want.items() if i not in alone}
+
+
+def test_a_failing_rule_takes_no_other_with_it(spark, small):
+    from kelpline.operators import engine
+
+    o, boxes = ob.sparse(spark, small), dims.watchboxes(spark)
+
+    def late(c):
+        return engine.RULES["SEISMIC_SHALLOW"](c).withColumn("severity", F.raise_error(F.lit("broken at run time")).cast("int"))
+
+    def planless(c):
+        return c.batch.select("no_such_column")
+
+    rules = {"THERMAL_ANOMALY": engine.RULES["THERMAL_ANOMALY"], "LATE": late, "PLAN": planless, "SHAPE": lambda c: c.batch, "AIRSPACE_VOID": engine.RULES["AIRSPACE_VOID"]}
+    run = engine.run_engine(engine.Context(o, boxes, 86_400_000), rules=rules)
+    assert set(run.errors) == {"LATE", "PLAN", "SHAPE"} and {r.rule for r in run.found.select("rule").distinct().collect()} == {"THERMAL_ANOMALY"}
+    again = engine.run_engine(engine.Context(o, boxes, 86_400_000), existing=run.new.select("dedup_key"), rules={"THERMAL_ANOMALY": rules["THERMAL_ANOMALY"]})
+    assert run.new.count() > 0 and again.new.count() == 0
+
+
+def test_names_of_vessels_that_work_alongside_others(spark):
+    from kelpline.functions.codes import EXCLUDED_KIND, EXCLUDED_NAME
+
+    out = ["PILOT BOAT 4", "Pilot Ems", "RESCUE ONE", "SAR 22", "TUG ARGO", "F/V NORTHERN STAR", "fv sea breeze", "KBV 181", "R/V POLAR", "RV Celtic", "VG 12", "FN-401", "HV 7", "GG 203", "R3-1", "SVITZER MARKEN", "FAIRPLAY 30", "MULTRASALVOR 3", "Harbour Ferry", "ISLAND FERRY 2", "Strong tug of war", "THE PILOT"]
+    keep = ["EVER CALM", "MSC LINA", "TUGELA", "SARONIC GULF", "OCEAN STAR", "NORDIC HAWK", "VGA TRADER", "FNLANDIA", "STENA BULK", "RIO GRANDE", "HVIDE SANDE", "GGK ONE", "OLYMPIC", "FERRYMAN"]
+    df = spark.createDataFrame([(n,) for n in out + keep], "name string")
+    assert {r.name for r in df.where(F.col("name").rlike(EXCLUDED_NAME)).collect()} == set(out)
+    kinds = spark.createDataFrame([(k,) for k in ("Pilot vessel", "tug", "Fishing", "Search and rescue", "dredger", "Law enforcement", "cargo", "crude oil tanker", "bulk carrier", "container ship")], "kind string")
+    assert {r.kind for r in kinds.where(~F.col("kind").rlike(EXCLUDED_KIND)).collect()} == {"cargo", "crude oil tanker", "bulk carrier", "container ship"}
+
+
+def test_chains_verify_over_stretches(spark):
+    log = spark.createDataFrame([(s, i * 7 + s, f"p{i}") for s in (1, 2, 3) for i in range(40)], "source_id int, id long, payload string")
+    chain = provenance.build_chain(log).persist()
+    broken = chain.withColumn("prev_sha", F.when((F.col("source_id") == 2) & (F.col("id") == 21 * 7 + 2), F.lit("x")).otherwise(F.col("prev_sha")))
+    broken = broken.withColumn("payload_sha", F.when((F.col("source_id") == 3) & (F.col("id") == 5 * 7 + 3), F.lit("y")).otherwise(F.col("payload_sha")))
+    for per in (1, 30, 10**6):
+        got = {r.source_id: (r.links, r.broken_at, r.reason) for r in provenance.verify_chain(broken, per).collect()}
+        assert got == {1: (40, None, None), 2: (40, 21, "link"), 3: (40, 5, "payload")}
+
+
+def test_delta_gate_resends_and_removes():
+    """The gate's rows for calls as the stream makes them, with a clock of our own."""
+    import pandas as pd
+
+    class Held:
+        value, timers = None, []
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+        def clear(self):
+            self.value = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def listTimers(self):  # noqa: N802
+            return [(t,) for t in self.timers]
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers = [x for x in self.timers if x != t]
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers = [*self.timers, t]
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.now
+
+    held, gate = Held(), jobs.DeltaGate(20_000, 60_000)
+    gate.init(held)
+    fix = lambda ts: [pd.DataFrame([("e", ts, 1, 1.0, 2.0)], columns=["entity_id", "ts_ms", "obs_id", "lat", "lon"])]
+    said = lambda rows: [(x.change[0], int(x.ts_ms[0])) for x in rows]
+    assert said(gate.handleInputRows(("e",), fix(5), Clock(1_000))) == [("new", 5)] and held.timers == [21_000]
+    assert said(gate.handleInputRows(("e",), fix(5), Clock(2_000))) == [] and said(gate.handleInputRows(("e",), fix(9), Clock(3_000))) == [("changed", 9)]
+    assert said(gate.handleExpiredTimer(("e",), Clock(23_000), None)) == [("resent", 9)] and held.timers == [43_000]
+    assert said(gate.handleInputRows(("e",), fix(9), Clock(50_000))) == [("resent", 9)]
+    assert said(gate.handleExpiredTimer(("e",), Clock(111_000), None)) == [("gone", 9)] and not held.exists()
+
+
+def test_void_ticks_and_pushes(spark, small, tmp_path):
+    o = ob.sparse(spark, small).where("domain = 1").drop("user_id", "event_type")
+    o.write.parquet(str(tmp_path / "in"))
+    boxes, day = dims.watchboxes(spark), 86_400_000
+    usual = detectors.baseline_samples(o, 1, day).groupBy("cell").agg(F.lit(9).cast("long").alias("samples"), F.lit(40.0).alias("mean"), F.lit(1.0).alias("sd"))
+    q = jobs.run_ticks(jobs.cell_counts(jobs.observations(spark, str(tmp_path / "in"), o.schema), 1, "1 day", "1 hour"), jobs.void_tick(usual, boxes, str(tmp_path / "void"), None), str(tmp_path / "cp"))
+    q.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "void"))
+    counts = detectors.baseline_samples(o, 1, day).collect()
+    last = o.agg(F.max("ts_ms")).first()[0]
+    over = {r.sample_ms for r in counts if r.sample_ms + day <= last - 3_600_000}
+    n = {(r.cell, r.sample_ms): r.n for r in counts}
+    want = {(c, t) for t in over for c in {r.cell for r in counts} if n.get((c, t), 0) <= 16}
+    assert {(r.c, r.ts_start) for r in found.select(F.get_json_object("evidence", "$.cell").alias("c"), "ts_start").collect()} == want and any(k not in n for k in want)
+    subs = spark.createDataFrame([("a", "t"), ("b", "zzz")], "client_id string, cell string")
+    jobs.run_ticks(jobs.found_stream(spark, str(tmp_path / "void")), jobs.push_tick(subs, str(tmp_path / "told")), str(tmp_path / "cp2")).awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "told"))
+    grave = found.where("severity >= 70").count()
+    assert told.where("client_id = 'b'").count() == grave and told.where("client_id = 'a'").count() == found.where("severity >= 70 or geohash5 like 't%'").count()
