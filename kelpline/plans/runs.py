@@ -130,7 +130,7 @@ def reachable_outlines(s, d):
     g = detectors.gaps(ob.sparse(s, d), dims.watchboxes(s)).where("v.verdict = 'IMPOSSIBLE_TRANSIT'")
     c = provenance.case_files(g, 6)
     point = lambda p: F.concat_ws(" ", F.format_string("%.3f", F.round(p[0], 3)), F.format_string("%.3f", F.round(p[1], 3)))
-    return c.select("obs_id", F.col("reach.r_min_m").cast("long").alias("r_min_m"), F.size("ring").alias("points"), *[F.round(F.get("ring", F.lit(i))[k], 4).alias(f"{n}{i}") for i in (0, 3, 6) for k, n in ((0, "lon"), (1, "lat"))], (point(F.get("ring", F.lit(0))) == point(F.element_at("ring", -1))).alias("closed"))
+    return c.select("obs_id", F.floor("reach.r_min_m").cast("long").alias("r_min_m"), F.size("ring").alias("points"), *[F.round(F.get("ring", F.lit(i))[k], 4).alias(f"{n}{i}") for i in (0, 3, 6) for k, n in ((0, "lon"), (1, "lat"))], (point(F.get("ring", F.lit(0))) == point(F.element_at("ring", -1))).alias("closed"))
 
 
 def looping_flags(s, d):
@@ -366,10 +366,11 @@ SELECT obs_id, CASE WHEN gap<90 THEN {sql.jsr('gap')}||'s' WHEN gap<5400 THEN mi
   coalesce(replace(bkey,'_',' '), {_one_decimal('abs(p_lat)')}||(CASE WHEN p_lat>=0 THEN 'N ' ELSE 'S ' END)||{_one_decimal('abs(p_lon)')}||(CASE WHEN p_lon>=0 THEN 'E (' ELSE 'W (' END)||{sql.gh('p_lat', 'p_lon', 4)}||')') AS place FROM u""",
     "codes_of_names": f"WITH {OBS}, n(k, d) AS (VALUES (0,2),(1,1),(1,5),(2,1),(2,2),(3,1),(3,2),(4,4),(4,2)) SELECT k, count(*) AS n, sum(obs_id)::BIGINT AS id_sum FROM n JOIN obs ON domain=d GROUP BY k",
     "light_evidence": f"WITH {OBS} SELECT entity_id, {sql.q('ts_ms', 10 * DAY)} AS day_ms, count(*) AS n, CASE WHEN count(*)>12 THEN 'n' ELSE 'n,track' END AS keys FROM obs WHERE domain=2 GROUP BY ALL",
-    "reachable_outlines": f"WITH {OBS}, {GAPS} SELECT obs_id, rmin::BIGINT AS r_min_m, (7+(CASE WHEN rmin>0 THEN 7 WHEN half<180 THEN 1 ELSE 0 END)+1)::INT AS points, {', '.join(f'round({_POINTS[i][1]},4) AS lon{i}, round({_POINTS[i][0]},4) AS lat{i}' for i in (0, 3, 6))}, true AS closed FROM g WHERE verdict='IMPOSSIBLE_TRANSIT'",
+    "reachable_outlines": f"WITH {OBS}, {GAPS} SELECT obs_id, floor(rmin)::BIGINT AS r_min_m, (7+(CASE WHEN rmin>0 THEN 7 WHEN half<180 THEN 1 ELSE 0 END)+1)::INT AS points, {', '.join(f'round({_POINTS[i][1]},4) AS lon{i}, round({_POINTS[i][0]},4) AS lat{i}' for i in (0, 3, 6))}, true AS closed FROM g WHERE verdict='IMPOSSIBLE_TRANSIT'",
     "looping_flags": f"WITH {OBS}, {sql.BURST}, l AS (SELECT *, {sql.hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS leg, row_number() OVER w AS rn FROM burst WHERE domain=1 WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms)), t AS (SELECT entity_id, first(flags) AS flags, sum(CASE WHEN rn>1 THEN leg ELSE 0e0 END) AS path, first(lat ORDER BY ts_ms) AS a, first(lon ORDER BY ts_ms) AS b, last(lat ORDER BY ts_ms) AS c, last(lon ORDER BY ts_ms) AS d FROM l GROUP BY entity_id) SELECT (flags|(CASE WHEN path>=150000 AND {sql.hav('a', 'b', 'c', 'd')}/path<=0.25 THEN 8 ELSE 0 END))::INT AS state_flags, count(*) AS n FROM t GROUP BY 1",
     "incident_siblings": f"WITH RECURSIVE {_LINKED}, s AS (SELECT m.id, m.cluster, count(*) OVER (PARTITION BY m.cluster) AS c, sum(m.id) OVER (PARTITION BY m.cluster) AS t FROM m JOIN big40 USING (cluster)) SELECT id, (c-1)::INT AS n, (t-id)::BIGINT AS id_sum FROM s",
-    "incident_texts": f"""WITH RECURSIVE {_LINKED}, w AS (SELECT cluster, first(bkey ORDER BY m.ts_start, m.id) FILTER (WHERE bkey IS NOT NULL) AS wb, string_agg('T+'||{sql.jsr('(m.ts_start-b.ts_start)/60000e0')}||'m '||rule||' '||m.severity, chr(10) ORDER BY m.ts_start, m.id) AS narrative, array_to_string(list_sort(list_distinct(list(dom))), ',') AS domains, min(m.id) AS least FROM m JOIN big40 b USING (cluster) GROUP BY cluster)
+    "incident_texts": f"""WITH RECURSIVE {_LINKED}, mb AS (SELECT m.*, {sql.first_box("m.lat", "m.lon")} AS fb FROM m), mw AS (SELECT mb.* EXCLUDE (bkey), CASE WHEN rule='SEISMIC_SHALLOW' THEN box.bkey ELSE mb.bkey END AS wbx FROM mb LEFT JOIN box ON bid=fb),
+w AS (SELECT cluster, first(wbx ORDER BY m.ts_start, m.id) FILTER (WHERE wbx IS NOT NULL) AS wb, string_agg('T+'||{sql.jsr('(m.ts_start-b.ts_start)/60000e0')}||'m '||rule||' '||m.severity, chr(10) ORDER BY m.ts_start, m.id) AS narrative, array_to_string(list_sort(list_distinct(list(dom))), ',') AS domains, min(m.id) AS least FROM mw m JOIN big40 b USING (cluster) GROUP BY cluster)
 SELECT least, n_domains||'-domain confluence over '||coalesce(replace(wb,'_',' '), {_one_decimal('abs(lat)')}||(CASE WHEN lat>=0 THEN 'N ' ELSE 'S ' END)||{_one_decimal('abs(lon)')}||(CASE WHEN lon>=0 THEN 'E (' ELSE 'W (' END)||{sql.gh('lat', 'lon', 4)}||')')||': '||lower(replace(lead,'_',' ')) AS title, narrative, domains FROM w JOIN big40 USING (cluster)""",
     "evidence_full": f"""WITH RECURSIVE {OBS}, {sql.THERMAL}, {sql.CHAIN}, br AS (SELECT id, source_id, chain_sha, prev_sha, CASE WHEN id%41=17 THEN sha256(payload_sha) ELSE payload_sha END AS payload_sha, id%41<>17 AS own FROM chain), l AS (SELECT th.obs_id AS id, th.obs_id//100 AS a, th.obs_id//100-7 AS b FROM th)
 SELECT l.id, 1+(CASE WHEN y.id IS NULL THEN 0 ELSE 1 END) AS records, x.own AND coalesce(y.own, true) AS chain_ok, (CASE WHEN y.id IS NULL THEN x.payload_sha ELSE y.payload_sha END) AS payload_sha, 'radiative power of a fire pixel' AS method, true AS whole FROM l JOIN br x ON x.id=a LEFT JOIN br y ON y.id=b""",
