@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.geo import geohash, quantize
-from kelpline.plans.checkpoints import checkpointed
+from kelpline.plans.checkpoints import checkpointed, delete_folder
 
 
 def write_observations(obs: DataFrame, path: str) -> None:
@@ -55,10 +55,8 @@ def apply_retention(spark: SparkSession, path: str, entities: DataFrame, now_ms:
     before, left = parts(obs.where(F.col("date") <= date(raw))), parts(kept)  # as many as there are days and domains
     how = {"partitionOverwriteMode": "dynamic"}
     kept.repartition("date", "domain").sortWithinPartitions("date", "domain", "entity_id", "ts_ms").write.mode("overwrite").options(**how).partitionBy("date", "domain").parquet(path)
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
     for day, domain in before - left:
-        folder = files.Path(f"{path}/date={day}/domain={domain}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/date={day}/domain={domain}")
     return live_within(entities, now_ms, track_h)
 
 

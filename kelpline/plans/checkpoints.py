@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a session without that setting (a test) gets a temporary folder."""
+    """``spark.checkpoint.dir``; a session on one machine without that setting (a test) gets a temporary folder there.  On a
+    cluster no folder of the driver's will do, so the setting must be there."""
     if (folder := spark.conf.get("spark.checkpoint.dir", None)) is not None:
         return folder
     if (folder := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -34,3 +37,9 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has written, wherever it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
