@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each over all that its predecessor kept."""
+"""A corpus pipeline of five stages, each over all that its predecessor kept.
+
+Defined cases: rows with a null or empty text fail the quality rules; rows of one id with different texts are judged by their
+texts; of rows that are equal in all columns one stays after near-duplicates; further columns stay as they are, whatever their
+names; an empty table gives an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import bpe, mixing, near_dup, quality, secret_scan
 from kelpline.llm.queries import vocabulary
-from kelpline.plans.checkpoints import shared_folder
+from kelpline.plans.checkpoints import delete_folder, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written as Parquet in the shared folder and read again."""
+    """Applies the stages to documents; each stage's rows are written as Parquet in the shared folder and read again.  A stage's
+    files go when the next one's are written; the last one's stay, as the result reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")
         docs = spark.read.parquet(path)
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
