@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from kelpline.llm import quality, secret_scan
+from kelpline.llm import centroids, quality, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,4 +77,29 @@ s AS (SELECT id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (W
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (id)
 """
 
-ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5, "op9_secrets": OP9}
+
+def _rounds(n: int) -> str:
+    """Rounds of assignment by plain squared differences: m0 holds the first centroids, a_i the vectors' clusters, m_i the centroids after round i."""
+    steps = []
+    for i in range(n + 1):
+        steps.append(f"""f{i} AS MATERIALIZED (SELECT x.rid, m.cluster, sum((x.x - m.x) * (x.x - m.x)) AS far FROM x JOIN m{i} m USING (place) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT rid, arg_min(cluster, (far, cluster)) AS cluster, min(far) AS far FROM f{i} GROUP BY rid)""")
+        if i < n:
+            steps.append(f"""s{i} AS (SELECT cluster, place, sum(x.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN x USING (rid) GROUP BY ALL),
+m{i + 1} AS MATERIALIZED (SELECT m.cluster, m.place, CASE WHEN n IS NULL THEN m.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM m{i} m LEFT JOIN s{i} USING (cluster, place))""")
+    return ",\n".join(steps)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(greatest(least(e::DOUBLE * 1024, {centroids.LARGEST}), -{centroids.LARGEST}))::BIGINT) AS xs
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT rid, place, xs[place] AS x FROM v, unnest(range(1, 65)) AS u(place)),
+c AS (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), xs) - 1 AS cluster, xs FROM v),
+m0 AS MATERIALIZED (SELECT cluster, place, xs[place] AS x FROM c, unnest(range(1, 65)) AS u(place) WHERE cluster < 8),
+{_rounds(10)},
+sha AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM m10 GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN v USING (rid) JOIN sha USING (cluster)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5, "op9_secrets": OP9, "op13_clusters": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import bpe, fingerprints, html_extract, licenses, mixing, near_dup, quality, secret_scan, suffix_dedup, token_counts
+from kelpline.llm import bpe, centroids, fingerprints, html_extract, licenses, mixing, near_dup, quality, secret_scan, suffix_dedup, token_counts
 
 #: Vocabulary files; a cluster sets the folder that all its machines have.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
@@ -77,4 +77,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_licenses, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_secrets, op10_fingerprints)}
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_licenses, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_secrets, op10_fingerprints, op13_clusters)}
