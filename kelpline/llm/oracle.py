@@ -102,4 +102,21 @@ SELECT vec_id, cluster::INTEGER AS cluster, far::BIGINT AS distance, (sum(far) O
 FROM a10 JOIN v USING (rid) JOIN sha USING (cluster)
 """
 
-ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5, "op9_secrets": OP9, "op13_clusters": OP13}
+#: Prefixes as texts of their turns' ids.  DuckDB has no crc32, so it is folded bit by bit over the decimal's bytes.
+OP11 = rf"""
+WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(words ORDER BY turn NULLS FIRST, id) AS words FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x::BIGINT) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT), 4294967295) % 4 AS h FROM c),
+r AS MATERIALIZED (SELECT h.conv_id, coalesce(b.ids[1:h], []) || h.ids[h + 1:] AS ids, coalesce(b.words[1:h], []) || h.words[h + 1:] AS words FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, array_to_string(ids[1:d], '') AS p, coalesce(words[d], 0) AS w FROM r, unnest(range(0, len(ids) + 1)) AS u(d)),
+node AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w FROM p GROUP BY p, d),
+kids AS (SELECT p[1:32 * (d - 1)] AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+own AS (SELECT node.*, coalesce(kids, 0) AS kids, (coalesce(kids, 0) = 0)::INTEGER AS leaf, (n - 1) * w AS saved FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT p[1:32 * a] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved FROM own, unnest(range(0, d + 1)) AS u(a) GROUP BY 1),
+ends AS (SELECT array_to_string(ids, '') AS p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM r GROUP BY 1)
+SELECT own.conv_id, own.d::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n::BIGINT AS n_convs, kids::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM own JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN node up ON own.d > 0 AND up.p = own.p[1:32 * (own.d - 1)]
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dup": OP1, "op5_quality": OP5, "op9_secrets": OP9, "op11_prefix_trie": OP11, "op13_clusters": OP13}
