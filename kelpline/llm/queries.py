@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import bpe, centroids, fingerprints, html_extract, licenses, mixing, near_dup, prefix_trie, quality, secret_scan, suffix_dedup, token_counts
+from kelpline.llm import bpe, centroids, fingerprints, html_extract, licenses, mixing, near_dup, prefix_trie, quality, secret_scan, suffix_dedup, token_counts, toxicity
 
 #: Vocabulary files; a cluster sets the folder that all its machines have.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
@@ -81,8 +81,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, *toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_licenses, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_secrets, op10_fingerprints, op11_prefix_trie, op13_clusters)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_licenses, op3_token_counts, op4_mixing, op5_quality, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_secrets, op10_fingerprints, op11_prefix_trie, op12_toxicity, op13_clusters)}
