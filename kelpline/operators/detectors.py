@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kelpline.functions.codes import AIR, EXCLUDED_KIND, EXCLUDED_NAME, GEO, GNSS_DEGRADED, MILITARY, ON_GROUND, SEA, THERMAL, has, squawk_severity
 from kelpline.functions.geo import bearing_deg, cell_center, geohash, haversine_m, js_round, quantize
 from kelpline.functions.kinematics import evaluate_reacquisition, profile_for, reachable_set
-from kelpline.operators.state import deltas, first_watchbox, newest
+from kelpline.operators.state import after_known, deltas, first_watchbox, newest
 
 MIN, HOUR = 60_000, 3_600_000
 
@@ -43,9 +43,14 @@ def finish(df: DataFrame, rule, severity: Column, ts_start: Column, ts_end: Colu
 
 def going_dark(obs: DataFrame, now_ms: int, boxes: DataFrame, open_gaps: DataFrame | None = None, default_s: int = 3600, max_age_s: int = 36 * 3600) -> DataFrame:
     """Entities that have fallen silent for longer than their place allows, and have no gap open yet."""
-    last = newest(obs.where(F.col("ts_ms") <= now_ms), "entity_id").where(F.col("domain").isin(SEA, AIR))
+    last = newest(obs.where(F.col("ts_ms") <= now_ms), "entity_id")
+    return fallen_silent(last, now_ms, boxes, open_gaps, default_s, max_age_s)
+
+
+def fallen_silent(last: DataFrame, now_ms: int, boxes: DataFrame, open_gaps: DataFrame | None = None, default_s: int = 3600, max_age_s: int | None = None) -> DataFrame:
+    """The same from each entity's last fix; without ``max_age_s`` however long it has been silent."""
     age = (F.lit(now_ms) - F.col("ts_ms")) / 1000
-    last = first_watchbox(last.where((age > default_s / 2) & (age < max_age_s)), boxes)
+    last = first_watchbox(last.where(F.col("domain").isin(SEA, AIR) & (age > default_s / 2) & (F.lit(True) if max_age_s is None else age < max_age_s)), boxes)
     moored = (F.col("domain") == SEA) & (F.coalesce("sog_kt", F.lit(0.0)) < 0.4)
     landed = (F.col("domain") == AIR) & has("flags", ON_GROUND)
     out = last.where((age >= F.coalesce("dark_threshold_s", F.lit(default_s))) & ~moored & ~landed)
@@ -54,9 +59,13 @@ def going_dark(obs: DataFrame, now_ms: int, boxes: DataFrame, open_gaps: DataFra
     return out.select("entity_id", "domain", F.col("ts_ms").alias("went_dark_at"), "lat", "lon", "sog_kt", "cog_deg", "box_key")
 
 
-def gaps(obs: DataFrame, boxes: DataFrame, default_s: int = 3600) -> DataFrame:
-    """Closed gaps: a fix, the one before it, and a silence between that was long enough for the place where it began."""
-    d = deltas(obs.where(F.col("domain").isin(SEA, AIR))).where(F.col("dt_ms") >= 300_000)
+def gaps(obs: DataFrame, boxes: DataFrame, default_s: int = 3600, known: DataFrame | None = None) -> DataFrame:
+    """Closed gaps: a fix, the one before it, and a silence between that was long enough for the place where it began.
+
+    ``known`` has each entity's last fix before ``obs`` (see ``state.last_known``), however long ago it was."""
+    moving = obs.where(F.col("domain").isin(SEA, AIR))
+    d = deltas(moving if known is None else after_known(moving, known))
+    d = (d if known is None else d.where(~F.col("known_"))).where(F.col("dt_ms") >= 300_000)
     d = first_watchbox(d, boxes, "prev_lat", "prev_lon")
     moored = (F.col("domain") == SEA) & (F.coalesce("prev_sog_kt", F.lit(0.0)) < 0.4)
     landed = (F.col("domain") == AIR) & has("prev_flags", ON_GROUND)
@@ -67,9 +76,9 @@ def gaps(obs: DataFrame, boxes: DataFrame, default_s: int = 3600) -> DataFrame:
     return d.withColumn("v", evaluate_reacquisition("prev_lat", "prev_lon", "prev_sog_kt", "prev_cog_deg", "lat", "lon", "gap_s", "profile", "dist_m", "bearing", "reach"))
 
 
-def reacquisition(obs: DataFrame, boxes: DataFrame) -> DataFrame:
+def reacquisition(obs: DataFrame, boxes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Targets that reappear where their class could not have got to, or off the course it could have held."""
-    g = gaps(obs, boxes).where("v.verdict <> 'CONSISTENT'")
+    g = gaps(obs, boxes, known=known).where("v.verdict <> 'CONSISTENT'")
     severity = capped(F.col("v.score") * F.when(F.col("box_key").isNotNull(), 1.15).otherwise(1.0))
     g = g.withColumn("sev", severity).where("sev >= 25")
     rule = F.when(F.col("v.verdict") == "IMPOSSIBLE_TRANSIT", "SPOOF_DISCONTINUITY").otherwise("DARK_VESSEL")
@@ -266,7 +275,7 @@ def breaker(detections: DataFrame, tick_ms: int, caps: dict[str, int] = CAPS, de
     """The strongest detections of each rule group and tick, and a report (rule_group, tick_ms, produced, kept)."""
     d = detections.withColumns({"rule_group": rule_group(), "tick_ms": quantize(F.coalesce("ts_end", "ts_start"), tick_ms)})
     cap = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("rule_group")), F.lit(default))
-    w = Window.partitionBy("rule_group", "tick_ms").orderBy(F.col("severity").desc(), F.concat_ws(",", "entity_ids"), "hash")
+    w = Window.partitionBy("rule_group", "tick_ms").orderBy(F.col("severity").desc(), "ts_start", "geohash5", F.concat_ws(",", "entity_ids"), "hash")
     # The greatest cap is a number, by which Spark thins each group out before it is dealt; then each rule's own.
     kept = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max([default, *caps.values()])).where(F.col("rn") <= cap).drop("rn")
     report = d.groupBy("rule_group", "tick_ms").agg(F.count(F.lit(1)).alias("produced"), F.first(cap).alias("cap"))

@@ -95,8 +95,16 @@ def confluence(detections: DataFrame, radius_km: float = 150, window_min: int =
 
     ``detections`` has a numeric ``id``; ``group`` (a column) keeps runs apart, as a lookback does.
     """
-    d = checkpointed(detections.select("id", "rule", "severity", "ts_start", F.coalesce("ts_end", "ts_start").alias("ts_end"), "lat", "lon", "hash", F.get_json_object("evidence", "$.watchbox").alias("watchbox"), *([group] if group else [])))
-    m = d.join(clusters(d, radius_km * 1000, window_min * 60_000, group), "id")
+    d = checkpointed(detections.select(*MEMBER_FIELDS[:-2], "hash", F.get_json_object("evidence", "$.watchbox").alias("watchbox"), *([group] if group else [])).withColumn("ts_end", F.coalesce("ts_end", "ts_start")))
+    return incidents_of_clusters(d.join(clusters(d, radius_km * 1000, window_min * 60_000, group), "id"), min_severity).drop("cluster")
+
+
+#: What fusion needs of a detection.
+MEMBER_FIELDS = ("id", "rule", "severity", "ts_start", "ts_end", "lat", "lon", "hash", "watchbox")
+
+
+def incidents_of_clusters(m: DataFrame, min_severity: int = 55) -> DataFrame:
+    """Incidents from members with their ``cluster``: those clusters that pass the gates, scored and told."""
     m = m.withColumns({"domain": _map(RULE_DOMAIN, "rule"), "weighted": F.col("severity") * F.coalesce(_map(RULE_WEIGHT, "rule"), F.lit(1.0)), "w": F.greatest(F.lit(1), "severity")})
     rank = Window.partitionBy("cluster").orderBy(F.col("weighted").desc(), "id")
     m = m.withColumn("part", F.col("weighted") * F.pow(F.lit(0.45), F.row_number().over(rank) - 1))
@@ -115,7 +123,7 @@ def confluence(detections: DataFrame, radius_km: float = 150, window_min: int =
     title = F.concat(F.col("n_domains").cast("string"), F.lit("-domain confluence over "), describe_place("watchbox", "lat", "lon"), F.lit(": "), F.lower(F.replace("lead", F.lit("_"), F.lit(" "))))
     line = lambda x: F.concat(F.lit("T+"), js_round((x["ts_start"] - F.col("ts_start")) / 60000).cast("string"), F.lit("m "), x["rule"], F.lit(" "), x["severity"].cast("string"))
     hash_ = F.sha2(F.concat_ws("|", "members_hash", F.col("lat").cast("decimal(10,6)").cast("string"), F.col("lon").cast("decimal(10,6)").cast("string")), 256)
-    return c.withColumns({"title": title, "narrative": F.array_join(F.transform("story", line), "\n"), "hash": hash_}).drop("story", "members_hash", "score", "cluster")
+    return c.withColumns({"title": title, "narrative": F.array_join(F.transform("story", line), "\n"), "hash": hash_}).drop("story", "members_hash", "score")
 
 
 def merge_incidents(old: DataFrame, new: DataFrame) -> DataFrame:

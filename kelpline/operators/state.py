@@ -85,6 +85,29 @@ def deltas(obs: DataFrame) -> DataFrame:
     return obs.withColumns({**prev, **carried}).withColumn("dt_ms", F.col("ts_ms") - F.col("prev_ts_ms"))
 
 
+#: What is kept of an entity's last fix; speed, course and flags are the last that were told up to it.
+LAST = "entity_id string, ts_ms long, obs_id long, domain int, lat double, lon double, sog_kt double, cog_deg double, flags int"
+LAST_FIELDS = tuple(c.split()[0] for c in LAST.split(", "))
+
+
+def last_known(obs: DataFrame) -> DataFrame:
+    """Each entity's last fix, with the last speed, course and flags that it told."""
+    order = F.struct("ts_ms", "obs_id")
+    told = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("sog_kt", "cog_deg", "flags")]
+    out = obs.where("entity_id is not null").groupBy("entity_id").agg(F.max_by(F.struct("ts_ms", "obs_id", "domain", "lat", "lon"), order).alias("o"), *told)
+    return out.select("entity_id", "o.*", "sog_kt", "cog_deg", "flags").select(*LAST_FIELDS)
+
+
+def after_known(obs: DataFrame, known: DataFrame) -> DataFrame:
+    """Fixes behind the last one that is known of their entity, and that one before them (``known_`` is true).  Fixes that come
+    later than newer ones are left out: what lay between those has been judged."""
+    k = known.select(*LAST_FIELDS)
+    marks = k.select("entity_id", F.struct("ts_ms", "obs_id").alias("mark_"))
+    new = obs.join(marks, "entity_id", "left").where(F.col("mark_").isNull() | (F.struct("ts_ms", "obs_id") > F.col("mark_"))).drop("mark_")
+    here = k.join(obs.select("entity_id").distinct(), "entity_id", "left_semi")
+    return new.withColumn("known_", F.lit(False)).unionByName(here.withColumn("known_", F.lit(True)), allowMissingColumns=True)
+
+
 def tracks(obs: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Each entity's fixes in a time range, in order, as one array; meant for a selection of entities or hours."""
     seen = obs.where(F.col("ts_ms").between(from_ms, to_ms))

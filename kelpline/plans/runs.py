@@ -7,7 +7,7 @@ import os
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import codes, geo, kinematics
@@ -18,33 +18,41 @@ from kelpline.plans.checkpoints import checkpointed, shared_folder
 from kelpline.plans.queries import DAY, NOW, r, slim
 from kelpline.sources import dims
 from kelpline.sources import observations as ob
-from kelpline.streaming import jobs
+from kelpline.streaming import jobs, watch
 
 HOUR = 3_600_000
 
 
-def _run(s: SparkSession, d: str) -> engine.Run:
-    """All nine rules, a day being a tick: sparse fixes feed most of them, dense tracks those that look at meetings and circles,
-    and the void rule sees the fixes of which some days are hidden."""
-    o, burst, seen = ob.sparse(s, d), ob.burst(s, d), q._void_input(s, d)
-    sea, air = burst.where("domain = 2"), burst.where("domain = 1")
+def _run(s: SparkSession, d: str, now_ms: int | None = None) -> engine.Run:
+    """All nine rules as they are, a day being a tick: sparse fixes, of which some days are hidden, are the batch; dense tracks are
+    what rules look back on that look at meetings and circles; nothing was known before."""
+    seen, burst = q._void_input(s, d), ob.burst(s, d)
     base = detectors.baseline(detectors.baseline_samples(seen, 2, DAY), least=8)
-    c = engine.Context(o, dims.watchboxes(s), DAY, precision=2, season=None, dedupe=False)
-    rules = engine.RULES | {
-        "RENDEZVOUS": lambda c: detectors.rendezvous(q._at_end(sea), sea, c.boxes), "LOITER": lambda c: detectors.loiter(q._at_end(air), air, c.boxes),
-        "AIRSPACE_VOID": lambda c: detectors.airspace_void(seen, base, c.tick_ms, c.boxes, c.precision, c.season, c.dedupe),
-    }
-    return engine.run_engine(c, rules=rules)
+    none = s.createDataFrame([], state.LAST)
+    c = engine.Context(seen, dims.watchboxes(s), DAY, burst, base, q._at_end(burst), precision=2, season=None, dedupe=False, known=none, now_ms=now_ms)
+    run = engine.run_engine(c)
+    if run.errors:
+        raise RuntimeError(str(run.errors))
+    return run
 
 
 def run_all(s, d):
     run = _run(s, d)
-    if run.errors:
-        raise RuntimeError(str(run.errors))
     per = run.kept.groupBy("rule_group", "tick_ms").agg(F.sum("severity").alias("severity_sum"), F.max("severity").alias("most"))
     return run.report.join(per, ["rule_group", "tick_ms"])
 
 
+def run_opened(s, d):
+    """Who has fallen silent when a run over everything ends, however long ago."""
+    return _run(s, d, NOW + 16 * DAY).opened.select("entity_id", "went_dark_at", "box_key")
+
+
+def run_incidents(s, d):
+    """Incidents of a run of all rules over everything: what the breaker left, fused last."""
+    i = engine.incidents_of(_run(s, d).new, min_severity=55)
+    return i.select("severity", "members", "n_domains", "ts_start", "ts_end", r("lat", 4).alias("lat"), r("lon", 4).alias("lon"), "radius_km")
+
+
 def all_rules(s, d):
     """What all rules find, one a key, before the breaker."""
     found = detectors.append_new(_run(s, d).found)
@@ -52,12 +60,13 @@ def all_rules(s, d):
 
 
 def void_by_season(s, d):
-    """The void rule as it runs by default: aircraft, not fixes, against the hour of the week (here: the day), one tick a day."""
-    o = q._void_input(s, d)
+    """The void rule as it runs by default: aircraft, not fixes, against the hour of the week (here: the day), one tick a day.
+    Usual is what the days with all their fixes show; judged are the days of which fixes are hidden."""
+    o = ob.sparse(s, d).where("domain = 1")
     day = lambda ms: F.floor(geo.hour_of_week(ms) / F.lit(24)).cast("int")
-    one = state.newest(o.where("domain = 1").withColumn("tick_ms", geo.quantize("ts_ms", DAY)), "entity_id", "tick_ms")
+    one = state.newest(o.withColumn("tick_ms", geo.quantize("ts_ms", DAY)), "entity_id", "tick_ms")
     samples = detectors.baseline_samples(one, 1, DAY).withColumn("season", day(F.col("sample_ms")))
-    v = detectors.airspace_void(o, detectors.baseline(samples, "season", least=2), DAY, dims.watchboxes(s), precision=1, season=day)
+    v = detectors.airspace_void(q._void_input(s, d), detectors.baseline(samples, "season", least=2), DAY, dims.watchboxes(s), precision=1, season=day)
     return v.select("severity", "ts_start", F.get_json_object("evidence", "$.cell").alias("cell"), F.get_json_object("evidence", "$.observed").cast("long").alias("observed"), F.round(F.get_json_object("evidence", "$.zScore").cast("double"), 1).alias("z"))
 
 
@@ -227,13 +236,19 @@ def _rocks(s: SparkSession):
         s.conf.set(key, old)
 
 
-def _landed(s: SparkSession, d: str, days: int = 10) -> tuple[str, DataFrame]:
-    """A folder of observation files, one a stretch of days in order of time, and their stream, a file a batch."""
+def _landed(s: SparkSession, d: str, days: int = 10, seen: Column | None = None) -> tuple[str, DataFrame]:
+    """A folder of observation files, each of some whole stretches of days, and their stream, a file a batch in order of time.
+
+    One job writes them all, dealt by ranges of stretches; a stream takes files by age, so each is then given its place in time."""
     folder = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
-    o = ob.sparse(s, d).drop("user_id", "event_type").withColumn("part", F.floor(F.col("ts_ms") / F.lit(days * DAY)))
-    o = checkpointed(o)
-    for k in [x.part for x in o.select("part").distinct().orderBy("part").collect()]:  # as many as there are files
-        o.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    o = ob.sparse(s, d) if seen is None else ob.sparse(s, d).where(seen)
+    o = checkpointed(o.drop("user_id", "event_type").withColumn("part", F.floor(F.col("ts_ms") / F.lit(days * DAY))))
+    ends = o.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
+    o.repartitionByRange(ends["b"] - ends["a"] + 1, "part").drop("part").write.parquet(f"{folder}/in")
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/part-*")
+    fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for k, name in enumerate(sorted(x.getPath().toString() for x in fs.globStatus(path))):
+        fs.setTimes(s.sparkContext._jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + k * 60_000, -1)
     return folder, jobs.observations(s, f"{folder}/in", o.drop("part").schema, 1)
 
 
@@ -293,9 +308,37 @@ def _uncapped(rule):
     return lambda c: rule(c).where("severity >= 97")
 
 
+#: Rules whose findings one batch and many ticks judge alike, and caps that cut none of them.
+SIMPLE_RULES = ("SQUAWK_EMERGENCY", "THERMAL_ANOMALY", "SEISMIC_SHALLOW")
+NO_CAPS = dict.fromkeys(detectors.CAPS, 1 << 40)
+
+
+def _watched(s, d, rules: tuple[str, ...], days: int = 11, seen: Column | None = None, **how) -> watch.Kept:
+    """What a watch has kept when it has seen all files, a day being a tick."""
+    folder, o = _landed(s, d, days, seen)
+    w = watch.Watch(dims.watchboxes(s), f"{folder}/kept", DAY, 2, season=None, rules={k: engine.RULES[k] for k in rules}, caps=NO_CAPS, told=[], **how)
+    jobs.run_ticks(o, watch.watch_tick(w), f"{folder}/at").awaitTermination()
+    if errors := {k: v for _, e in w.told for k, v in e.items()}:
+        raise RuntimeError(str(errors))
+    return watch.Kept(s, w.folder)
+
+
+def stream_gap_table(s, d):
+    """Gaps as ticks have kept them: closed by a fix in a later file, however long after, or open still.  An eighth of all ships and
+    of all aircraft isn't heard for twelve days."""
+    mute = (F.col("user_id") % 8).isin(1, 4) & F.col("ts_ms").between(NOW - 6 * DAY, NOW + 6 * DAY)
+    return _watched(s, d, ("REACQUISITION",), seen=~mute, fuse=False).gaps.before(1 << 40).select("entity_id", "went_dark_ms", "state", "back_ms", "obs_id", "verdict", "box_key")
+
+
+def stream_incidents(s, d):
+    """Incidents as ticks have grown and merged them."""
+    i = _watched(s, d, SIMPLE_RULES).incidents.before(1 << 40)
+    return i.select("severity", "members", "n_domains", "ts_start", "ts_end", r("lat", 5).alias("lat"), r("lon", 5).alias("lon"), "radius_km", "lead")
+
+
 QUERIES = {f.__name__: f for f in (
-    run_all, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs,
+    run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_incidents,
 )}
 
 
@@ -314,11 +357,19 @@ def _inner(name: str, *ctes: str) -> str:
 
 _GROUP = "CASE WHEN rule IN ('SPOOF_DISCONTINUITY','DARK_VESSEL') THEN 'REACQUISITION' ELSE rule END"
 _CELL1 = lambda p: sql.gh("lat", "lon", p)
-_EVERY = f"""{OBS}, {sql.BURST}, {GAPS}, {sql.REACQ}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, {sql._RD}, lo AS ({_inner("loiter", OBS, sql.BURST)}),
-gb AS (SELECT * FROM ({_inner("gnss_bloom", OBS)})), av AS (SELECT * FROM ({_inner("airspace_void", OBS)})),
-every AS (SELECT rule, severity, ts_start, ts_end, entities FROM re UNION ALL SELECT rule, severity, ts_start, ts_end, entities FROM th UNION ALL SELECT rule, severity, ts_start, ts_end, entities FROM se
-  UNION ALL SELECT rule, severity, ts_start, ts_end, entities FROM sq UNION ALL SELECT rule, severity, ts_start, ts_end, entities FROM rd WHERE severity>=45 UNION ALL SELECT rule, severity, ts_start, ts_end, entities FROM lo
-  UNION ALL SELECT rule, severity, ts_start, NULL, '' FROM gb UNION ALL SELECT rule, severity, ts_start, NULL, '' FROM av)"""
+_HIDDEN = f"(domain=1 AND (ts_ms//{DAY})%10=7 AND ((user_id//8)%10)%3=1)"
+#: What a run sees: sparse fixes of which some days are hidden; dense tracks come of all of them.
+_SEEN = f"""{OBS.replace("obs AS MATERIALIZED", "obs0 AS MATERIALIZED")}, obs AS MATERIALIZED (SELECT * FROM obs0 WHERE NOT {_HIDDEN})"""
+_VOIDS = f"""live AS (SELECT {_CELL1(2)} AS cell, {sql.q('ts_ms', DAY)} AS tick, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, min((floor((lat+90e0)/180e0*32)+0.5e0)*180e0/32-90) AS mid_lat, min((floor((lon+180e0)/360e0*32)+0.5e0)*360e0/32-180) AS mid_lon FROM obs WHERE {sql.AIRBORNE} GROUP BY ALL),
+base AS (SELECT cell, avg(n) AS mean, stddev_samp(n) AS sd, min(mid_lat) AS mid_lat, min(mid_lon) AS mid_lon FROM live GROUP BY cell HAVING count(*)>=8), days AS (SELECT unnest(generate_series({sql.q('min(ts_ms)', DAY)}, {sql.q('max(ts_ms)', DAY)}, {DAY})) AS tick FROM obs),
+vz AS (SELECT base.cell, days.tick, coalesce(live.n,0) AS observed, mean, sd, coalesce(live.lat, base.mid_lat) AS lat, coalesce(live.lon, base.mid_lon) AS lon FROM base CROSS JOIN days LEFT JOIN live ON live.cell=base.cell AND live.tick=days.tick WHERE mean>=8), vy AS (SELECT *, (observed-mean)/greatest(1e0,sd) AS zz, 1-observed/mean AS dp FROM vz),
+av AS (SELECT 'AIRSPACE_VOID' AS rule, {sql.capped('40+abs(zz)*8+dp*25')} AS severity, tick AS ts_start, lat, lon FROM vy WHERE zz<=-3 AND dp>=0.6)"""
+_EVERY = f"""{_SEEN}, {sql.BURST.replace(" FROM obs,", " FROM obs0,")}, {GAPS}, {sql.REACQ}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, {sql.SQ_ONE}, {sql._RD}, lo AS ({_inner("loiter", OBS, sql.BURST)}),
+gb AS ({_inner("gnss_bloom", OBS).replace("round(lat,5) AS lat, round(lon,5) AS lon", "lat, lon")}), {_VOIDS},
+each AS (SELECT rule, severity, ts_start, ts_end, lat, lon, entities, '' AS hash FROM re UNION ALL SELECT rule, severity, ts_start, ts_end, lat, lon, entities, '' FROM th UNION ALL SELECT rule, severity, ts_start, ts_end, lat, lon, entities, '' FROM se
+  UNION ALL SELECT rule, severity, ts_start, ts_end, lat, lon, entities, hash FROM sqh UNION ALL SELECT rule, severity, ts_start, ts_end, lat, lon, entities, '' FROM rd WHERE severity>=45 UNION ALL SELECT rule, severity, ts_start, ts_end, lat, lon, entities, '' FROM lo
+  UNION ALL SELECT rule, severity, ts_start, NULL, lat, lon, '', '' FROM gb UNION ALL SELECT rule, severity, ts_start, NULL, lat, lon, '', '' FROM av),
+every AS (SELECT *, {sql.gh("lat", "lon", 5)} AS geohash5 FROM each)"""
 _CAPS = "CASE rule_group " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in detectors.CAPS.items()) + " ELSE 12 END"
 _HASHED = f"""'{{"entityIds":["'||entities||'"],"evidence":'||evidence||',"lat":'||printf('%.6f',lat::DECIMAL(10,6))||',"lon":'||printf('%.6f',lon::DECIMAL(10,6))||',"rule":"'||rule||'","tsStart":'||ts_start||'}}'"""
 _KEYED = """'{"entityIds":["'||entities||'"],"geohash5":"'||geohash5||'","rule":"'||rule||'","tsStart":'||ts_start||'}'"""
@@ -333,6 +384,15 @@ def _arc(m: str, i: int) -> tuple[str, str]:
     return sql.dest("p_lat", "p_lon", f"(CASE WHEN half>=180 THEN 0e0 ELSE p_cog-half END+(CASE WHEN half>=180 THEN 360e0 ELSE half*2 END)*{i}/6)", m)
 
 
+def _silent(now: int | None) -> str:
+    """Last fixes whose silence is longer than their place allows, by ``now`` or by the last fix of all."""
+    now_ = "(SELECT max(ts_ms) FROM obs)" if now is None else str(now)
+    return f"silent AS (SELECT * FROM (SELECT *, ({now_}-ts_ms)/1000e0 AS age, {sql.first_box('lat', 'lon')} AS fb FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_ms DESC, obs_id DESC) AS rn FROM obs WHERE domain IN (1,2)) WHERE rn=1) LEFT JOIN box ON bid=fb WHERE age>1800 AND age>=coalesce(thr,3600) AND NOT (domain=2 AND sog_kt<0.4) AND NOT (domain=1 AND (flags&64)<>0))"
+
+
+#: What the breaker leaves, one a key, numbered.
+_KEPT = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_group, tick_ms ORDER BY severity DESC, ts_start, geohash5, entities, hash) AS place, {_CAPS} AS cap FROM (SELECT *, {_GROUP} AS rule_group, {sql.q('coalesce(ts_end,ts_start)', DAY)} AS tick_ms FROM every)),
+one AS MATERIALIZED (SELECT row_number() OVER () AS id, rule, severity, ts_start, coalesce(ts_end, ts_start) AS ts_end, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY rule, ts_start, entities, geohash5 ORDER BY severity DESC, hash) AS nth FROM ranked WHERE place<=cap) WHERE nth=1)"""
 _POINTS = {i: _arc("rmax", i) for i in (0, 3, 6)}
 _EARLIER = f"z AS (SELECT * FROM obs WHERE ts_ms<={NOW}), y AS (SELECT * FROM obs WHERE ts_ms<={NOW - DAY})"
 
@@ -343,10 +403,11 @@ def _dark(src: str, now: int) -> str:
 
 ORACLE = {
     "run_all": f"WITH {_EVERY}, t AS (SELECT *, {_GROUP} AS rule_group, {sql.q('coalesce(ts_end,ts_start)', DAY)} AS tick_ms FROM every), u AS (SELECT *, row_number() OVER (PARTITION BY rule_group, tick_ms ORDER BY severity DESC) AS rn, {_CAPS} AS cap FROM t) SELECT rule_group, tick_ms, count(*) AS produced, least(count(*), first(cap)) AS kept, (sum(severity) FILTER (WHERE rn<=cap))::BIGINT AS severity_sum, max(severity) AS most FROM u GROUP BY rule_group, tick_ms",
-    "all_rules": f"""WITH {_EVERY}, keyed AS (SELECT rule, severity, ts_start, entities, geohash5 FROM re UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq
-  UNION ALL SELECT rule, severity, ts_start, entities, {_CELL1(5)} FROM rd WHERE severity>=45 UNION ALL SELECT rule, severity, ts_start, entities, {_CELL1(5)} FROM lo UNION ALL SELECT rule, severity, ts_start, '', {_CELL1(5)} FROM gb UNION ALL SELECT rule, severity, ts_start, '', cell FROM av),
-k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM keyed GROUP BY ALL) SELECT rule, count(*) AS n, sum(severity)::BIGINT AS severity_sum, min(ts_start) AS first_start FROM k GROUP BY rule""",
-    "void_by_season": f"""WITH {OBS}, hid AS (SELECT *, {sql.q('ts_ms', DAY)} AS tick FROM obs WHERE NOT (domain=1 AND (ts_ms//{DAY})%10=7 AND ((user_id//8)%10)%3=1)), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, tick ORDER BY ts_ms DESC, obs_id) AS rn FROM hid WHERE domain=1) WHERE rn=1 AND (flags&64)=0),
+    "all_rules": f"WITH {_EVERY}, k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM every GROUP BY ALL) SELECT rule, count(*) AS n, sum(severity)::BIGINT AS severity_sum, min(ts_start) AS first_start FROM k GROUP BY rule",
+    "run_opened": f"WITH {_SEEN}, {_silent(NOW + 16 * DAY)} SELECT entity_id, ts_ms AS went_dark_at, bkey AS box_key FROM silent",
+    "run_incidents": f"""WITH RECURSIVE {_EVERY}, {_KEPT}, edges AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id FROM one a JOIN one b ON a.id<b.id AND abs(a.ts_start-b.ts_start)<={90 * 60000} AND {sql.hav("a.lat", "a.lon", "b.lat", "b.lon")}<=150000), {sql.REACH}, simple AS (SELECT *, NULL AS bkey FROM one), {sql.INCIDENTS}
+SELECT severity, members, n_domains, ts_start, ts_end, round(lat,4) AS lat, round(lon,4) AS lon, radius_km FROM big WHERE severity>=55""",
+    "void_by_season": f"""WITH {OBS}, hid AS (SELECT *, {sql.q('ts_ms', DAY)} AS tick FROM obs WHERE NOT (domain=1 AND (ts_ms//{DAY})%10=7 AND ((user_id//8)%10)%3=1)), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, tick ORDER BY ts_ms DESC, obs_id) AS rn FROM (SELECT *, {sql.q('ts_ms', DAY)} AS tick FROM obs WHERE domain=1)) WHERE rn=1 AND (flags&64)=0),
 air AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, tick ORDER BY ts_ms DESC, obs_id) AS rn FROM hid WHERE {sql.AIRBORNE}) WHERE rn=1), l0 AS (SELECT {_CELL1(1)} AS cell, tick, count(*) AS n FROM one GROUP BY ALL), live AS (SELECT {_CELL1(1)} AS cell, tick, count(*) AS n FROM air GROUP BY ALL),
 base AS (SELECT cell, (tick//{DAY}+4)%7 AS season, count(*) AS c, avg(n) AS mean, stddev_samp(n) AS sd FROM l0 GROUP BY ALL HAVING count(*)>=2), days AS (SELECT unnest(generate_series(min(tick), max(tick), {DAY})) AS tick FROM hid),
 z AS (SELECT base.cell, days.tick, coalesce(live.n,0) AS observed, mean, sd FROM base JOIN days ON (days.tick//{DAY}+4)%7=season LEFT JOIN live ON live.cell=base.cell AND live.tick=days.tick WHERE mean>=8), y AS (SELECT *, (observed-mean)/greatest(1e0,sd) AS zz, 1-observed/mean AS dp FROM z)
@@ -380,6 +441,8 @@ SELECT domain, count(*) AS n, sum(obs_id)::BIGINT AS id_sum, first(entities) AS
     "stream_positions": f"WITH {OBS} SELECT entity_id, ts_ms AS last_seen, round(lat,6) AS lat, round(lon,6) AS lon, flags FROM ({sql.newest('obs')})",
     "stream_cells": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS start_ms, {_CELL1(2)} AS cell, count(*) AS n FROM obs WHERE {sql.AIRBORNE} GROUP BY ALL) SELECT start_ms, cell, n FROM z WHERE start_ms+{DAY}<=(SELECT max(ts_ms) FROM obs WHERE {sql.AIRBORNE})-{H}",
     "stream_gaps": f"WITH {OBS}, d AS (SELECT *, lag(ts_ms) OVER w AS p FROM obs WHERE domain IN (1,2) WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, obs_id)) SELECT entity_id, p AS went_dark_ms, ts_ms AS back_ms, obs_id FROM d WHERE ts_ms-p>={H}",
+    "stream_gap_table": f"WITH {OBS.replace('obs AS MATERIALIZED', 'obs0 AS MATERIALIZED')}, obs AS MATERIALIZED (SELECT * FROM obs0 WHERE NOT (user_id%8 IN (1,4) AND ts_ms BETWEEN {NOW - 6 * DAY} AND {NOW + 6 * DAY})), {GAPS}, {_silent(None)} SELECT entity_id, p_ts AS went_dark_ms, 'closed' AS state, ts_ms AS back_ms, obs_id, verdict, bkey AS box_key FROM g UNION ALL SELECT entity_id, ts_ms, 'open', NULL, NULL, NULL, bkey FROM silent",
+    "stream_incidents": f"SELECT severity, members, n_domains, ts_start, ts_end, lat, lon, radius_km, lead FROM ({sql.ORACLE['confluence_incidents']})",
     "stream_once": f"WITH {OBS} SELECT obs_id, ts_ms FROM obs WHERE domain=5",
     "stream_runs": f"WITH {OBS}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, a AS (SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq), k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM a WHERE severity>=97 GROUP BY ALL) SELECT rule, count(*) AS n, count(*) AS keys, max(severity) AS most, 0::BIGINT AS again FROM k GROUP BY rule",
 }
