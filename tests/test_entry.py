@@ -23,3 +23,11 @@ def test_entry_without_text_operators(tmp_path, gone):
     said = subprocess.run([sys.executable, "-B", "-c", SAYS], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert "pipeline" not in said.stdout.split() and bool(said.stdout.split()) == ("kelpline/llm" not in gone)
+
+
+def test_entry_without_a_library_of_the_text_operators(tmp_path):
+    """A module that can't be imported stands in for one that isn't installed."""
+    (tmp_path / "tiktoken.py").write_text("raise ImportError('not here')")
+    said = subprocess.run([sys.executable, "-B", "-c", SAYS], cwd=ROOT, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert not said.stdout.split()
