@@ -69,7 +69,11 @@ def gaps(obs: DataFrame, boxes: DataFrame, default_s: int = 3600, known: DataFra
     d = first_watchbox(d, boxes, "prev_lat", "prev_lon")
     moored = (F.col("domain") == SEA) & (F.coalesce("prev_sog_kt", F.lit(0.0)) < 0.4)
     landed = (F.col("domain") == AIR) & has("prev_flags", ON_GROUND)
-    d = d.where((F.col("dt_ms") >= F.coalesce("dark_threshold_s", F.lit(default_s)) * 1000) & ~moored & ~landed)
+    return judged(d.where((F.col("dt_ms") >= F.coalesce("dark_threshold_s", F.lit(default_s)) * 1000) & ~moored & ~landed))
+
+
+def judged(d: DataFrame) -> DataFrame:
+    """Gaps with what their class could have reached, and the verdict ``v``; rows for themselves, so that streams can have it."""
     leg = ("prev_lat", "prev_lon", "lat", "lon")
     d = d.withColumns({"profile": profile_for("domain", "kind"), "dist_m": haversine_m(*leg), "bearing": bearing_deg(*leg), "gap_s": F.col("dt_ms") / 1000})
     d = d.withColumn("reach", reachable_set("prev_sog_kt", "prev_cog_deg", "gap_s", "profile"))

@@ -18,7 +18,7 @@ from kelpline.plans.checkpoints import checkpointed, shared_folder
 from kelpline.plans.queries import DAY, NOW, r, slim
 from kelpline.sources import dims
 from kelpline.sources import observations as ob
-from kelpline.streaming import jobs, watch
+from kelpline.streaming import jobs, silence, watch
 
 HOUR = 3_600_000
 
@@ -236,13 +236,13 @@ def _rocks(s: SparkSession):
         s.conf.set(key, old)
 
 
-def _landed(s: SparkSession, d: str, days: int = 10, seen: Column | None = None) -> tuple[str, DataFrame]:
+def _landed(s: SparkSession, d: str, days: int = 10, seen: Column | None = None, shift: Column | None = None) -> tuple[str, DataFrame]:
     """A folder of observation files, each of some whole stretches of days, and their stream, a file a batch in order of time.
 
-    One job writes them all, dealt by ranges of stretches; a stream takes files by age, so each is then given its place in time."""
+    ``shift`` is by how much later fixes come than they were made.  One job writes them all, dealt by ranges of stretches; a stream takes files by age, so each is then given its place in time."""
     folder = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
     o = ob.sparse(s, d) if seen is None else ob.sparse(s, d).where(seen)
-    o = checkpointed(o.drop("user_id", "event_type").withColumn("part", F.floor(F.col("ts_ms") / F.lit(days * DAY))))
+    o = checkpointed(o.drop("user_id", "event_type").withColumn("part", F.floor((F.col("ts_ms") + (F.lit(0) if shift is None else shift)) / F.lit(days * DAY))))
     ends = o.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
     o.repartitionByRange(ends["b"] - ends["a"] + 1, "part").drop("part").write.parquet(f"{folder}/in")
     path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/part-*")
@@ -330,6 +330,16 @@ def stream_gap_table(s, d):
     return _watched(s, d, ("REACQUISITION",), seen=~mute, fuse=False).gaps.before(1 << 40).select("entity_id", "went_dark_ms", "state", "back_ms", "obs_id", "verdict", "box_key")
 
 
+def stream_silences(s, d):
+    """Silences by places, from files in which a seventh of the fixes comes a day late."""
+    folder, o = _landed(s, d, shift=F.when(F.col("obs_id") % 7 == 0, DAY).otherwise(0))
+    with _rocks(s):
+        g = _drained(silence.silences(o, dims.watchboxes(s), lateness="2 days").select("entity_id", "state", F.col("prev_ts_ms").alias("went_dark_ms"), F.col("ts_ms").alias("back_ms"), "obs_id", "box_key", F.col("v.verdict").alias("verdict")), folder)
+    over = g.where("state = 'closed'")
+    still = g.where("state = 'open'").join(over.select("entity_id", "went_dark_ms"), ["entity_id", "went_dark_ms"], "left_anti")
+    return over.unionByName(still.withColumn("verdict", F.lit(None).cast("string")))
+
+
 def stream_incidents(s, d):
     """Incidents as ticks have grown and merged them."""
     i = _watched(s, d, SIMPLE_RULES).incidents.before(1 << 40)
@@ -338,7 +348,7 @@ def stream_incidents(s, d):
 
 QUERIES = {f.__name__: f for f in (
     run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_incidents,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_incidents,
 )}
 
 
@@ -384,7 +394,7 @@ def _arc(m: str, i: int) -> tuple[str, str]:
     return sql.dest("p_lat", "p_lon", f"(CASE WHEN half>=180 THEN 0e0 ELSE p_cog-half END+(CASE WHEN half>=180 THEN 360e0 ELSE half*2 END)*{i}/6)", m)
 
 
-def _silent(now: int | None) -> str:
+def _silent(now: int | str | None) -> str:
     """Last fixes whose silence is longer than their place allows, by ``now`` or by the last fix of all."""
     now_ = "(SELECT max(ts_ms) FROM obs)" if now is None else str(now)
     return f"silent AS (SELECT * FROM (SELECT *, ({now_}-ts_ms)/1000e0 AS age, {sql.first_box('lat', 'lon')} AS fb FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_ms DESC, obs_id DESC) AS rn FROM obs WHERE domain IN (1,2)) WHERE rn=1) LEFT JOIN box ON bid=fb WHERE age>1800 AND age>=coalesce(thr,3600) AND NOT (domain=2 AND sog_kt<0.4) AND NOT (domain=1 AND (flags&64)<>0))"
@@ -442,6 +452,7 @@ SELECT domain, count(*) AS n, sum(obs_id)::BIGINT AS id_sum, first(entities) AS
     "stream_cells": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS start_ms, {_CELL1(2)} AS cell, count(*) AS n FROM obs WHERE {sql.AIRBORNE} GROUP BY ALL) SELECT start_ms, cell, n FROM z WHERE start_ms+{DAY}<=(SELECT max(ts_ms) FROM obs WHERE {sql.AIRBORNE})-{H}",
     "stream_gaps": f"WITH {OBS}, d AS (SELECT *, lag(ts_ms) OVER w AS p FROM obs WHERE domain IN (1,2) WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, obs_id)) SELECT entity_id, p AS went_dark_ms, ts_ms AS back_ms, obs_id FROM d WHERE ts_ms-p>={H}",
     "stream_gap_table": f"WITH {OBS.replace('obs AS MATERIALIZED', 'obs0 AS MATERIALIZED')}, obs AS MATERIALIZED (SELECT * FROM obs0 WHERE NOT (user_id%8 IN (1,4) AND ts_ms BETWEEN {NOW - 6 * DAY} AND {NOW + 6 * DAY})), {GAPS}, {_silent(None)} SELECT entity_id, p_ts AS went_dark_ms, 'closed' AS state, ts_ms AS back_ms, obs_id, verdict, bkey AS box_key FROM g UNION ALL SELECT entity_id, ts_ms, 'open', NULL, NULL, NULL, bkey FROM silent",
+    "stream_silences": f"WITH {OBS.replace('obs AS MATERIALIZED', 'obs0 AS MATERIALIZED')}, upto AS (SELECT max(ts_ms)-{2 * DAY} AS wm FROM obs0 WHERE domain IN (1,2)), obs AS MATERIALIZED (SELECT * FROM obs0 WHERE ts_ms<=(SELECT wm FROM upto)), {GAPS}, {_silent('(SELECT wm FROM upto)')} SELECT entity_id, p_ts AS went_dark_ms, 'closed' AS state, ts_ms AS back_ms, obs_id, verdict, bkey AS box_key FROM g UNION ALL SELECT entity_id, ts_ms, 'open', NULL, NULL, NULL, bkey FROM silent",
     "stream_incidents": f"SELECT severity, members, n_domains, ts_start, ts_end, lat, lon, radius_km, lead FROM ({sql.ORACLE['confluence_incidents']})",
     "stream_once": f"WITH {OBS} SELECT obs_id, ts_ms FROM obs WHERE domain=5",
     "stream_runs": f"WITH {OBS}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, a AS (SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq), k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM a WHERE severity>=97 GROUP BY ALL) SELECT rule, count(*) AS n, count(*) AS keys, max(severity) AS most, 0::BIGINT AS again FROM k GROUP BY rule",
