@@ -340,6 +340,17 @@ def stream_silences(s, d):
     return over.unionByName(still.withColumn("verdict", F.lit(None).cast("string")))
 
 
+RESEND_S, LIVE_S = 1200, 7200
+
+
+def stream_changes(s, d):
+    """What is sent of moving entities, file by file, by the clock of their fixes: new, changed, resent and gone."""
+    folder, o = _landed(s, d)
+    with _rocks(s):
+        c = _drained(jobs.clocked_gate(o.where("domain in (1, 2)"), RESEND_S, LIVE_S, lateness="1 hour"), folder)
+    return c.select("entity_id", "change", "ts_ms", r("lat", 5).alias("lat"), "sent_ms")
+
+
 def stream_incidents(s, d):
     """Incidents as ticks have grown and merged them."""
     i = _watched(s, d, SIMPLE_RULES).incidents.before(1 << 40)
@@ -348,7 +359,7 @@ def stream_incidents(s, d):
 
 QUERIES = {f.__name__: f for f in (
     run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_incidents,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_incidents,
 )}
 
 
@@ -453,6 +464,11 @@ SELECT domain, count(*) AS n, sum(obs_id)::BIGINT AS id_sum, first(entities) AS
     "stream_gaps": f"WITH {OBS}, d AS (SELECT *, lag(ts_ms) OVER w AS p FROM obs WHERE domain IN (1,2) WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, obs_id)) SELECT entity_id, p AS went_dark_ms, ts_ms AS back_ms, obs_id FROM d WHERE ts_ms-p>={H}",
     "stream_gap_table": f"WITH {OBS.replace('obs AS MATERIALIZED', 'obs0 AS MATERIALIZED')}, obs AS MATERIALIZED (SELECT * FROM obs0 WHERE NOT (user_id%8 IN (1,4) AND ts_ms BETWEEN {NOW - 6 * DAY} AND {NOW + 6 * DAY})), {GAPS}, {_silent(None)} SELECT entity_id, p_ts AS went_dark_ms, 'closed' AS state, ts_ms AS back_ms, obs_id, verdict, bkey AS box_key FROM g UNION ALL SELECT entity_id, ts_ms, 'open', NULL, NULL, NULL, bkey FROM silent",
     "stream_silences": f"WITH {OBS.replace('obs AS MATERIALIZED', 'obs0 AS MATERIALIZED')}, upto AS (SELECT max(ts_ms)-{2 * DAY} AS wm FROM obs0 WHERE domain IN (1,2)), obs AS MATERIALIZED (SELECT * FROM obs0 WHERE ts_ms<=(SELECT wm FROM upto)), {GAPS}, {_silent('(SELECT wm FROM upto)')} SELECT entity_id, p_ts AS went_dark_ms, 'closed' AS state, ts_ms AS back_ms, obs_id, verdict, bkey AS box_key FROM g UNION ALL SELECT entity_id, ts_ms, 'open', NULL, NULL, NULL, bkey FROM silent",
+    "stream_changes": f"""WITH {OBS}, f AS (SELECT entity_id, ts_ms, first(lat ORDER BY obs_id) AS lat FROM obs WHERE domain IN (1,2) GROUP BY ALL), wm AS (SELECT max(ts_ms)-{H} AS w FROM f),
+a AS (SELECT *, lead(ts_ms) OVER e AS next_ms, lag(ts_ms) OVER e AS prev_ms FROM f, wm WHERE ts_ms<=w WINDOW e AS (PARTITION BY entity_id ORDER BY ts_ms)),
+k AS (SELECT *, unnest(range(0, {LIVE_S // RESEND_S + 2})) AS k FROM a)
+SELECT entity_id, CASE WHEN k={LIVE_S // RESEND_S + 1} THEN 'gone' WHEN k>0 THEN 'resent' WHEN prev_ms IS NULL OR ts_ms-prev_ms>{(LIVE_S // RESEND_S + 1) * RESEND_S * 1000} THEN 'new' ELSE 'changed' END AS change, ts_ms, round(lat,5) AS lat, ts_ms+k*{RESEND_S * 1000} AS sent_ms
+FROM k WHERE k=0 OR ts_ms+k*{RESEND_S * 1000}<coalesce(next_ms, w+1)""",
     "stream_incidents": f"SELECT severity, members, n_domains, ts_start, ts_end, lat, lon, radius_km, lead FROM ({sql.ORACLE['confluence_incidents']})",
     "stream_once": f"WITH {OBS} SELECT obs_id, ts_ms FROM obs WHERE domain=5",
     "stream_runs": f"WITH {OBS}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, a AS (SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq), k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM a WHERE severity>=97 GROUP BY ALL) SELECT rule, count(*) AS n, count(*) AS keys, max(severity) AS most, 0::BIGINT AS again FROM k GROUP BY rule",

@@ -174,6 +174,82 @@ def delta_gate(obs: DataFrame, resend_s: int = 20, live_s: int = 2700) -> DataFr
     return fixes.groupBy("entity_id").transformWithStateInPandas(DeltaGate(resend_s * 1000, live_s * 1000), CHANGE, "Append", "ProcessingTime")
 
 
+ARRIVAL = "ts_ms long, obs_id long, lat double, lon double, heard_ms long"
+ARRIVAL_COLUMNS = [c.split()[0] for c in ARRIVAL.split(", ")]
+
+
+def gate_steps(last: tuple | None, arrivals: list[tuple], upto_ms: int, resend_ms: int, live_ms: int) -> tuple[list[tuple], tuple | None]:
+    """What a gate sends until ``upto_ms``, for arrivals (ts_ms, lat, lon, heard_ms), one an instant, in order of their instants, and
+    the state that is left: (ts_ms, lat, lon, heard_ms, sent_ms) or None.  At one instant an arrival comes before a resend."""
+    out = []
+
+    def wake_until(end: int, last: tuple | None) -> tuple | None:
+        while last is not None and (now := last[4] + resend_ms) <= end:
+            if now - last[3] > live_ms:
+                out.append(("gone", *last[:3], now))
+                return None
+            last = (*last[:4], now)
+            out.append(("resent", *last[:3], now))
+        return last
+
+    for ts, lat, lon, heard in arrivals:
+        last = wake_until(heard - 1, last)
+        if last is not None and ts <= last[0]:
+            last = (*last[:3], heard, last[4])
+        else:
+            out.append(("new" if last is None else "changed", ts, lat, lon, heard))
+            last = (ts, lat, lon, heard, heard)
+    return out, wake_until(upto_ms, last)
+
+
+class ClockedGate(StatefulProcessor):
+    """The delta gate by the clock of arrivals: its watermark is the time.  Arrivals wait until that has passed them, and all that
+    was due by then, resends between two arrivals too, is told in order; so a batch may cover any stretch of time."""
+
+    def __init__(self, resend_ms: int, live_ms: int):
+        self.resend_ms, self.live_ms = resend_ms, live_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_ms long, lat double, lon double, heard_ms long, sent_ms long")
+        self.waiting = handle.getListState("waiting", ARRIVAL)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))[ARRIVAL_COLUMNS]
+        self.waiting.appendList([(int(a), int(b), float(c), float(d), int(e)) for a, b, c, d, e in new.itertuples(index=False)])
+        self.handle.registerTimer(int(new["heard_ms"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda a: (a[4], a[0], -a[1]))
+        due, rest = [a for a in waiting if a[4] <= now], [a for a in waiting if a[4] > now]
+        one = {a[4]: (a[0], a[2], a[3], a[4]) for a in due}  # of one instant the newest fix
+        out, last = gate_steps(self.last.get() if self.last.exists() else None, list(one.values()), now, self.resend_ms, self.live_ms)
+        if due:
+            self.waiting.put([tuple(a) for a in rest]) if rest else self.waiting.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+            self.handle.registerTimer(last[4] + self.resend_ms)
+        if rest:
+            self.handle.registerTimer(rest[0][4])
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def clocked_gate(obs: DataFrame, resend_s: int = 20, live_s: int = 2700, heard: str = "ts", lateness: str = "10 seconds") -> DataFrame:
+    """Changes to send, by the clock of the timestamp column ``heard``, that of arrival.  Needs the RocksDB state store."""
+    fixes = obs.withColumn("heard", F.col(heard)).withColumn("heard_ms", F.unix_millis("heard")).select("heard", "entity_id", *ARRIVAL_COLUMNS)
+    return fixes.withWatermark("heard", lateness).groupBy("entity_id").transformWithStateInPandas(ClockedGate(resend_s * 1000, live_s * 1000), CHANGE, "Append", "EventTime")
+
+
 def run_ticks(obs: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Hands each micro-batch to ``tick(batch, epoch)``; without ``every`` it takes what has landed and ends."""
     w = obs.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)

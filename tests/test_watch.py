@@ -159,3 +159,26 @@ def test_folded_moments_equal_one_pass(spark, fixes, tmp_path):
     want = {(r.cell, r.season): (r.samples, r.mean, r.sd or 0.0) for r in detectors.baseline(samples, "season", least=2).collect()}
     got = {(r.cell, r.season): (r.samples, r.mean, r.sd or 0.0) for r in watch.usual(kept, 99, 2).collect()}
     assert want and set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_gate_steps_by_a_clock():
+    steps = lambda last, arrivals, upto: jobs.gate_steps(last, arrivals, upto, 20, 60)
+    out, last = steps(None, [(5, 1.0, 2.0, 100), (9, 1.0, 2.0, 130), (7, 0.0, 0.0, 145)], 160)
+    assert [(r[0], r[1], r[4]) for r in out] == [("new", 5, 100), ("resent", 5, 120), ("changed", 9, 130), ("resent", 9, 150)] and last == (9, 1.0, 2.0, 145, 150)
+    # A stretch in one piece or in many.
+    whole, end = steps(last, [], 400)
+    assert [(r[0], r[4]) for r in whole] == [("resent", 170), ("resent", 190), ("gone", 210)] and end is None
+    parts, state = [], last
+    for t in range(160, 401, 7):
+        more, state = steps(state, [], t)
+        parts += more
+    assert parts == whole and state is None
+    assert [r[0] for r in steps(None, [(3, 0.0, 0.0, 500)], 500)[0]] == ["new"]
+
+
+def test_places_and_rest():
+    from kelpline.streaming.silence import Places, at_rest
+
+    p = Places([{"box_key": "a", "min_lat": 0, "max_lat": 2, "min_lon": 0, "max_lon": 2, "dark_threshold_s": 600}, {"box_key": "b", "min_lat": 1, "max_lat": 3, "min_lon": 1, "max_lon": 3, "dark_threshold_s": None}], 3600)
+    assert p.at(1.5, 1.5) == ("a", 600_000) and p.at(2.5, 2.5) == ("b", 3_600_000) and p.at(9, 9) == (None, 3_600_000) and p.least_ms() == 600_000
+    assert at_rest(2, None, 0) and at_rest(2, 0.3, 0) and not at_rest(2, 0.4, 0) and at_rest(1, 300.0, 64) and not at_rest(1, 0.0, None)
