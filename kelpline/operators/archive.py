@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,35 @@ def trimmed(obs: DataFrame, max_rows: int) -> DataFrame:
     return obs.join(days, quantize("ts_ms", 86_400_000) == F.col("kept_day"), "left_semi")
 
 
+def trim_storage(spark: SparkSession, folder: str, max_bytes: int, spare: int = 1) -> list[int]:
+    """Frees an archive laid out by ``day_ms=...`` down to ``max_bytes``, oldest days first, and returns the days that went.
+
+    Sizes are those of files, as the file system tells them; no row is read.  The newest ``spare`` days always stay, as ticks write
+    to them.  A day's folder is first renamed to where readers don't look, so that none meets a half of it, and an append that comes
+    meanwhile makes a new one, which the next trim sees."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = storage_by_day(spark, folder)
+    total, gone = sum(size.values()), []
+    for day in sorted(size)[: max(0, len(size) - spare)]:
+        if total <= max_bytes:
+            break
+        aside = path(f"{folder}/_trimmed/{uuid.uuid4().hex}")
+        fs.mkdirs(aside.getParent())
+        if fs.rename(path(f"{folder}/day_ms={day}"), aside):
+            fs.delete(aside, True)
+            total -= size[day]
+            gone.append(day)
+    return gone
+
+
+def storage_by_day(spark: SparkSession, folder: str) -> dict[int, int]:
+    """Bytes of each day's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/day_ms=*")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {int(x.getPath().getName().split("=")[1]): fs.getContentSummary(x.getPath()).getLength() for x in fs.globStatus(path) or ()}
+
+
 def archive_stats(obs: DataFrame, *keys: str) -> DataFrame:
     aggs = (F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("oldest"), F.max("ts_ms").alias("newest"), F.count_distinct("entity_id").alias("entities"))
     return obs.groupBy(*keys).agg(*aggs)

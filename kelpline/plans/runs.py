@@ -18,7 +18,7 @@ from kelpline.plans.checkpoints import checkpointed, shared_folder
 from kelpline.plans.queries import DAY, NOW, r, slim
 from kelpline.sources import dims
 from kelpline.sources import observations as ob
-from kelpline.streaming import jobs, silence, watch
+from kelpline.streaming import chains, jobs, silence, watch
 
 HOUR = 3_600_000
 
@@ -221,6 +221,27 @@ def trimmed_archive(s, d):
     return archive.trimmed(ob.sparse(s, d).where("domain <= 2"), 4000).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("obs_id").alias("first_id"))
 
 
+def trimmed_storage(s, d):
+    """An archive by day after two trims to what its newest ten days hold, by the sizes of its files; the second frees nothing."""
+    folder = os.path.join(shared_folder(s), f"archive-{uuid.uuid4().hex}")
+    ob.sparse(s, d).withColumn("day_ms", geo.quantize("ts_ms", DAY)).repartition("day_ms").write.partitionBy("day_ms").parquet(folder)
+    size = archive.storage_by_day(s, folder)
+    limit = sum(size[day] for day in sorted(size)[-10:])
+    went = [archive.trim_storage(s, folder, limit) for _ in range(2)]
+    left = s.read.parquet(folder).groupBy("day_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("obs_id").alias("id_sum"))
+    return left.withColumns({"freed_days": F.lit(len(went[0])), "freed_again": F.lit(len(went[1]))})
+
+
+def chain_continued(s, d):
+    """Chains over three batches, each going on from the heads that the one before left; the second one comes twice."""
+    log = ob.fetch_log(s, d)
+    last = log.agg(F.max("id")).first()[0]
+    kept = chains.KeptChain(s, os.path.join(shared_folder(s), f"chain-{uuid.uuid4().hex}"))
+    for batch, part in enumerate((0, 1, 1, 2)):
+        kept.append(log.where(F.floor(F.col("id") * 3 / F.lit(last + 1)) == part), batch)
+    return kept.links()
+
+
 # ---- streams
 
 
@@ -359,7 +380,7 @@ def stream_incidents(s, d):
 
 QUERIES = {f.__name__: f for f in (
     run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_incidents,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, trimmed_storage, chain_continued, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_incidents,
 )}
 
 
@@ -459,6 +480,8 @@ SELECT l.id, 1+(CASE WHEN y.id IS NULL THEN 0 ELSE 1 END) AS records, x.own AND
     "retained": f"""WITH {OBS}, z AS (SELECT *, ts_ms//1800000 AS bk FROM obs WHERE ts_ms<{NOW - 12 * H} AND ts_ms>={NOW - 168 * H}), k AS (SELECT domain, obs_id FROM obs WHERE ts_ms>={NOW - 12 * H} UNION ALL SELECT domain, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, bk ORDER BY ts_ms DESC, obs_id DESC) AS rn FROM z) WHERE rn=1), e AS (SELECT domain, count(*) AS entities FROM (SELECT entity_id, first(domain ORDER BY ts_ms DESC, obs_id) AS domain, max(ts_ms) AS seen FROM obs GROUP BY entity_id) WHERE seen>={NOW - 168 * H} GROUP BY domain)
 SELECT domain, count(*) AS n, sum(obs_id)::BIGINT AS id_sum, first(entities) AS entities FROM k LEFT JOIN e USING (domain) GROUP BY domain""",
     "trimmed_archive": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS day_ms, count(*) AS n FROM obs WHERE domain<=2 GROUP BY 1), k AS (SELECT day_ms FROM (SELECT day_ms, sum(n) OVER (ORDER BY day_ms DESC) AS t FROM z) WHERE t<=4000) SELECT domain, count(*) AS n, min(obs_id) AS first_id FROM obs WHERE domain<=2 AND {sql.q('ts_ms', DAY)} IN (SELECT day_ms FROM k) GROUP BY domain",
+    "trimmed_storage": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS day_ms, count(*) AS n, sum(obs_id)::BIGINT AS id_sum FROM obs GROUP BY 1) SELECT *, ((SELECT count(*) FROM z)-10)::INT AS freed_days, 0 AS freed_again FROM z ORDER BY day_ms DESC LIMIT 10",
+    "chain_continued": sql.ORACLE["chain_build"],
     "stream_positions": f"WITH {OBS} SELECT entity_id, ts_ms AS last_seen, round(lat,6) AS lat, round(lon,6) AS lon, flags FROM ({sql.newest('obs')})",
     "stream_cells": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS start_ms, {_CELL1(2)} AS cell, count(*) AS n FROM obs WHERE {sql.AIRBORNE} GROUP BY ALL) SELECT start_ms, cell, n FROM z WHERE start_ms+{DAY}<=(SELECT max(ts_ms) FROM obs WHERE {sql.AIRBORNE})-{H}",
     "stream_gaps": f"WITH {OBS}, d AS (SELECT *, lag(ts_ms) OVER w AS p FROM obs WHERE domain IN (1,2) WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, obs_id)) SELECT entity_id, p AS went_dark_ms, ts_ms AS back_ms, obs_id FROM d WHERE ts_ms-p>={H}",

@@ -182,3 +182,37 @@ def test_places_and_rest():
     p = Places([{"box_key": "a", "min_lat": 0, "max_lat": 2, "min_lon": 0, "max_lon": 2, "dark_threshold_s": 600}, {"box_key": "b", "min_lat": 1, "max_lat": 3, "min_lon": 1, "max_lon": 3, "dark_threshold_s": None}], 3600)
     assert p.at(1.5, 1.5) == ("a", 600_000) and p.at(2.5, 2.5) == ("b", 3_600_000) and p.at(9, 9) == (None, 3_600_000) and p.least_ms() == 600_000
     assert at_rest(2, None, 0) and at_rest(2, 0.3, 0) and not at_rest(2, 0.4, 0) and at_rest(1, 300.0, 64) and not at_rest(1, 0.0, None)
+
+
+def test_chains_go_on_and_forks_are_refused(spark, tmp_path):
+    from kelpline.operators.provenance import build_chain
+    from kelpline.streaming.chains import ForkedChain, KeptChain
+
+    schema = "source_id int, id long, payload string"
+    log = spark.createDataFrame([(s, i, f"{s}-{i}") for i in range(12) for s in (1, 2)], schema)
+    kept = KeptChain(spark, str(tmp_path), 2)
+    before = kept.heads.before(0).select("source_id", "chain_sha")
+    kept.append(log.where("id < 5"), 0, before)
+    mine = kept.heads.before(1).select("source_id", "chain_sha").collect()
+    mine = spark.createDataFrame(mine, "source_id int, chain_sha string")
+    kept.append(log.where("id between 3 and 8"), 1, mine)  # some come again
+    with pytest.raises(ForkedChain, match="moved"):
+        kept.append(log.where("id > 8"), 2, mine)
+    with pytest.raises(ForkedChain, match="payload"):
+        kept.append(spark.createDataFrame([(2, 8, "other"), (2, 9, "2-9")], schema), 2)
+    for _ in range(2):
+        kept.append(log.where("id > 8"), 2)
+    fields = ("source_id", "id", "payload_sha", "prev_sha", "chain_sha")
+    assert keys(kept.links(), *fields) == keys(build_chain(log), *fields)
+
+
+def test_trims_free_the_oldest_days(spark, tmp_path):
+    from kelpline.operators import archive
+
+    folder = str(tmp_path / "a")
+    spark.range(5000).selectExpr("id", f"(id % 5) * {DAY} as day_ms").repartition("day_ms").write.partitionBy("day_ms").parquet(folder)
+    size = archive.storage_by_day(spark, folder)
+    assert archive.trim_storage(spark, folder, sum(size.values())) == []
+    assert archive.trim_storage(spark, folder, sum(size.values()) - 1) == [0]
+    assert archive.trim_storage(spark, folder, 0) == [DAY, 2 * DAY, 3 * DAY] and spark.read.parquet(folder).count() == 1000
+    assert archive.trim_storage(spark, str(tmp_path / "none"), 0) == []
