@@ -19,6 +19,7 @@ are documents of their own; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,33 @@ def lay_out(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     return docs.select("doc_id", "source", "size", "tie", (F.col("start") + F.col("base")).alias("start"), "copy")
 
 
+#: Populations that numpy draws from.
+MOST_NUMPY = 1_000_000_000
+
+
+def large_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` are good, by ratios of uniforms: accepted under the probability itself, from logarithms of factorials.
+
+    The hat is the usual one for such distributions, of a width that follows from the variance; half of all tries are accepted."""
+    total = good + bad
+    share = good / total
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    spread = math.sqrt((total - draws) * draws * share * (1 - share) / max(1, total - 1) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    low, high = max(0, draws - bad), min(good, draws)
+    log = lambda k: -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(draws - k + 1) + math.lgamma(bad - draws + k + 1))
+    top = log(mode)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(draws * share + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log(k) - top:
+            return k
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    return int(rng.hypergeometric(good, bad, draws)) if good < MOST_NUMPY and bad < MOST_NUMPY else large_hypergeometric(rng, good, bad, draws)
+
+
 def split_path(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """What a shard gets of each source, and how many draws of each source go to the shards before it."""
     lo, hi, before, node = 0, shards, np.zeros(len(counts), np.int64), 1
@@ -93,7 +121,7 @@ def split_path(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[
         want, left, rest = int(counts.sum()) * (mid - lo) // (hi - lo), np.zeros(len(counts), np.int64), int(counts.sum())
         for i, n in enumerate(counts.tolist()):  # one source after the other, given what is left
             rest -= n
-            left[i] = rng.hypergeometric(n, rest, want) if 0 < want and n and rest else min(n, want)
+            left[i] = hypergeometric(rng, n, rest, want) if 0 < want and n and rest else min(n, want)
             want -= int(left[i])
         if shard < mid:
             counts, hi, node = left, mid, 2 * node
@@ -136,10 +164,14 @@ def shard_draws(targets: DataFrame, seed: int, block: int, per_shard: int) -> Da
             for sources, shards, shard in zip(frame["sources"], frame["shards"], frame["shard"], strict=True):
                 quota = np.array([s["quota"] for s in sources], np.int64)
                 mine, before = split_path(quota, int(shard), int(shards), seed)
-                for s, n, first in zip(sources, mine.tolist(), before.tolist(), strict=True):
+                drawn = []
+                for i in np.flatnonzero(mine):
+                    s, n, first = sources[i], int(mine[i]), int(before[i])
                     draws = permuted(np.arange(first, first + n), s["quota"], seed + s["rank"])
                     turn = (draws * 0x9E3779B1 + s["rank"] * 0x85EBCA77 + seed) % (1 << 32)
-                    yield pd.DataFrame({"shard": shard, "source": s["source"], "pass": draws // s["blocks"], "block": draws % s["blocks"], "turn": turn})
+                    drawn.append(pd.DataFrame({"shard": shard, "source": s["source"], "pass": draws // s["blocks"], "block": draws % s["blocks"], "turn": turn}))
+                if drawn:
+                    yield pd.concat(drawn)
 
     return each.mapInPandas(run, "shard long, source string, pass long, block long, turn long")
 
