@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,28 +127,93 @@ def as_of(obs: DataFrame, wanted: DataFrame, at: str = "at_ms") -> DataFrame:
     return out.select("entity_id", F.col("t").alias(at), F.col("fix.ts_ms").alias("fix_ms"), F.col("fix.lat").alias("lat"), F.col("fix.lon").alias("lon"))
 
 
-#: Boxes that a list may have; it is sent to all executors as one row.
+#: Boxes up to which a list is sent to all executors as one row; more are joined by cells.
 MOST_BOXES = 10_000
+BOX_FIELDS = ("box_id", "box_key", "box_label", "dark_threshold_s", "min_lat", "min_lon", "max_lat", "max_lon")
+#: Finest level of the cells that cover boxes: about 0.7 nautical miles.
+FINEST = 14
+_few: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def few_boxes(boxes: DataFrame) -> bool:
+    """Whether a list is short; counted once for each table of boxes, and no further than matters."""
+    if (known := _few.get(boxes)) is None or known[0] != MOST_BOXES:
+        _few[boxes] = known = (MOST_BOXES, boxes.limit(MOST_BOXES + 1).count() <= MOST_BOXES)
+    return known[1]
 
 
 def _box_list(boxes: DataFrame) -> DataFrame:
-    fields = ("box_id", "box_key", "box_label", "dark_threshold_s", "min_lat", "min_lon", "max_lat", "max_lon")
-    one = boxes.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes_"))
-    many = F.raise_error(F.lit(f"more than {MOST_BOXES} boxes")).cast("array<struct<box_id:int,box_key:string,box_label:string,dark_threshold_s:int,min_lat:double,min_lon:double,max_lat:double,max_lon:double>>")
-    return F.broadcast(one.select(F.when(F.size("boxes_") > MOST_BOXES, many).otherwise(F.col("boxes_")).alias("boxes_")))
+    return F.broadcast(boxes.agg(F.array_sort(F.collect_list(F.struct(*BOX_FIELDS))).alias("boxes_")))
 
 
 def first_watchbox(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds box_key, box_label, dark_threshold_s of the first box by id that holds a point, or nulls.
 
-    The boxes are a list kept by hand, of at most MOST_BOXES: each point looks through them in an array that is one row wide.
+    A list kept by hand is looked through by each point in an array that is one row wide; a long one is an index of cells.
     """
-    held = F.filter("boxes_", lambda b: col(lat).between(b["min_lat"], b["max_lat"]) & col(lon).between(b["min_lon"], b["max_lon"]))
-    out = points.join(_box_list(boxes), F.lit(True), "left").withColumn("box_", F.get(held, F.lit(0))).drop("boxes_")
+    if few_boxes(boxes):
+        held = F.filter("boxes_", lambda b: col(lat).between(b["min_lat"], b["max_lat"]) & col(lon).between(b["min_lon"], b["max_lon"]))
+        out = points.join(_box_list(boxes), F.lit(True), "left").withColumn("box_", F.get(held, F.lit(0))).drop("boxes_")
+    else:
+        out = first_of_cover(points, boxes, lat, lon)
     return out.withColumns({c: F.col(f"box_.{c}") for c in ("box_key", "box_label", "dark_threshold_s")}).drop("box_")
 
 
+def _cell(degrees: Column, span: float, level: Column) -> Column:
+    return F.floor((degrees + span / 2) / span * F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _covered(boxes: DataFrame) -> DataFrame:
+    """(b, level, x, y): each box with the cells that cover it, of the size that suits it: five by five at most."""
+    size = F.greatest(F.col("max_lat") - F.col("min_lat"), (F.col("max_lon") - F.col("min_lon")) / 2, F.lit(1e-9))
+    level = F.least(F.lit(FINEST), F.greatest(F.lit(0), F.floor(F.log2(F.lit(180.0) / size)) + 1)).cast("int")
+    c = boxes.where((F.col("min_lat") <= F.col("max_lat")) & (F.col("min_lon") <= F.col("max_lon"))).select(F.struct(*BOX_FIELDS).alias("b"), level.alias("level"))
+    run = lambda lo, hi, span: F.explode(F.sequence(_cell(F.col(f"b.{lo}"), span, F.col("level")), _cell(F.col(f"b.{hi}"), span, F.col("level"))))
+    return c.withColumn("x", run("min_lon", "max_lon", 360.0)).withColumn("y", run("min_lat", "max_lat", 180.0))
+
+
+def _at_cell(lat: str, lon: str, level: int) -> Column:
+    return (_cell(col(lon), 360.0, F.lit(level)) == F.col("x_")) & (_cell(col(lat), 180.0, F.lit(level)) == F.col("y_"))
+
+
+def _levels(cover: DataFrame) -> list[int]:
+    """The sizes of cells that a cover has: FINEST + 1 at most."""
+    return [r.level for r in cover.select("level").distinct().orderBy("level").collect()]
+
+
+def box_cover(boxes: DataFrame) -> DataFrame:
+    """(level, x, y, whole, some): the cells that cover boxes.  ``whole`` is the first box that holds all of a cell, which needs no test;
+    ``some`` are boxes before it that hold a part of it, in order."""
+    c = _covered(boxes)
+    edge = lambda i, span: i * span / F.pow(F.lit(2.0), F.col("level")) - span / 2
+    # A hair inside, as a point's cell is rounded.
+    inside = (edge(F.col("x"), 360.0) >= F.col("b.min_lon") + 1e-9) & (edge(F.col("x") + 1, 360.0) <= F.col("b.max_lon") - 1e-9) & (edge(F.col("y"), 180.0) >= F.col("b.min_lat") + 1e-9) & (edge(F.col("y") + 1, 180.0) <= F.col("b.max_lat") - 1e-9)
+    cells = c.groupBy("level", "x", "y").agg(F.min(F.when(inside, F.col("b"))).alias("whole"), F.array_sort(F.collect_list(F.when(~inside, F.col("b")))).alias("some"))
+    return cells.withColumn("some", F.filter("some", lambda b: F.col("whole").isNull() | (b["box_id"] < F.col("whole.box_id"))))
+
+
+def first_of_cover(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Adds ``box_``, the first box by id that holds a point: one join by cell for each size of cell that the cover has, each of which finds a
+    point one cell at most."""
+    cover = box_cover(boxes)
+    out, found = points, []
+    for level in (levels := _levels(cover)):
+        cells = cover.where(F.col("level") == level).select(F.col("x").alias("x_"), F.col("y").alias("y_"), F.col("whole").alias(f"whole_{level}"), F.col("some").alias(f"some_{level}"))
+        out = out.join(cells, _at_cell(lat, lon, level), "left").drop("x_", "y_")
+        held = F.filter(f"some_{level}", lambda b: col(lat).between(b["min_lat"], b["max_lat"]) & col(lon).between(b["min_lon"], b["max_lon"]))
+        found.append(F.coalesce(F.get(held, F.lit(0)), F.col(f"whole_{level}")))
+    return out.withColumn("box_", F.array_min(F.array(*found))).drop(*[f"{n}_{level}" for level in levels for n in ("whole", "some")])
+
+
 def all_watchboxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each point with each box that holds it, from the same list."""
-    held = F.filter("boxes_", lambda b: col("lat").between(b["min_lat"], b["max_lat"]) & col("lon").between(b["min_lon"], b["max_lon"]))
-    return points.join(_box_list(boxes), F.lit(True)).withColumn("box_", F.explode(held)).select(*points.columns, "box_.*")
+    """Each point with each box that holds it, from the same list or index."""
+    if few_boxes(boxes):
+        held = F.filter("boxes_", lambda b: col("lat").between(b["min_lat"], b["max_lat"]) & col("lon").between(b["min_lon"], b["max_lon"]))
+        return points.join(_box_list(boxes), F.lit(True)).withColumn("box_", F.explode(held)).select(*points.columns, "box_.*")
+    cover, out = _covered(boxes), None
+    for level in _levels(cover):  # a box has cells of one size, and a point lies in one of them
+        cells = cover.where(F.col("level") == level).select(F.col("x").alias("x_"), F.col("y").alias("y_"), F.col("b").alias("box_"))
+        one = points.join(cells, _at_cell("lat", "lon", level)).where(col("lat").between(F.col("box_.min_lat"), F.col("box_.max_lat")) & col("lon").between(F.col("box_.min_lon"), F.col("box_.max_lon")))
+        one = one.select(*points.columns, "box_.*")
+        out = one if out is None else out.unionByName(one)
+    return out

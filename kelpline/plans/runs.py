@@ -18,7 +18,7 @@ from kelpline.plans.checkpoints import checkpointed, shared_folder
 from kelpline.plans.queries import DAY, NOW, r, slim
 from kelpline.sources import dims
 from kelpline.sources import observations as ob
-from kelpline.streaming import chains, jobs, silence, watch
+from kelpline.streaming import chains, jobs, push, silence, watch
 
 HOUR = 3_600_000
 
@@ -372,6 +372,16 @@ def stream_changes(s, d):
     return c.select("entity_id", "change", "ts_ms", r("lat", 5).alias("lat"), "sent_ms")
 
 
+def stream_pushes(s, d):
+    """Hot spots told to clients that come and go: a fifth of the moving fixes are changes of what their users have subscribed to."""
+    folder, o = _landed(s, d)
+    changes = o.where("domain in (1, 2) and obs_id % 5 = 0").select("ts", F.concat(F.lit("c"), F.col("cog_deg").cast("int") % 40).alias("client_id"), F.substring("geohash5", F.lit(1), (F.col("obs_id") % 3).cast("int")).alias("cell"), (F.col("obs_id") % 4 != 0).alias("active"))
+    hot = detectors.thermal_anomaly(o.where("domain = 5"), dims.watchboxes(s)).select(F.timestamp_millis("ts_start").alias("ts"), F.regexp_extract(F.element_at("entity_ids", 1), r"(\d+)$", 1).cast("long").alias("id"), "severity", "geohash5")
+    with _rocks(s):
+        told = _drained(push.pushed(hot, changes, "1 hour"), folder)
+    return told.distinct()
+
+
 def stream_incidents(s, d):
     """Incidents as ticks have grown and merged them."""
     i = _watched(s, d, SIMPLE_RULES).incidents.before(1 << 40)
@@ -380,13 +390,13 @@ def stream_incidents(s, d):
 
 QUERIES = {f.__name__: f for f in (
     run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, trimmed_storage, chain_continued, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_incidents,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, trimmed_storage, chain_continued, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_pushes, stream_incidents,
 )}
 
 
 # ---- their SQL
 
-OBS, GAPS, H = sql.OBS, sql.GAPS, sql.H
+OBS, GAPS, THERMAL, H = sql.OBS, sql.GAPS, sql.THERMAL, sql.H
 
 
 def _inner(name: str, *ctes: str) -> str:
@@ -492,6 +502,9 @@ a AS (SELECT *, lead(ts_ms) OVER e AS next_ms, lag(ts_ms) OVER e AS prev_ms FROM
 k AS (SELECT *, unnest(range(0, {LIVE_S // RESEND_S + 2})) AS k FROM a)
 SELECT entity_id, CASE WHEN k={LIVE_S // RESEND_S + 1} THEN 'gone' WHEN k>0 THEN 'resent' WHEN prev_ms IS NULL OR ts_ms-prev_ms>{(LIVE_S // RESEND_S + 1) * RESEND_S * 1000} THEN 'new' ELSE 'changed' END AS change, ts_ms, round(lat,5) AS lat, ts_ms+k*{RESEND_S * 1000} AS sent_ms
 FROM k WHERE k=0 OR ts_ms+k*{RESEND_S * 1000}<coalesce(next_ms, w+1)""",
+    "stream_pushes": f"""WITH {OBS}, {THERMAL}, ch AS (SELECT ts_ms, 'c'||(cog_deg::INT%40) AS client_id, substr(geohash5,1,(obs_id%3)::INT) AS cell, obs_id%4<>0 AS active FROM obs WHERE domain IN (1,2) AND obs_id%5=0), wm AS (SELECT greatest((SELECT max(ts_ms) FROM ch), (SELECT max(ts_start) FROM th))-{H} AS w),
+sp AS (SELECT client_id, cell, active, ts_ms AS from_ms, lead(ts_ms, 1, 9007199254740991) OVER (PARTITION BY client_id, cell ORDER BY ts_ms, active) AS to_ms FROM ch)
+SELECT DISTINCT client_id, obs_id AS id, ts_start AS at_ms FROM th JOIN sp ON active AND ts_start>=from_ms AND ts_start<to_ms AND (severity>=70 OR (cell<>'' AND starts_with(geohash5, cell))) WHERE ts_start<=(SELECT w FROM wm)""",
     "stream_incidents": f"SELECT severity, members, n_domains, ts_start, ts_end, lat, lon, radius_km, lead FROM ({sql.ORACLE['confluence_incidents']})",
     "stream_once": f"WITH {OBS} SELECT obs_id, ts_ms FROM obs WHERE domain=5",
     "stream_runs": f"WITH {OBS}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, a AS (SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq), k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM a WHERE severity>=97 GROUP BY ALL) SELECT rule, count(*) AS n, count(*) AS keys, max(severity) AS most, 0::BIGINT AS again FROM k GROUP BY rule",

@@ -21,6 +21,13 @@ SILENCE_COLUMNS = [c.split()[0] for c in SILENCE.split(", ")]
 MOST_PLACES = 10_000
 
 
+def fixes(rows: pd.DataFrame) -> list[tuple]:
+    """Fixes as a state store takes them; whole numbers that are missing in some rows come as floats."""
+    whole, real = lambda v: None if pd.isna(v) else int(v), lambda v: None if pd.isna(v) else float(v)
+    kinds = [whole, whole, real, real, real, real, whole, whole, lambda v: None if pd.isna(v) else str(v)]
+    return [tuple(f(v) for f, v in zip(kinds, r, strict=True)) for r in rows[FIX_COLUMNS].itertuples(index=False)]
+
+
 class Places:
     """Boxes as arrays, in order of their ids; the first that holds a place counts."""
 
@@ -67,8 +74,8 @@ class SilenceMachine(StatefulProcessor):
             self.handle.registerTimer(int(t))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows))[FIX_COLUMNS]
-        self.waiting.appendList([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in new.itertuples(index=False)])
+        new = pd.concat(list(rows))
+        self.waiting.appendList(fixes(new))
         self.handle.registerTimer(int(new["ts_ms"].min()))
         return iter(())
 
@@ -80,7 +87,7 @@ class SilenceMachine(StatefulProcessor):
         last = self.last.get() if self.last.exists() else None
         out = []
         if len(due):
-            self.waiting.put([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)]) if len(rest) else self.waiting.clear()
+            self.waiting.put(fixes(rest)) if len(rest) else self.waiting.clear()
             line = due if last is None else pd.concat([pd.DataFrame([last[:-1]], columns=FIX_COLUMNS), due])
             line = line.reset_index(drop=True)
             line[["sog_kt", "cog_deg", "flags"]] = line[["sog_kt", "cog_deg", "flags"]].astype(float).ffill()
@@ -90,9 +97,7 @@ class SilenceMachine(StatefulProcessor):
                 box, silent_ms = self.places.at(a["lat"], a["lon"])
                 if steps[i] >= silent_ms and not at_rest(a["domain"], a["sog_kt"], a["flags"]):
                     out.append(self._row(key[0], "closed", a, box, b))
-            z = line.iloc[-1]
-            number = lambda v: None if pd.isna(v) else float(v)
-            last = (int(z["ts_ms"]), int(z["obs_id"]), float(z["lat"]), float(z["lon"]), number(z["sog_kt"]), number(z["cog_deg"]), None if pd.isna(z["flags"]) else int(z["flags"]), int(z["domain"]), z["kind"], False)
+            last = (*fixes(line.iloc[-1:])[0], False)
         wake = [int(rest["ts_ms"].min())] if len(rest) else []
         if last is not None:
             f = dict(zip([*FIX_COLUMNS, "open"], last, strict=True))

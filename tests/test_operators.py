@@ -308,3 +308,45 @@ def test_void_ticks_and_pushes(spark, small, tmp_path):
     told = spark.read.parquet(str(tmp_path / "told"))
     grave = found.where("severity >= 70").count()
     assert told.where("client_id = 'b'").count() == grave and told.where("client_id = 'a'").count() == found.where("severity >= 70 or geohash5 like 't%'").count()
+
+
+def test_a_long_list_of_boxes_is_an_index(spark, monkeypatch):
+    """The first box by id, whatever the boxes' sizes, from the index as from the list; points on edges and outside too."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        h, w = (10 ** rng.uniform(-4, 1.5) for _ in range(2))
+        a, b = rng.uniform(-90, 90 - h), rng.uniform(-180, 180 - w)
+        rows.append((i, f"k{i}", None, i, a, b, a + h, b + w))
+    rows += [(400, "world", None, 1, -90.0, -180.0, 90.0, 180.0), (401, "point", None, 1, 5.0, 5.0, 5.0, 5.0), (402, "none", None, 1, 9.0, 9.0, 8.0, 8.0)]
+    rng.shuffle(rows)
+    boxes = spark.createDataFrame(rows, "box_id int, box_key string, box_label string, dark_threshold_s int, min_lat double, min_lon double, max_lat double, max_lon double")
+    pts = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(1500)] + [(r[j], r[k]) for r in rows for j in (4, 6) for k in (5, 7)] + [(None, 1.0), (95.0, 0.0), (5.0, 5.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "i int, lat double, lon double")
+    first = lambda: {r.i: r.box_key for r in state.first_watchbox(points, boxes).collect()}
+    every = lambda: sorted((r.i, r.box_id) for r in state.all_watchboxes(points, boxes).select("i", "box_id").collect())
+    want, all_of = first(), every()
+    monkeypatch.setattr(state, "MOST_BOXES", 10)
+    assert first() == want and every() == all_of and len(want) == len(pts) and len(set(want.values())) > 150
+    plan = state.first_watchbox(points, boxes)._jdf.queryExecution().toString()
+    assert "boxes_" not in plan
+    most = state.box_cover(boxes).selectExpr("level", "x", "y", "size(some) + int(whole is not null) n").agg(F.sum("n")).first()[0]
+    assert most <= 25 * len(rows)
+
+
+def test_rules_that_fail_in_any_way_are_told(spark, small):
+    from kelpline.operators import engine
+
+    def wrong(c):
+        return None + 1
+
+    def worker(c):
+        bad = F.udf(lambda x: 1 // 0, "int")
+        return engine.RULES["SEISMIC_SHALLOW"](c).withColumn("severity", bad("severity"))
+
+    o = ob.sparse(spark, small)
+    rules = {"WRONG": wrong, "WORKER": worker, "SQUAWK_EMERGENCY": engine.RULES["SQUAWK_EMERGENCY"]}
+    run = engine.run_engine(engine.Context(o, dims.watchboxes(spark), 86_400_000, now_ms=1_705_320_000_000), rules=rules)
+    assert set(run.errors) == {"WRONG", "WORKER"} and "TypeError" in run.errors["WRONG"] and run.found.count() > 0 and run.opened is not None
