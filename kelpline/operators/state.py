@@ -167,9 +167,10 @@ def _covered(boxes: DataFrame) -> DataFrame:
     """(b, level, x, y): each box with the cells that cover it, of the size that suits it: five by five at most."""
     size = F.greatest(F.col("max_lat") - F.col("min_lat"), (F.col("max_lon") - F.col("min_lon")) / 2, F.lit(1e-9))
     level = F.least(F.lit(FINEST), F.greatest(F.lit(0), F.floor(F.log2(F.lit(180.0) / size)) + 1)).cast("int")
-    c = boxes.where((F.col("min_lat") <= F.col("max_lat")) & (F.col("min_lon") <= F.col("max_lon"))).select(F.struct(*BOX_FIELDS).alias("b"), level.alias("level"))
-    run = lambda lo, hi, span: F.explode(F.sequence(_cell(F.col(f"b.{lo}"), span, F.col("level")), _cell(F.col(f"b.{hi}"), span, F.col("level"))))
-    return c.withColumn("x", run("min_lon", "max_lon", 360.0)).withColumn("y", run("min_lat", "max_lat", 180.0))
+    c = boxes.where((F.col("min_lat") <= F.col("max_lat")) & (F.col("min_lon") <= F.col("max_lon"))).select(*BOX_FIELDS, level.alias("level"))
+    run = lambda lo, hi, span: F.explode(F.sequence(_cell(F.col(lo), span, F.col("level")), _cell(F.col(hi), span, F.col("level"))))
+    c = c.withColumn("x", run("min_lon", "max_lon", 360.0)).withColumn("y", run("min_lat", "max_lat", 180.0))
+    return c.select(F.struct(*BOX_FIELDS).alias("b"), "level", "x", "y")
 
 
 def _at_cell(lat: str, lon: str, level: int) -> Column:
