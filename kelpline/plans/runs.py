@@ -190,7 +190,7 @@ def case_file_full(s, d):
 
 
 def evidence_full(s, d):
-    """Bundles of thermal detections with their sources verified; some links are broken on purpose."""
+    """Bundles of thermal detections with their sources verified, some links broken on purpose, and what happened close by."""
     o = ob.sparse(s, d)
     g = detectors.thermal_anomaly(o, dims.watchboxes(s)).withColumn("id", F.regexp_extract(F.element_at("entity_ids", 1), r"(\d+)$", 1).cast("long"))
     page = F.floor(F.col("id") / F.lit(100)).cast("long")
@@ -199,10 +199,11 @@ def evidence_full(s, d):
     chain = chain.withColumn("payload_sha", F.when(F.col("id") % 41 == 17, F.sha2("payload_sha", 256)).otherwise(F.col("payload_sha")))
     src = provenance.detections_with_sources(links, chain, dims.sources(s))
     tr = provenance.entity_tracks_around(g, o, 12 * HOUR, 6 * HOUR, 6)
-    b = provenance.evidence_bundles(g, dims.methods(s), tr, src, provenance.chain_verdicts(links, chain))
+    near = fusion.clusters(g.select("id", "lat", "lon", "ts_start")).groupBy(F.col("cluster").cast("string").alias("hash")).agg(F.array_sort(F.collect_list("id")).alias("detection_ids"))
+    b = provenance.evidence_bundles(g, dims.methods(s), tr, src, provenance.chain_verdicts(links, chain), provenance.siblings(near))
     j = lambda p, t: F.get_json_object("bundle", p).cast(t)
     whole = F.sha2("bundle", 256) == F.col("manifest_sha")
-    return b.select("id", j("$.verification.records", "long").alias("records"), j("$.verification.chain_ok", "boolean").alias("chain_ok"), j("$.sources[0].payload_sha", "string").alias("payload_sha"), j("$.method", "string").alias("method"), whole.alias("whole"))
+    return b.select("id", j("$.verification.records", "long").alias("records"), j("$.verification.chain_ok", "boolean").alias("chain_ok"), j("$.sources[0].payload_sha", "string").alias("payload_sha"), j("$.method", "string").alias("method"), whole.alias("whole"), j("$.incident", "string").alias("incident"), F.coalesce(F.json_array_length(j("$.siblings", "string")), F.lit(0)).alias("n_siblings"))
 
 
 def retained(s, d):
@@ -382,6 +383,21 @@ def stream_pushes(s, d):
     return told.distinct()
 
 
+def stream_usual(s, d):
+    """What is usual by cell and day of the week, folded file by file from the days that are over; each batch comes twice."""
+    folder, o = _landed(s, d, 7)
+    kept = watch.Kept(s, f"{folder}/kept", 3)
+    day = lambda ms: F.floor(geo.hour_of_week(ms) / F.lit(24)).cast("int")
+
+    def tick(batch, epoch):
+        now = batch.agg(F.max("ts_ms")).first()[0]
+        for _ in range(2 if now is not None else 0):
+            watch.fold_usual(kept, batch, now, epoch, 2, DAY, day)
+
+    jobs.run_ticks(o, tick, f"{folder}/at").awaitTermination()
+    return watch.usual(kept, 1 << 40, 2).select("cell", "season", "samples", r("mean", 6).alias("mean"), r("sd", 6).alias("sd"))
+
+
 def stream_incidents(s, d):
     """Incidents as ticks have grown and merged them."""
     i = _watched(s, d, SIMPLE_RULES).incidents.before(1 << 40)
@@ -390,7 +406,7 @@ def stream_incidents(s, d):
 
 QUERIES = {f.__name__: f for f in (
     run_all, run_opened, run_incidents, all_rules, void_by_season, bloom_by_aircraft, detection_hashes, open_gaps, merged_props, replay_counts, gone_entities, box_members, texts_of_gaps, codes_of_names, light_evidence, reachable_outlines, looping_flags,
-    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, trimmed_storage, chain_continued, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_pushes, stream_incidents,
+    incident_siblings, incident_links, incident_texts, case_file_full, evidence_full, retained, trimmed_archive, trimmed_storage, chain_continued, stream_positions, stream_cells, stream_gaps, stream_once, stream_runs, stream_gap_table, stream_silences, stream_changes, stream_pushes, stream_usual, stream_incidents,
 )}
 
 
@@ -485,8 +501,10 @@ SELECT obs_id, CASE WHEN gap<90 THEN {sql.jsr('gap')}||'s' WHEN gap<5400 THEN mi
     "incident_texts": f"""WITH RECURSIVE {_LINKED}, mb AS (SELECT m.*, {sql.first_box("m.lat", "m.lon")} AS fb FROM m), mw AS (SELECT mb.* EXCLUDE (bkey), CASE WHEN rule='SEISMIC_SHALLOW' THEN box.bkey ELSE mb.bkey END AS wbx FROM mb LEFT JOIN box ON bid=fb),
 w AS (SELECT cluster, first(wbx ORDER BY m.ts_start, m.id) FILTER (WHERE wbx IS NOT NULL) AS wb, string_agg('T+'||{sql.jsr('(m.ts_start-b.ts_start)/60000e0')}||'m '||rule||' '||m.severity, chr(10) ORDER BY m.ts_start, m.id) AS narrative, array_to_string(list_sort(list_distinct(list(dom))), ',') AS domains, min(m.id) AS least FROM mw m JOIN big40 b USING (cluster) GROUP BY cluster)
 SELECT least, n_domains||'-domain confluence over '||coalesce(replace(wb,'_',' '), {_one_decimal('abs(lat)')}||(CASE WHEN lat>=0 THEN 'N ' ELSE 'S ' END)||{_one_decimal('abs(lon)')}||(CASE WHEN lon>=0 THEN 'E (' ELSE 'W (' END)||{sql.gh('lat', 'lon', 4)}||')')||': '||lower(replace(lead,'_',' ')) AS title, narrative, domains FROM w JOIN big40 USING (cluster)""",
-    "evidence_full": f"""WITH RECURSIVE {OBS}, {sql.THERMAL}, {sql.CHAIN}, br AS (SELECT id, source_id, chain_sha, prev_sha, CASE WHEN id%41=17 THEN sha256(payload_sha) ELSE payload_sha END AS payload_sha, id%41<>17 AS own FROM chain), l AS (SELECT th.obs_id AS id, th.obs_id//100 AS a, th.obs_id//100-7 AS b FROM th)
-SELECT l.id, 1+(CASE WHEN y.id IS NULL THEN 0 ELSE 1 END) AS records, x.own AND coalesce(y.own, true) AS chain_ok, (CASE WHEN y.id IS NULL THEN x.payload_sha ELSE y.payload_sha END) AS payload_sha, 'radiative power of a fire pixel' AS method, true AS whole FROM l JOIN br x ON x.id=a LEFT JOIN br y ON y.id=b""",
+    "evidence_full": f"""WITH RECURSIVE {OBS}, {sql.THERMAL}, {sql.CHAIN}, br AS (SELECT id, source_id, chain_sha, prev_sha, CASE WHEN id%41=17 THEN sha256(payload_sha) ELSE payload_sha END AS payload_sha, id%41<>17 AS own FROM chain), l AS (SELECT th.obs_id AS id, th.obs_id//100 AS a, th.obs_id//100-7 AS b FROM th),
+edges AS MATERIALIZED (SELECT p.obs_id AS a_id, q.obs_id AS b_id FROM th p JOIN th q ON p.obs_id<q.obs_id AND abs(p.ts_start-q.ts_start)<={90 * 60000} AND {sql.hav("p.lat", "p.lon", "q.lat", "q.lon")}<=150000), {sql.REACH}, sib AS (SELECT cluster, count(*)-1 AS n FROM cl GROUP BY cluster)
+SELECT l.id, 1+(CASE WHEN y.id IS NULL THEN 0 ELSE 1 END) AS records, x.own AND coalesce(y.own, true) AS chain_ok, (CASE WHEN y.id IS NULL THEN x.payload_sha ELSE y.payload_sha END) AS payload_sha, 'radiative power of a fire pixel' AS method, true AS whole, cl.cluster::VARCHAR AS incident, coalesce(sib.n,0)::INT AS n_siblings
+FROM l JOIN br x ON x.id=a LEFT JOIN br y ON y.id=b LEFT JOIN cl ON cl.id=l.id LEFT JOIN sib USING (cluster)""",
     "retained": f"""WITH {OBS}, z AS (SELECT *, ts_ms//1800000 AS bk FROM obs WHERE ts_ms<{NOW - 12 * H} AND ts_ms>={NOW - 168 * H}), k AS (SELECT domain, obs_id FROM obs WHERE ts_ms>={NOW - 12 * H} UNION ALL SELECT domain, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, bk ORDER BY ts_ms DESC, obs_id DESC) AS rn FROM z) WHERE rn=1), e AS (SELECT domain, count(*) AS entities FROM (SELECT entity_id, first(domain ORDER BY ts_ms DESC, obs_id) AS domain, max(ts_ms) AS seen FROM obs GROUP BY entity_id) WHERE seen>={NOW - 168 * H} GROUP BY domain)
 SELECT domain, count(*) AS n, sum(obs_id)::BIGINT AS id_sum, first(entities) AS entities FROM k LEFT JOIN e USING (domain) GROUP BY domain""",
     "trimmed_archive": f"WITH {OBS}, z AS (SELECT {sql.q('ts_ms', DAY)} AS day_ms, count(*) AS n FROM obs WHERE domain<=2 GROUP BY 1), k AS (SELECT day_ms FROM (SELECT day_ms, sum(n) OVER (ORDER BY day_ms DESC) AS t FROM z) WHERE t<=4000) SELECT domain, count(*) AS n, min(obs_id) AS first_id FROM obs WHERE domain<=2 AND {sql.q('ts_ms', DAY)} IN (SELECT day_ms FROM k) GROUP BY domain",
@@ -505,6 +523,7 @@ FROM k WHERE k=0 OR ts_ms+k*{RESEND_S * 1000}<coalesce(next_ms, w+1)""",
     "stream_pushes": f"""WITH {OBS}, {THERMAL}, ch AS (SELECT ts_ms, 'c'||(cog_deg::INT%40) AS client_id, substr(geohash5,1,(obs_id%3)::INT) AS cell, obs_id%4<>0 AS active FROM obs WHERE domain IN (1,2) AND obs_id%5=0), wm AS (SELECT greatest((SELECT max(ts_ms) FROM ch), (SELECT max(ts_start) FROM th))-{H} AS w),
 sp AS (SELECT client_id, cell, active, ts_ms AS from_ms, lead(ts_ms, 1, 9007199254740991) OVER (PARTITION BY client_id, cell ORDER BY ts_ms, active) AS to_ms FROM ch)
 SELECT DISTINCT client_id, obs_id AS id, ts_start AS at_ms FROM th JOIN sp ON active AND ts_start>=from_ms AND ts_start<to_ms AND (severity>=70 OR (cell<>'' AND starts_with(geohash5, cell))) WHERE ts_start<=(SELECT w FROM wm)""",
+    "stream_usual": f"WITH {OBS}, l0 AS (SELECT {_CELL1(2)} AS cell, {sql.q('ts_ms', DAY)} AS tick, count(*) AS n FROM obs WHERE {sql.AIRBORNE} GROUP BY ALL) SELECT cell, ((tick//{DAY}+4)%7)::INT AS season, count(*) AS samples, round(avg(n),6) AS mean, round(stddev_samp(n),6) AS sd FROM l0 WHERE tick<(SELECT max(ts_ms)//{DAY}*{DAY} FROM obs) GROUP BY ALL HAVING count(*)>=2",
     "stream_incidents": f"SELECT severity, members, n_domains, ts_start, ts_end, lat, lon, radius_km, lead FROM ({sql.ORACLE['confluence_incidents']})",
     "stream_once": f"WITH {OBS} SELECT obs_id, ts_ms FROM obs WHERE domain=5",
     "stream_runs": f"WITH {OBS}, {sql.THERMAL}, {sql.SEISMIC}, {sql.SQUAWK}, a AS (SELECT rule, severity, ts_start, entities, geohash5 FROM th UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM se UNION ALL SELECT rule, severity, ts_start, entities, geohash5 FROM sq), k AS (SELECT rule, ts_start, entities, geohash5, max(severity) AS severity FROM a WHERE severity>=97 GROUP BY ALL) SELECT rule, count(*) AS n, count(*) AS keys, max(severity) AS most, 0::BIGINT AS again FROM k GROUP BY rule",
