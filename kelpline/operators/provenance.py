@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.functions.canonical import canonical_json
 from kelpline.functions.geo import geohash
 from kelpline.functions.kinematics import profile_for, reachable_polygon, reachable_set
 
@@ -123,7 +124,7 @@ def full_case_files(detections: DataFrame, gaps: DataFrame, obs: DataFrame, prov
 
 
 def evidence_bundles(detections: DataFrame, methods: DataFrame, tracks: DataFrame, sources: DataFrame, verdicts: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
-    """(id, bundle, manifest_sha): detection, method, tracks and sources of each detection as one JSON text with keys in order.
+    """(id, bundle, manifest_sha): detection, method, tracks and sources of each detection as one JSON text in canonical form.
     ``verdicts`` (see chain_verdicts) adds what verifying the sources gave, ``members`` (see siblings) incident and siblings.
     The methods are a list kept by hand, a row a rule."""
     t = tracks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "fixes"))).alias("tracks"))
@@ -136,7 +137,7 @@ def evidence_bundles(detections: DataFrame, methods: DataFrame, tracks: DataFram
     if members is not None:
         d = d.join(members, "id", "left")
         fields += ["incident", "siblings"]
-    return d.withColumn("bundle", F.to_json(F.struct(*sorted(fields)))).select("id", "bundle").withColumn("manifest_sha", F.sha2("bundle", 256))
+    return d.withColumn("bundle", canonical_json(F.to_json(F.struct(*sorted(fields))))).select("id", "bundle").withColumn("manifest_sha", F.sha2("bundle", 256))
 
 
 def route_events(events: DataFrame, subscriptions: DataFrame, to_all: int = 70) -> DataFrame:
