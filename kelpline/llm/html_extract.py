@@ -10,10 +10,16 @@
    fixed, its tags are nodes with the measures of the slots below them: their share
    of a page's text, their unlinked characters a page, their links.
 4. On each page the template is walked from the root into the node that holds most of
-   its host's text, as long as one does.  All slots there are content, whatever their
-   share of this page; a slot beside that way is content if it holds as much as
-   LEAST_SHARE of the main slot and isn't mostly links.  Fixed texts go.
-5. Names only support this: elements that HTML marks as no content (nav, footer, aside,
+   its host's text, as long as one does.  The article is the outermost node of that way
+   that is an article, else main, else named as content, else the innermost that also
+   holds the page's title, else the way's end.  All its slots are content, whatever their
+   share, but those beside the way that are mostly links.  A slot outside it is content
+   if it holds as much as LEAST_SHARE of the article and isn't mostly links; a title (h1)
+   that isn't fixed is content, too.
+5. Fixed texts outside the article go; inside it those that stand bare in a container,
+   and containers of fixed texts alone, unless these are headings.  Fixed headings,
+   paragraphs and cells beside texts that vary stay: they are the author's.
+6. Names only support this: elements that HTML marks as no content (nav, footer, aside,
    forms and the like) are left out, and so are containers named as menus, adverts or
    comments: beside the main slot by any part of a class, id or role, inside it by
    whole ones; paragraphs, lists and headings are never judged by names.
@@ -71,8 +77,13 @@ NAMED = frozenset("div section aside header ul ol dl table".split())
 WORDS = r"(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|toolbar|topbar|header|masthead|footer|foot|copyright|legal|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|widget|complementary|contentinfo|navigation)"
 PART, WHOLE_NAME = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I), re.compile(WORDS, re.I)
 
+CONTENT_NAME = re.compile(r"(?:main|page|post|entry|article|story)?[_-]?(?:content|article|post|entry|story|body)|main", re.I)
+
 #: What an element itself tells: no content by HTML; a header, which is content inside the main slot; a part of a name; a whole one.
 NO_CONTENT, HEADER, NAME_PART, NAME = 1, 2, 4, 8
+#: An article; main; named as content; a title; any heading; a container; the page itself.
+ARTICLE, MAIN, CONTENT, TITLE, HEADING, CONTAINER, PAGE = 16, 32, 64, 128, 256, 512, 1024
+OF_ELEMENT = {"article": ARTICLE, "main": MAIN, "html": PAGE, "body": PAGE, "h1": TITLE | HEADING} | dict.fromkeys("h2 h3 h4 h5 h6".split(), HEADING)
 #: Share of its host's text that a node must hold to be walked into; of the main slot's text that another slot must hold.
 MOST_TEXT, LEAST_SHARE = 0.6, 0.1
 #: Share of a slot's text in links up to which it is content.
@@ -95,7 +106,13 @@ def judged(element: str, named: dict) -> int:
     """The flags of an element."""
     if element in NOT_CONTENT or "hidden" in named or UNSEEN.search(named.get("style") or ""):
         return NO_CONTENT
-    flags = HEADER if element == "header" else 0
+    flags = (HEADER if element == "header" else 0) | OF_ELEMENT.get(element, 0)
+    if element in NAMED:
+        flags |= CONTAINER
+    if (named.get("role") or "").lower() == "main":
+        flags |= MAIN
+    if element in PLACED and any(CONTENT_NAME.fullmatch(x) for x in f"{named.get('class') or ''} {named.get('id') or ''}".split()):
+        flags |= CONTENT
     if element in NAMED and named:
         names = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
         if names and PART.search(names):
@@ -311,37 +328,63 @@ def main_text(page: str, template: bytes | None) -> str:
     for i, (parent, role, flags) in enumerate(nodes[1:], 1):
         if not flags & NO_CONTENT and known.get(role, (-1,))[0] >= MOST_TEXT:
             children.setdefault(parent, {}).setdefault(role, []).append(i)
-    way, main, usual = {0}, 0, 0.0
-    while once := [c[0] for c in children.get(main, {}).values() if len(c) == 1]:
-        main = max(once, key=lambda i: known[nodes[i][1]])
-        usual = known[nodes[main][1]][1]
-        way.add(main)
+    way, end, usual = [0], 0, 0.0
+    while once := [c[0] for c in children.get(end, {}).values() if len(c) == 1]:
+        end = max(once, key=lambda i: known[nodes[i][1]])
+        usual = known[nodes[end][1]][1]
+        way.append(end)
     own = [0] * len(nodes)
-    for i, t, links in texts:
+    titled = [bool(flags & TITLE) for _, _, flags in nodes]
+    is_fixed = [(nodes[i][1], text_hash(t)) in fixed for i, t, _ in texts]
+    varying, plain = [0] * len(nodes), [0] * len(nodes)  # texts that aren't fixed; fixed ones that aren't headings
+    for (i, t, links), same in zip(texts, is_fixed, strict=True):
         own[i] += len(t) - links
+        varying[i] += not same
+        plain[i] += same and not nodes[i][2] & HEADING
     for i in range(len(nodes) - 1, 0, -1):
-        own[nodes[i][0]] += own[i]
+        parent, _, flags = nodes[i]
+        own[parent] += own[i]
+        varying[parent] += varying[i]
+        plain[parent] += plain[i]
+        titled[parent] |= titled[i] and not flags & (NO_CONTENT | HEADER)
+    main = article_of(nodes, way, titled)
     usual = abs(usual) or own[0]
-    content = [False] * len(nodes)
-    inside = [False] * len(nodes)  # of the main slot
+    on_way = set(way)
+    above = set(way[: way.index(main) + 1])  # the way into the article
+    content, inside, barred = ([False] * len(nodes) for _ in range(3))
     content[main] = inside[main] = True
     for i, (parent, role, flags) in enumerate(nodes):
-        if i in way:
+        if i in above:
             continue
         inside[i] = inside[parent]
         if inside[i]:
-            content[i] = content[parent] and not flags & (NO_CONTENT | NAME)
-        elif flags & (NO_CONTENT | HEADER | NAME_PART):
+            gone = flags & (NO_CONTENT | NAME)
+            if parent in on_way and i not in on_way and flags & CONTAINER:  # a slot beside the way
+                gone = gone or not titled[i] and (flags & NAME_PART and parent != end or known.get(role, (0, 1))[1] <= 0)
+            content[i] = content[parent] and not gone and not (flags & CONTAINER and plain[i] and not varying[i] and i not in on_way)
+            continue
+        barred[i] = barred[parent] or bool(flags & (NO_CONTENT | HEADER | NAME_PART))
+        if barred[i]:
             content[i] = False
-        elif parent in way:  # a slot beside the way
+        elif parent in above:  # a slot outside the article
             content[i] = known.get(role, (0, own[i]))[1] >= LEAST_SHARE * usual
         else:
             content[i] = content[parent]
-    for i in way - {main}:  # texts beside the way's elements
+        content[i] = content[i] or bool(flags & TITLE) and not barred[i]
+    for i in above - {main}:  # texts beside the way's elements
         content[i] = sum(len(t) for j, t, _ in texts if j == i) >= LEAST_SHARE * usual
-    kept = [(i, t) for i, t, _ in texts if content[i]]
-    slots = [t for i, t in kept if (nodes[i][1], text_hash(t)) not in fixed] if fixed else [t for _, t in kept]
-    return " ".join(slots or [t for _, t in kept])
+    kept = [(i, t, same) for (i, t, _), same in zip(texts, is_fixed, strict=True) if content[i]]
+    slots = [t for i, t, same in kept if not same or inside[i] and not (i == main or nodes[i][2] & (CONTAINER | PAGE))]
+    return " ".join(slots or [t for _, t, _ in kept])
+
+
+def article_of(nodes: list, way: list[int], titled: list[bool]) -> int:
+    """The node of the way that is the page's article."""
+    for kind in (ARTICLE, MAIN, CONTENT):
+        if named := [i for i in way if nodes[i][2] & kind]:
+            return named[0]
+    with_title = [i for i in way[1:] if titled[i] and not nodes[i][2] & PAGE]
+    return with_title[-1] if with_title else way[-1]
 
 
 def with_template(pages: DataFrame, t: DataFrame) -> DataFrame:

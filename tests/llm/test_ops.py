@@ -430,7 +430,33 @@ def test_classes_judge_articles_too(spark):
     inner = "<h1 id='search-algorithms'>Head {0}</h1><div class='x1'>Buy a boat now</div><p>Body {0}.</p><p>Written by us all.</p><section id='related-work' class='cookie-recipes'><p>Others in {0}.</p></section><div class='share'>Send {0}</div>"
     got = main_text(spark, [(i, f"http://a.example/{i}", f"<body><article>{inner.format(i)}</article></body>") for i in range(8)])
     for i in range(8):
-        assert got[i] == f"Head {i} Body {i}. Others in {i}."
+        assert got[i] == f"Head {i} Body {i}. Written by us all. Others in {i}."
+
+
+LAYOUTS = {
+    "blog": "<article><h1>Title {0}</h1><p class='by'>By Author {0}</p><div class='body'>{1}</div><p>Last words {0}.</p></article>",
+    "wrapped": "<main><div class='hd'><h1>Title {0}</h1></div><div class='txt'>{1}</div><ul class='tags'><li><a href='/x'>tag {0}</a></li></ul></main>",
+    "repeated": "<article><h1>Title {0}</h1><h2>Summary</h2>{1}<h2>References</h2><p>Number {0} differs.</p></article>",
+    "plain": "<div class='w1'><div class='hd'><h1>Title {0}</h1></div><div class='txt'>{1}</div><p>Number {0} differs.</p></div>",
+    "outside": "<div class='wrap'><h1>Title {0}</h1><div class='content'><h3>Notes</h3>{1}</div></div>",
+    "columns": "<div class='cols'><div class='entry-content'><div class='post-header'><h1>Title {0}</h1></div><div class='txt'>{1}</div></div><div class='side-box'>Hot {0}</div></div>",
+}
+
+
+def test_layouts_keep_every_word_of_the_article(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for h, (name, layout) in enumerate(LAYOUTS.items()):
+        for i in range(12):
+            paragraphs = [" ".join(f"w{rng.randrange(900)}" for _ in range(40)) + "." for _ in range(4)]
+            inner = layout.format(i, "".join(f"<p>{p}</p>" for p in paragraphs))
+            rows.append((h * 100 + i, f"http://{name}.example/{i}", f"<html><body><div class='top'>Site</div><nav><a href='/'>Home</a></nav>{inner}<div class='imprint'>All by us</div><footer>f {i}</footer></body></html>"))
+            text = re.sub(r"<ul.*?</ul>|<div class='side-box'>.*?</div>", "", inner)
+            want[h * 100 + i] = re.sub(r"<[^>]+>", " ", text).split()
+    got = main_text(spark, rows)
+    for i, words in want.items():
+        assert got[i].split() == words, rows[i % 100 + i // 100 * 12][1]
 
 
 def truth_of(pages):
