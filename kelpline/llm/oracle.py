@@ -55,7 +55,8 @@ def _plain(pattern: str) -> str:
     """An expression for an engine whose letters in either case, and white space, are others: both spelled out."""
     either = lambda m: re.sub("[a-zA-Z]", lambda x: f"[{x[0].lower()}{x[0].upper()}]", m[1])
     pattern = re.sub(r"\(\?i:([^()]*)\)", lambda m: f"(?:{either(m)})", pattern)
-    return pattern.replace(r"[^\s", r"[^ \t\n\r\f\x0b").replace(r"\s", r"[ \t\n\r\f\x0b]").replace("'", "''")
+    # Without backtracking a possessive repeat is a plain one.
+    return pattern.replace("*+", "*").replace("++", "+").replace(r"[^\s", r"[^ \t\n\r\f\x0b").replace(r"\s", r"[ \t\n\r\f\x0b]").replace("'", "''")
 
 
 def _found(nth: int, rule: secret_scan.Rule) -> str:
