@@ -235,7 +235,9 @@ def blocked_pairs(members: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, ra, rb, linked) for candidate pairs of nodes, on the sets of their representatives' whole texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
+    # Equal rows are one, so that a pair isn't confirmed once for each two of them.
+    same = Window.partitionBy("doc_id", F.xxhash64("text"), F.octet_length("text")).orderBy(F.lit(0))
+    texts = docs.select("doc_id", "text").repartition("doc_id").withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
     at = nodes.select("node", "rep")
     pairs = pairs.join(at.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").join(at.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
     # Texts are dealt by id once; both joins read that exchange.
