@@ -1,8 +1,8 @@
 """Quality rules, line first, with DataFrame functions only.
 
 Each line is tried against rules for punctuation, navigation, symbols, shouting
-and boilerplate; lines that fail are taken out, and a document that loses too
-many of its words, or fails the base rules, is rejected.
+and boilerplate; a document that loses too many of its words with the lines that
+fail, or fails the base rules, is rejected.  What is kept goes on without these lines.
 
 Defined cases: a null text has no words and is rejected as too short; lines
 without a word neither fail nor count; repeated rows are judged each by itself;
@@ -113,7 +113,14 @@ def assess(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with the input's columns."""
+    """The rows that pass, with the input's columns; lines that fail are out of their texts."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    good = assess(plain, f"c{df.columns.index(text_col)}", "q_").where("q_kept")
-    return good.select(plain.columns).toDF(*df.columns)
+    text = f"c{df.columns.index(text_col)}"
+    good = assess(plain, text, "q_").where("q_kept")
+    return good.withColumn(text, without_failures(F.col(text))).select(plain.columns).toDF(*df.columns)
+
+
+def without_failures(text: Column) -> Column:
+    """A text without its lines that fail; lines without a word stay."""
+    fails = lambda x: let(F.regexp_count(x, F.lit(WORD)), lambda n: (n > 0) & line_fails(x, n))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~fails(x)), "\n")
