@@ -19,9 +19,14 @@ from kelpline.llm.queries import vocabulary
 from kelpline.plans.checkpoints import delete_folder, shared_folder
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """Documents with n_chars of their texts as they are now."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality rules, without their lines that fail; n_chars is counted anew where that changed it."""
+    return counted(quality.keep_good(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted anew where that changed it."""
-    masked = secret_scan.mask_secrets(docs)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return counted(secret_scan.mask_secrets(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
