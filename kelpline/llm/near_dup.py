@@ -13,9 +13,10 @@ error in about one pair of two thousand millions.
    whose own buckets hold the most nodes, as the origin of edited copies does.
 3. Where a bucket still holds several components, nodes of different components
    are compared inside the task, in blocks of bounded size.  Nodes of a bucket with
-   more than BLOCK are dealt out once more, by each further key that leads to such a
-   bucket too: two signatures that differ in at most 29 symbols share keys of two
-   chunks, of which either one leads to a small bucket, or both are such keys.
+   more than BLOCK are dealt out once more, by two symbols of either one of the next
+   two chunks (the first follows the last).  This loses no pair within the distance:
+   if each chunk with at most one error had two after it with three or more each,
+   such three had six errors or more, each other chunk two, and all of them 32.
 4. Before texts are fetched, pairs are bounded by their parities: a bit a range of
    hashes tells whether a set has an odd number of them, so two sets differ in at
    least as many hashes as their parities differ in bits.  Only pairs that can't be
@@ -35,6 +36,8 @@ of none and gets no component; rows that share an id are judged by their texts.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -49,8 +52,8 @@ from kelpline.plans.checkpoints import checkpointed, release
 WIDTH, SIMILARITY = 5, (3, 4)
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
-#: Differences of two signatures that the index finds for certain, by a chunk with one error or by two.
-REACH, REACH_TWICE = 2 * CHUNKS - 1, 2 * (CHUNKS - 1) - 1
+#: Differences of two signatures that the index finds for certain, in buckets of any size.
+REACH = 2 * CHUNKS - 1
 #: Nodes of one side of a block in a bucket.
 BLOCK = 4096
 SLICE = 2 << 20
@@ -117,6 +120,23 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(s), SYMBOLS)
 
 
+#: Symbols of a chunk that stay with two errors allowed, and the chunks after a key's own that they are taken from.
+STAY, AFTER = tuple(combinations(range(CHUNK), 2)), (1, 2)
+
+
+def second_keys(keys: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """The further keys of signatures in large buckets, each row's by its bucket's key: which chunk after that of the key, the two
+    symbols that stay, and their values."""
+    s = signatures.reshape(-1, CHUNKS, CHUNK).astype(np.int64)
+    chunk, rows = keys // (CHUNK << 48), np.arange(len(s))
+    out = np.empty((len(s), len(AFTER), len(STAY)), np.int64)
+    for i, after in enumerate(AFTER):
+        of = s[rows, (chunk + after) % CHUNKS]
+        for j, (a, b) in enumerate(STAY):
+            out[:, i, j] = (i * len(STAY) + j) << 32 | of[:, a] << 16 | of[:, b]
+    return out.reshape(len(s), -1)
+
+
 def node_of(distinct: np.ndarray) -> int:
     """A 64-bit fingerprint of a set of hashes."""
     total = shingles.mix64(distinct ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(distinct))
@@ -161,11 +181,12 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def near_pairs(bucket: np.ndarray, key: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, whole: list[bytes]):
-    """Places (i, j) of rows in one bucket, sorted by bucket, that differ in label and may be linked; of two rows that share
-    several keys only the first key counts.
+def near_pairs(bucket: np.ndarray, key: np.ndarray, second: np.ndarray, wide: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, whole: list[bytes]):
+    """Places (i, j) of rows in one bucket, sorted by bucket, that differ in label and may be linked; two rows that share
+    several buckets count in one of them.
 
-    ``bucket`` tells buckets apart; ``side`` is -1, or 0 and 1 where only pairs across sides count.
+    ``bucket`` tells buckets apart, by the numbers of their keys, ``second`` being -1 where there is one key; ``wide`` has a bit for
+    each of a row's keys that leads to a large bucket; ``side`` is -1, or 0 and 1 where only pairs across sides count.
     """
     least, full = SIMILARITY
     live, i, j, step = np.arange(len(key)), [], [], 1
@@ -184,24 +205,31 @@ def near_pairs(bucket: np.ndarray, key: np.ndarray, side: np.ndarray, label: np.
     i, j = np.concatenate(i), np.concatenate(j)
     folded = np.stack([fold(w, FOLDED) for w in whole])
     keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 65536):
-        a, b = i[at : at + 65536], j[at : at + 65536]
-        chunks = (sig[a] == sig[b]).reshape(-1, CHUNKS, CHUNK)
-        hits = (chunks.sum(axis=2)[:, :, None] - chunks == CHUNK - 1).reshape(len(a), SYMBOLS)  # the others of the chunk agree
-        first = np.flatnonzero(first_of(hits, key[a]))
+    for at in range(0, len(i), 16384):
+        a, b = i[at : at + 16384], j[at : at + 16384]
+        first = np.flatnonzero(counts_here((sig[a] == sig[b]).reshape(-1, CHUNKS, CHUNK), wide[a], key[a], second[a]))
         a, b = a[first], b[first]
         keep[at + first] = may_link(size[a], size[b], [whole[x] for x in a.tolist()], [whole[x] for x in b.tolist()], folded[a], folded[b])
     return i[keep], j[keep]
 
 
-def first_of(hits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether a pair that shares the keys ``hits`` counts in this bucket.  A bucket of one key (its number is below SYMBOLS)
-    counts if that is their first; in one of two keys each counts, as others of theirs may not lead to such buckets."""
-    return (key < 0) | (hits.argmax(axis=1) == key)
+def counts_here(agree: np.ndarray, wide: np.ndarray, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether pairs, given by the symbols in which they agree, count in this bucket: the first small one that they share, or, if
+    they share none, the first part of a large one."""
+    n = len(agree)
+    hits = (agree.sum(axis=2)[:, :, None] - agree == CHUNK - 1).reshape(n, SYMBOLS)  # the others of the chunk agree
+    large = (wide.astype(U)[:, None] >> np.arange(SYMBOLS, dtype=U) & U(1)).astype(bool)
+    small = hits & ~large
+    here = (second < 0) & (small.argmax(axis=1) == key)
+    if len(split := np.flatnonzero((second >= 0) & ~small.any(axis=1))):
+        stay = np.stack([np.roll(agree[split], -after, axis=1)[:, :, pair].all(axis=2) for after in AFTER for pair in map(list, STAY)], axis=2)
+        parts = (hits & large)[split].reshape(-1, CHUNKS, CHUNK, 1) & stay[:, :, None, :]
+        here[split] = parts.reshape(len(split), -1).argmax(axis=1) == key[split] * stay.shape[2] + second[split]
+    return here
 
 
 def blocked_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) from (key, second, i, j, side, node, label, size, signature, parity), sorted by the first four in each partition."""
+    """(a, b) from (key, second, i, j, wide, side, node, label, size, signature, parity), sorted by the first four in each partition."""
     bucket_of = ("key", "second", "i", "j")
 
     def run(batches):
@@ -210,10 +238,10 @@ def blocked_pairs(members: DataFrame) -> DataFrame:
         def emit(table: pa.Table):
             place = [table[c].to_numpy() for c in bucket_of]
             bucket = np.rec.fromarrays(place, names=",".join(bucket_of))
-            key = np.where(place[1] < 0, place[0] >> 48, -1)
+            key, second = place[0] >> 48, np.where(place[1] < 0, -1, place[1] >> 32)
             sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
             node = table["node"].to_numpy()
-            a, b = near_pairs(bucket, key, table["side"].to_numpy(), table["label"].to_numpy(), table["size"].to_numpy(), sig, table["parity"].to_pylist())
+            a, b = near_pairs(bucket, key, second, table["wide"].to_numpy(), table["side"].to_numpy(), table["label"].to_numpy(), table["size"].to_numpy(), sig, table["parity"].to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
         for batch in batches:
@@ -282,6 +310,20 @@ def candidates_by_leader(keys: DataFrame, counts: DataFrame, nodes: DataFrame) -
     return pairs.select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def split_large(rows: DataFrame) -> DataFrame:
+    """(key, second, node, label) of (key, node, label, signature): a large bucket's nodes by their further keys."""
+
+    def run(batches):
+        for batch in batches:
+            for b in (batch.slice(at, 8192) for at in range(0, batch.num_rows, 8192)):
+                sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+                second = second_keys(b.column("key").to_numpy(), sig)
+                of = [np.repeat(b.column(c).to_numpy(), second.shape[1]) for c in ("key", "node", "label")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[0], second.ravel(), *of[1:])], ["key", "second", "node", "label"])
+
+    return rows.select("key", "node", "label", "signature").mapInArrow(run, "key long, second long, node long, label long")
+
+
 def candidates_across(keys: DataFrame, counts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket but not a component, and may be linked."""
     lab = nodes.join(labels.select(F.col("node.node").alias("node"), F.col("component.node").alias("component")), "node", "left")
@@ -290,21 +332,21 @@ def candidates_across(keys: DataFrame, counts: DataFrame, nodes: DataFrame, labe
     several = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select(F.col("key").alias("k"))
     several = checkpointed(several.join(counts.select(F.col("key").alias("c"), "n"), F.col("k") == F.col("c")).drop("c"))
     rows = keys.join(several, F.col("key") == F.col("k")).drop("k").withColumn("second", F.lit(-1).cast("long"))
-    # Nodes of large buckets by pairs of keys, of two chunks, that both lead to such buckets.
     large = rows.where(F.col("n") > BLOCK).select("key", "node")
-    chunk = lambda c: F.shiftright(c, 48 + CHUNK.bit_length() - 1)
-    twice = large.join(large.select(F.col("key").alias("second"), F.col("node").alias("m")), (F.col("node") == F.col("m")) & (chunk("key") < chunk("second"))).select("key", "second", "node")
-    sizes = twice.join(lab.select("node", "label"), "node").groupBy("key", "second").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h"))
+    twice = split_large(large.join(lab.select("node", "label", "signature"), "node"))
+    sizes = twice.groupBy("key", "second").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h"))
     twice = twice.join(sizes.where("l <> h").drop("l", "h"), ["key", "second"])
     columns = ("key", "second", "node", "n")
     rows = rows.where(F.col("n") <= BLOCK).select(*columns).unionByName(twice.select(*columns)).join(lab, "node")
+    wide = large.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 48) AS int)))").alias("wide"))
+    rows = rows.join(wide, "node", "left").withColumn("wide", F.coalesce("wide", F.lit(0).cast("long")))
     # What still holds more than BLOCK nodes is dealt into parts; each pair of parts is a block of its own.
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     side = F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise((F.col("part") == F.col("j")).cast("int"))
-    rows = rows.select("key", "second", "i", "j", side.alias("side"), "node", "label", "size", "signature", "parity")
+    rows = rows.select("key", "second", "i", "j", "wide", side.alias("side"), "node", "label", "size", "signature", "parity")
     bucket = ("key", "second", "i", "j")
     return blocked_pairs(rows.repartition(*bucket).sortWithinPartitions(*bucket)).distinct()
 

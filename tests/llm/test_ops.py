@@ -117,8 +117,9 @@ def test_near_duplicates_equal_brute_force(spark, texts):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), c, c == i)
 
 
-def test_blocks_of_a_hot_bucket_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+@pytest.mark.parametrize("block", [1, 4, 20])
+def test_blocks_of_a_hot_bucket_lose_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = list(enumerate(near_copies(random.Random(2), 60)))
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == components([i for i, _ in rows], shingle_sets([t for _, t in rows]))
@@ -135,6 +136,39 @@ def test_keys_guarantee_the_reach():
     assert ((ka == kb).sum(axis=1) >= 1).all()
 
 
+@pytest.mark.parametrize("errors", ["spread", "two a chunk", "low and high chunks"])
+def test_large_buckets_keep_the_reach(errors):
+    """Whichever buckets are large, a pair within the reach shares a small one or a part of a large one, and counts in just one."""
+    rng = np.random.default_rng(3)
+    n = 400
+    a = rng.integers(0, 1 << 16, (n, near_dup.SYMBOLS)).astype("<u2")
+    b = a.copy()
+    for i in range(n):
+        if errors == "spread":
+            at = rng.choice(near_dup.SYMBOLS, near_dup.REACH, replace=False)
+        else:
+            # As many errors as can be, where the first of each run of chunks has the fewest.
+            per = [2] * near_dup.CHUNKS if errors == "two a chunk" else [0, 3, 3] * 5 + [1]
+            per = np.roll(per, rng.integers(near_dup.CHUNKS))
+            per[rng.choice(np.flatnonzero(per > 0))] -= errors == "two a chunk"
+            assert per.sum() <= near_dup.REACH
+            at = np.concatenate([c * near_dup.CHUNK + rng.choice(near_dup.CHUNK, k, replace=False) for c, k in enumerate(per)])
+        b[i, at] ^= 1
+    ka, kb = near_dup.keys_of(a), near_dup.keys_of(b)
+    for share in (0.0, 0.5, 1.0):
+        large = rng.random((n, near_dup.SYMBOLS)) < share
+        wide = (large.astype(np.uint64) << np.arange(near_dup.SYMBOLS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+        agree = (a == b).reshape(n, near_dup.CHUNKS, near_dup.CHUNK)
+        counted = np.zeros(n, int)
+        for k in range(near_dup.SYMBOLS):
+            met, key = ka[:, k] == kb[:, k], np.full(n, k)
+            counted += met & ~large[:, k] & near_dup.counts_here(agree, wide, key, np.full(n, -1))
+            sa, sb = near_dup.second_keys(ka[:, k], a), near_dup.second_keys(kb[:, k], b)
+            for part in range(sa.shape[1]):
+                counted += met & large[:, k] & (sa[:, part] == sb[:, part]) & near_dup.counts_here(agree, wide, key, np.full(n, part))
+        assert (counted == 1).all()
+
+
 def test_parities_never_leave_out_a_link():
     rng = np.random.default_rng(1)
     for n in (1, 3, 50, 400, 3000, 20000):
