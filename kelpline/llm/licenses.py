@@ -8,7 +8,7 @@
    frequencies over all units and templates.  Lines and sentences are held against
    statements, the others against notices and full texts; a unit has the licence
    of the template with the greatest cosine, if that is LEAST or LEAST_LONG or more.
-   An SPDX identifier is taken as it is declared.
+   An SPDX identifier or expression is taken as it is declared, with all its names.
 3. A file's own licence is that of its best unit.  A file whose words are to
    MOSTLY per cent in licence units of one kind, or whose name says so, is a
    licence file of its directory.
@@ -33,7 +33,11 @@ from kelpline.plans.checkpoints import checkpointed
 
 #: Licence statements by SPDX name.  Fixed values.
 TEMPLATES = (
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0 OR MIT", "Dual-licensed under the Apache License, Version 2.0 or the MIT License, at your option."),
+    ("Apache-2.0 OR MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause Simplified License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause New or Revised License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0, Creative Commons Attribution."),
@@ -41,9 +45,14 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0, Creative Commons Attribution ShareAlike."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0 OR MIT", "Dual licensed under the MIT and GPL licenses."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("ISC", "Licensed under the ISC License."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This source code is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain, Unlicense."),
@@ -74,12 +83,13 @@ NOTICES = (
     *((name, text.format(*of)) for name, *of in GNU_KINDS for text in (GNU, GNU_ONLY, f"{GNU} {GNU_MORE}", f"{GNU_ONLY} {GNU_MORE}")),
 )
 FULL = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
-NAMES = tuple(sorted({name for name, _ in TEMPLATES + NOTICES}))
+NAMES = tuple(sorted({name for name, _ in TEMPLATES + NOTICES if " " not in name}))
 
 #: Words that make a line, or a longer unit, a header.
 KEYS = r"(?i)(licen[sc]e|licensed|copyright|creative commons|public domain|spdx|permission is hereby granted|redistribution and use|free software|general public)"
-#: A declared identifier, what of it is left out, and what is none.
-SPDX, SPDX_ENDS, SPDX_NONE = r"(?i)spdx-license-identifier:?[ \t]*\(?([a-z0-9][a-z0-9.+-]*)", r"(?i)(-only|-or-later|\+)$", r"(?i)^(none|noassertion)?$"
+#: A declared identifier, an expression of several, what of a name is left out, and what is none.
+SPDX_NAME, SPDX_ENDS, SPDX_NONE = r"[a-z0-9][a-z0-9.+-]*", r"(?i)(-only|-or-later|\+)$", r"(?i)^(none|noassertion)?$"
+SPDX = rf"(?i)spdx-license-identifier:?[ \t]*(\(*{SPDX_NAME}(?:[ \t)]+(?-i:AND|OR|WITH)[ \t(]+{SPDX_NAME})*)"
 #: What comment lines begin with.
 MARK = r"[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--)"
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
@@ -118,7 +128,7 @@ def _terms(lines: DataFrame, *ids: str) -> DataFrame:
 def given_templates(spark: SparkSession) -> DataFrame:
     """(template, name, short, line)"""
     folder = resources.files("kelpline.llm").joinpath("licence_texts")
-    titled = [(name, f"License: {name}") for name in NAMES]
+    titled = [(name, f"License: {name}") for name in sorted({*NAMES, *(name for name, _ in TEMPLATES)})]
     full = [(name, folder.joinpath(f"{name}.txt").read_text(encoding="utf-8")) for name in FULL]
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = [(name, True, text) for name, text in (*TEMPLATES, *titled)] + [(name, False, text) for name, text in (*NOTICES, *full)]
@@ -155,10 +165,16 @@ def matches(units: DataFrame) -> DataFrame:
 
 
 def declared(line) -> Column:
-    """The SPDX identifier that a line declares, or null; of an expression the first."""
-    name = F.regexp_replace(F.regexp_extract(line, SPDX, 1), SPDX_ENDS, "")
-    known = F.element_at(F.create_map(*[F.lit(x) for n in NAMES for x in (n.lower(), n)]), F.lower(name))
-    return F.when(~name.rlike(SPDX_NONE), F.coalesce(known, name))
+    """The SPDX expression that a line declares, or null: its names and operators in their order, without brackets."""
+    known = F.create_map(*[F.lit(x) for n in NAMES for x in (n.lower(), n)])
+
+    def one(x):
+        name = F.regexp_replace(x, SPDX_ENDS, "")
+        return F.when(x.isin("AND", "OR", "WITH"), x).otherwise(F.coalesce(F.element_at(known, F.lower(name)), name))
+
+    names = F.regexp_extract_all(F.regexp_extract(line, SPDX, 1), F.lit("(?i)" + SPDX_NAME), F.lit(0))
+    said = F.array_join(F.transform(names, one), " ")
+    return F.when(~said.rlike(SPDX_NONE), said)
 
 
 def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -249,6 +249,61 @@ def test_licences_of_real_headers_and_files(spark):
     assert got["m/LICENSE"].is_licence_file and got["m/x.c"].origin == "directory" and all(got[f"f/{name}/COPYING"].is_licence_file for name in full)
 
 
+def test_licences_of_several_names(spark):
+    agpl = "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n"
+    gpl = resources.files("kelpline.llm").joinpath("licence_texts/GPL-3.0.txt").read_text()
+    code = "\n" + "int value; " * 100
+    files = [
+        ("a/README", "Dual-licensed under the Apache License, Version 2.0 or the MIT License, at your option." + code, "Apache-2.0 OR MIT"), ("b/lib.rs", "// SPDX-License-Identifier: (MIT OR Apache-2.0)" + code, "MIT OR Apache-2.0"),
+        ("c/x.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */" + code, "GPL-2.0 WITH Linux-syscall-note"), ("d/COPYING", agpl, "AGPL-3.0"), ("e/COPYING", agpl + gpl.split("\n", 3)[3], "AGPL-3.0"), ("f/COPYING", gpl, "GPL-3.0"),
+        ("g/x.c", "// SPDX-License-Identifier: MIT and other words" + code, "MIT"), ("h/x.c", "// SPDX-License-Identifier: NONE" + code, None), ("i/x.js", "// Dual licensed under the MIT and GPL licenses." + code, "GPL-2.0 OR MIT"), ("d/src/x.c", code, "AGPL-3.0"),
+        ("j/x.c", "// SPDX-License-Identifier: (MIT AND (BSD-3-Clause OR ISC))" + code, "MIT AND BSD-3-Clause OR ISC"),
+    ]
+    got = {r.path: r.licence for r in licenses.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert got == {p: want for p, _, want in files}
+
+
+def test_cosines_equal_a_plain_reading(spark):
+    """Each unit's best template by a second TF-IDF, in plain Python over all pairs."""
+    import math
+
+    import regex
+
+    rng = random.Random(4)
+    given = licenses.given_templates(spark).collect()
+    words = "license copyright free software the of code author public".split()
+    lines = []
+    for r in given:
+        if len(said := r.line.split()) > 400:
+            continue
+        for change in (0, 0.1, 0.4):
+            lines.append((r.short, " ".join(rng.choice(words) if rng.random() < change else w for w in said)))
+    units = [(i % 50, (licenses.LINE, licenses.SENTENCE)[i % 2] if short else (licenses.PARAGRAPH, licenses.BLOCK, licenses.WHOLE)[i % 3], i, line) for i, (short, line) in enumerate(lines)]
+    terms = lambda x: Counter(regex.findall(licenses.TERM, x.lower()))
+    mine, theirs = [terms(u[3]) for u in units], [terms(r.line) for r in given]
+    df = Counter(t for c in mine + theirs for t in c)
+    idf = {t: math.log((len(mine) + len(theirs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    vector = lambda c: {t: n * idf[t] for t, n in c.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    theirs = [(r, v := vector(c), length(v)) for r, c in zip(given, theirs, strict=True)]
+    got = {r.line_no: (r.licence, r.cosine) for r in licenses.matches(spark.createDataFrame(units, "text_id long, scope int, line_no int, line string")).collect()}
+    found = 0
+    for (_, scope, i, _), c in zip(units, mine, strict=True):
+        v = vector(c)
+        short = scope <= licenses.SENTENCE
+        all_of = {}
+        for r, w, n in theirs:
+            if r.short == short:
+                all_of[r.name] = max(all_of.get(r.name, 0.0), sum(x * w.get(t, 0.0) for t, x in v.items()) / (length(v) * n))
+        best, need = max(all_of.values()), licenses.LEAST if short else licenses.LEAST_LONG
+        if best < need - 1e-6:
+            assert i not in got
+        elif best > need + 1e-6:
+            found += 1
+            assert abs(got[i][1] - best) < 2e-6 and all_of[got[i][0]] > best - 2e-6
+    assert 100 < found < len(units)
+
+
 # ---- mixing
 
 
