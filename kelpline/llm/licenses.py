@@ -185,12 +185,13 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: tu
     """
     require(df, path_col, text_col, *keep)
     src = df.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    units = checkpointed(header_units(src.select("path", "text")))
-    found = units.join(matches(units.select("text_id", "scope", "line_no", "line")), ["text_id", "scope", "line_no"], "left")
-    spdx = F.when(F.col("scope") == LINE, declared(F.col("line")))
-    found = found.withColumns({"licence": F.coalesce(spdx, "licence"), "cosine": F.when(spdx.isNotNull(), 1.0).otherwise(F.col("cosine"))}).where("licence is not null")
     n = lambda c: F.regexp_count(c, F.lit(WORD))
-    own = found.groupBy("text_id", "scope").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("scope"), F.col("line_no"), F.col("licence"))).alias("b"), F.sum(n(F.col("line"))).alias("licence_words"))
+    spdx = F.when(F.col("scope") == LINE, declared(F.col("line")))
+    units = checkpointed(header_units(src.select("path", "text")).withColumns({"spdx": spdx, "words": n("line")}))
+    # Units' words are counted before, so that no unit's text is shuffled to its match.
+    found = units.drop("line").join(matches(units.select("text_id", "scope", "line_no", "line")), ["text_id", "scope", "line_no"], "left")
+    found = found.withColumns({"licence": F.coalesce("spdx", "licence"), "cosine": F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.col("cosine"))}).where("licence is not null")
+    own = found.groupBy("text_id", "scope").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("scope"), F.col("line_no"), F.col("licence"))).alias("b"), F.sum("words").alias("licence_words"))
     own = own.groupBy("text_id").agg(F.min("b").alias("b"), F.max("licence_words").alias("licence_words"))
     files = src.select("*", F.xxhash64("path", "text").alias("id"), n(F.coalesce("text", F.lit(""))).alias("n_words")).drop("text")
     files = files.join(own, F.col("id") == F.col("text_id"), "left").withColumns({"own_licence": F.col("b.licence"), "cosine": -F.col("b.c")})
