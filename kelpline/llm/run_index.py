@@ -76,8 +76,9 @@ class RunIndex:
             # what has stopped stays: its next symbols differ again
         return np.minimum(total, most)
 
-    def matching_statistics(self, copies: np.ndarray | None = None) -> np.ndarray:
-        """For each position of the text the length of the longest match that starts there and at another place too.
+    def matching_statistics(self, copies: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """For each position of the text the length of the longest match that starts there and at another place too,
+        or 0 if it is less than ``least``.
 
         A match is longest with a neighbour in suffix order.  Inside a run both rows are preceded by the same
         symbol, so the match is one shorter than one that starts a position earlier; only the pairs of rows at
@@ -86,6 +87,14 @@ class RunIndex:
         """
         n = len(self.text)
         a, b = self.tails[:-1], self.heads[1:]
+        if least:
+            # A shorter match at a sample gives only shorter ones after it.
+            far = np.minimum(self.left[a], self.left[b]) >= least
+            a, b = a[far], b[far]
+            width, rank = next((x for x in reversed(self.levels) if x[0] <= least), (0, None))
+            if width:
+                same = rank[a] == rank[b]
+                a, b = a[same], b[same]
         common = self.common(a, b)
         reach = np.full(n, -1, np.int64)  # where a match that starts at a sample ends
         np.maximum.at(reach, a, a + common)
@@ -93,4 +102,5 @@ class RunIndex:
         if copies is not None:
             begin = np.flatnonzero(np.append(True, self.text[:-1] == 0))[copies > 1]
             reach[begin] = begin + self.left[begin]
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
+        match = np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
+        return np.where(match >= least, match, 0)

@@ -14,7 +14,8 @@ compared, and contexts are dealt by anchor.
 3. Tasks build run-compressed Burrows-Wheeler transforms of bounded size over whole
    anchors, one string a group, stream matching statistics from the sampled run ends,
    and mark the strings whose match is long enough; a group of several copies matches
-   as a whole, as its copies would fill the same runs.
+   as a whole, as its copies would fill the same runs.  Where all of an anchor's groups
+   do, they tell nothing of each other and aren't indexed.
 4. An anchor with more groups than an index may hold is split by longer seeds: the
    strings of its contexts have anchors of 128 bytes, and where these are still hot, of
    all LENGTH, under which no two groups meet.
@@ -34,6 +35,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def contexts(texts: list[bytes], seed: int = SEED):
     least = sliding_least((seeds >> U(32) << U(32)) | at.astype(U), LENGTH - seed + 1)
     place = (least & U(0xFFFFFFFF)).astype(np.int64)
     start = np.arange(len(place))
-    text = np.searchsorted(h.bounds, start, side="right") - 1
+    text = np.repeat(np.arange(len(texts)), np.diff(h.bounds))[: len(place)]
     inside = start + LENGTH <= h.bounds[text + 1]
     start, place, text = start[inside], place[inside], text[inside]
     if not len(start):
@@ -129,6 +131,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, context long, row long, check int, first int, last int, times int")
 
 
+def elements(lists: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The row of each element of the lists, and the elements, by field if they are structs; a null list has none."""
+    size = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    return np.repeat(np.arange(len(lists)), size), values.flatten() if pa.types.is_struct(values.type) else [values]
+
+
 def fetch(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(anchor, context, copies, bytes) of (anchor, context, copies, rep), with the bytes of each group's representative."""
     lists = groups.groupBy("rep.row", "rep.check").agg(F.collect_list(F.struct("anchor", "context", "copies", "rep.first", "rep.last")).alias("wanted"))
@@ -137,9 +146,9 @@ def fetch(docs: DataFrame, groups: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
-            rows = [(w["anchor"], w["context"], w["copies"], t[w["first"] : w["last"] + LENGTH]) for t, ws in zip(raw, batch.column("wanted").to_pylist(), strict=True) for w in ws]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "context", "copies", "bytes"])
+            of, (anchor, context, copies, first, last) = elements(batch.column("wanted"))
+            cut = [raw[i][a : b + LENGTH] for i, a, b in zip(of.tolist(), first.to_pylist(), last.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([anchor, context, copies, pa.array(cut, pa.binary())], ["anchor", "context", "copies", "bytes"])
 
     # Equal rows yield a group several times; only one of them goes into an index.
     return joined.select("text", "wanted").mapInArrow(run, GROUP)
@@ -159,21 +168,38 @@ def digest(raw: bytes) -> bytes:
     return blake2b(raw, digest_size=16).digest()
 
 
+def undecided(anchor: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Which groups, sorted by anchor, an index must tell of: those of anchors with several groups, of which one has no other copy."""
+    if not len(anchor):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    size = np.diff(np.append(first, len(anchor)))
+    return np.repeat((size > 1) & (np.minimum.reduceat(copies, first) == 1), size)
+
+
 def indexed_marks(groups: DataFrame) -> DataFrame:
     """Rows of MARKS: where the groups' strings are repeated, from groups that are sorted by anchor in each partition."""
 
     def marks(rows: pa.Table):
         place = np.rec.fromarrays([rows[c].to_numpy() for c in ("anchor", "context")], names="anchor,context")
         rows = rows.take(pa.array(np.unique(place, return_index=True)[1]))
-        strings = rows["bytes"].to_pylist()
-        long = RunIndex.build(strings).matching_statistics(rows["copies"].to_numpy()) >= LENGTH
-        begin = np.cumsum([0, *[len(s) + 1 for s in strings[:-1]]])
+        strings, copies = rows["bytes"].to_pylist(), rows["copies"].to_numpy()
+        open_ = np.flatnonzero(undecided(rows["anchor"].to_numpy(), copies))
+        inside = [strings[i] for i in open_.tolist()]
+        long = RunIndex.build(inside).matching_statistics(copies[open_], LENGTH) > 0 if inside else np.zeros(0, bool)
+        begin = np.cumsum([0, *[len(s) + 1 for s in inside]])
         a, b = runs_of(long)
         which = np.searchsorted(begin, a, side="right") - 1
-        base = begin[which]
+        a, b, which = a - begin[which], b - begin[which], open_[which]
+        # Groups of several copies that aren't indexed match as a whole, too.
+        copied = np.setdiff1d(np.flatnonzero(copies > 1), open_)
+        size = np.array([len(strings[i]) for i in copied.tolist()], np.int64)
+        which, a, b = (np.concatenate(x) for x in ((which, copied), (a, np.zeros_like(copied)), (b, size - LENGTH + 1)))
+        order = np.argsort(which, kind="stable")
+        which, a, b = which[order], a[order], b[order]
         has, first = np.unique(which, return_index=True)
         bounds = np.append(first, len(which)).astype(np.int32)
-        spans = [pa.ListArray.from_arrays(pa.array(bounds), pa.array((x - base).astype(np.int32))) for x in (a, b - 1 + LENGTH)]
+        spans = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (a, b - 1 + LENGTH)]
         some = rows.take(pa.array(has))
         cols = [some["anchor"].combine_chunks(), some["context"].combine_chunks(), pa.array([digest(strings[i]) for i in has.tolist()], pa.binary()), *spans]
         return pa.RecordBatch.from_arrays(cols, ["anchor", "context", "digest", "starts", "ends"])
@@ -285,26 +311,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches, "text", SLICE):
-            out = []
-            for raw, marks in zip(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                spans = []
-                for m in marks or ():
-                    if digest(raw[m["first"] : m["last"] + LENGTH]) != m["digest"]:
-                        raise ValueError(COLLISION)
-                    spans += [(m["first"] + x, m["first"] + y) for x, y in zip(m["starts"], m["ends"], strict=True)]
-                for m in sorted(spans):
-                    if merged and m[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], m[1])
-                    else:
-                        merged.append(list(m))
-                ends = [0, *[e for _, e in merged]]
-                kept = b"".join(raw[e:s] for e, s in zip(ends, [*[s for s, _ in merged], len(raw)], strict=True))
-                out.append((len(raw), [{"start": s, "end": e} for s, e in merged], kept))
-            n, removed, kept = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, of), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept_bytes"])
+            raw = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            n = np.array([len(r) for r in raw], np.int64)
+            row, (first, last, found, starts, ends) = elements(batch.column("marks"))
+            if any(digest(raw[i][x : y + LENGTH]) != d for i, x, y, d in zip(row.tolist(), first.to_pylist(), last.to_pylist(), found.to_pylist(), strict=True)):
+                raise ValueError(COLLISION)
+            # Rows lie one after the other with a place between, so that spans of one row alone are merged.
+            begin = np.cumsum(n + 1) - (n + 1)
+            mark, (starts,) = elements(starts)
+            at = (begin[row] + first.to_numpy())[mark]
+            start, end = at + starts.to_numpy(), at + elements(ends)[1][0].to_numpy()
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.append(True, start[1:] > end[:-1])[: len(start)])
+            start, end = start[new], end[np.append(new[1:] - 1, len(end) - 1)[: len(new)]]
+            of_row = np.searchsorted(begin, start, side="right") - 1
+            start, end, bounds = start - begin[of_row], end - begin[of_row], np.searchsorted(of_row, np.arange(len(raw) + 1))
+            removed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start, end)], ["start", "end"]))
+            start, end, kept = start.tolist(), end.tolist(), []
+            for r, i, j in zip(raw, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                kept.append(b"".join(r[x:y] for x, y in zip([0, *end[i:j]], [*start[i:j], len(r)], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), removed, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept_bytes"])
 
     joined = docs.join(spans, ["row", "check"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start:int,end:int>>, kept_bytes binary").withColumnRenamed("doc_id", id_col)

@@ -459,6 +459,27 @@ def test_matching_statistics_equal_brute_force():
             at += len(s) + 1
 
 
+def test_long_matches_alone_equal_all_that_are_long():
+    rng = random.Random(8)
+    for least in (1, 5, 9, 30, 90):
+        strings = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))).encode() * rng.randrange(1, 4) for _ in range(12)]
+        copies = np.array([rng.choice((1, 1, 3)) for _ in strings])
+        index = run_index.RunIndex.build(strings)
+        every = index.matching_statistics(copies)
+        assert (index.matching_statistics(copies, least) == np.where(every >= least, every, 0)).all()
+
+
+def test_only_anchors_with_a_single_context_are_indexed(spark):
+    assert suffix_dedup.undecided(np.array([1, 2, 2, 3, 3, 4]), np.array([2, 2, 3, 1, 5, 1])).tolist() == [False, False, False, True, True, False]
+    rng = random.Random(9)
+    noise = lambda k, of="ijklmn é": "".join(rng.choice(of) for _ in range(k))
+    passage = noise(260, "abcdefgh é")
+    one, two = noise(300) + passage + noise(40), noise(90) + passage + noise(250)
+    rows = [(i, t) for i, t in enumerate([one] * 3 + [two] * 2 + [noise(400)] * 2 + [noise(70) + passage, "", None, passage[:150], noise(500)])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, sum(x["end"] - x["start"] for x in r.removed), hashlib.sha256(bytes(r.kept_bytes)).hexdigest()) for r in got), key=str) == brute_repeats(rows)
+
+
 def test_repeats_of_nothing(odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
     assert suffix_dedup.remove_repeats(odd).count() == odd.count()
