@@ -97,8 +97,9 @@ TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 LEAST, MOSTLY = 0.6, 20
 #: Cosine that paragraphs, blocks and whole texts need: their common words make any two alike.
 LEAST_LONG = 0.8
-#: Terms up to which their weights are sent to the units; beyond, units' terms are shuffled to them.
-BROADCAST_TERMS = 200_000
+#: Terms of templates, and those that one unit in so many has, are sent to the units with their weights: at most so many times a unit's
+#: mean number of terms, however many units there are.  To the weights of others only the terms of units that may match are shuffled.
+RARE = 300
 #: Kinds of units; the first two are short.
 LINE, SENTENCE, PARAGRAPH, BLOCK, WHOLE = range(5)
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
@@ -106,7 +107,9 @@ NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 
 def header_units(files: DataFrame) -> DataFrame:
     """(path, text_id, scope, line_no, line) of (path, text): each text's units with a licence word, numbered by kind."""
-    texts = files.where(F.col("text").rlike(KEYS)).select("path", F.xxhash64("path", "text").alias("text_id"), F.regexp_replace("text", "\r", "").alias("text"))
+    # Repeated rows are left out before texts are cut, so that each text is shuffled once, not all its units.
+    texts = files.where(F.col("text").rlike(KEYS)).withColumn("text_id", F.xxhash64("path", "text")).repartition("text_id").dropDuplicates(["text_id"])
+    texts = texts.select("path", "text_id", F.regexp_replace("text", "\r", "").alias("text"))
     # Blank lines where comments end and begin.
     cut = F.regexp_replace(F.regexp_replace("text", rf"(?m)^({MARK}[^\n]*)\n(?!{MARK})", "$1\n\n"), rf"(?m)^(?!{MARK})([^\n]+)\n(?={MARK})", "$1\n\n")
     texts = texts.withColumn("cut", cut).withColumns({"blocks": F.split("cut", r"\n(?:[ \t]*\n)+"), "paragraphs": F.split("cut", rf"\n(?:(?:{MARK})?[ \t]*\n)+")})
@@ -117,12 +120,25 @@ def header_units(files: DataFrame) -> DataFrame:
     mostly = F.aggregate("long", F.lit(0).cast("long"), lambda n, u: n + F.length(u["line"])) * 100 >= F.length("text") * MOSTLY
     whole = F.when(mostly | F.coalesce(F.col("path").rlike(NAMED), F.lit(False)), keyed(WHOLE, F.array("text"))).otherwise(keyed(WHOLE, F.array().cast("array<string>")))
     units = F.concat("lines", keyed(SENTENCE, sentences), "long", keyed(BLOCK, F.array_except("blocks", "paragraphs")), whole)
-    return texts.select("path", "text_id", F.explode(units).alias("u")).select("path", "text_id", "u.*").distinct()
+    return texts.select("path", "text_id", F.explode(units).alias("u")).select("path", "text_id", "u.*")
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)``, with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def _terms(lines: DataFrame, *ids: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))
-    return lines.select(*ids, words.alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(ids..., term, tf) of each line, counted in its row: equal words are a run of the sorted ones."""
+
+    def counted(words):
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(words))
+        runs = _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (end(at, k) - i).cast("long").alias("tf"))))
+        return F.when(F.size(words) > 0, runs)
+
+    words = F.array_sort(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))
+    return lines.select(*ids, F.explode(_let(words, counted)).alias("run")).select(*ids, "run.term", "run.tf")
 
 
 def given_templates(spark: SparkSession) -> DataFrame:
@@ -140,22 +156,30 @@ def matches(units: DataFrame) -> DataFrame:
     """(text_id, scope, line_no, licence, cosine): the best template of each unit whose cosine is high enough."""
     given = given_templates(SparkSession.active())
     unit, template = ("text_id", "scope", "line_no"), ("template", "name", "short")
-    # Dealt by text, so that nothing that is grouped by unit is shuffled again.
-    mine, theirs = _terms(units.repartition("text_id"), *unit), checkpointed(_terms(given, *template))
+    mine, theirs = _terms(units, *unit), checkpointed(_terms(given, *template))
     # Counted by term over distinct units; combined before the shuffle.
     count = lambda t, c: t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max(c).alias("given"))
     df = count(mine, F.lit(False)).unionByName(count(theirs, F.lit(True))).groupBy("term").agg(F.sum("n").alias("df"), F.max("given").alias("given"))
     total = units.count() + theirs.select("template").distinct().count()
-    idf = checkpointed(df.select("term", "given", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
-    weigh = lambda t, *ids: t.join(idf, "term").select(*ids, "term", "given", (F.col("tf") * F.col("idf")).alias("w"))
-    a, b = weigh(mine, *unit), weigh(theirs, *template)
-    square = F.col("w") * F.col("w")
-    b = checkpointed(b.drop("given").join(b.groupBy("template").agg(F.sqrt(F.sum(square)).alias("nb")), "template"))
-    # A cosine is at most the part of a unit's length that lies in terms of templates: other units are left out.
-    a = a.groupBy(*unit).agg(F.sqrt(F.sum(square)).alias("na"), F.sqrt(F.sum(F.when(F.col("given"), square))).alias("part"), F.collect_list(F.when(F.col("given"), F.struct("term", "w"))).alias("terms"))
-    need = F.when(F.col("scope") <= SENTENCE, LEAST).otherwise(LEAST_LONG)
-    a = a.where(F.col("part") >= F.col("na") * (need - 1e-5)).select(*unit, "na", (F.col("scope") <= SENTENCE).alias("short"), F.explode("terms").alias("t")).select(*unit, "na", "short", "t.*")
+    weight = lambda df: F.log((F.lit(total) + 1.0) / (df + 1.0)) + 1.0
+    idf = checkpointed(df.select("term", "given", (F.col("given") | (F.col("df") * RARE >= total)).alias("sent"), weight(F.col("df")).alias("idf")))
+    sent = F.broadcast(idf.where("sent").select("term", "given", "idf"))
+    square, need = F.col("w") * F.col("w"), F.when(F.col("scope") <= SENTENCE, LEAST).otherwise(LEAST_LONG)
+    b = theirs.join(sent, "term").select(*template, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    b = checkpointed(b.join(b.groupBy("template").agg(F.sqrt(F.sum(square)).alias("nb")), "template"))
+    # A cosine is at most the part of a unit's length that lies in terms of templates: other units are left out, first those that are
+    # too long even if all their rare terms weigh as little as a rare term can, of which no term is shuffled.
+    weighed = lambda t: _terms(t, *unit).join(sent, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    part = F.sqrt(F.sum(F.when(F.col("given"), square))).alias("part")
+    lightest = F.coalesce("w", F.col("tf") * weight(F.lit(total / RARE)))
+    bound = weighed(units).groupBy(*unit).agg(F.sqrt(F.sum(lightest * lightest)).alias("na"), part)
+    far_enough = F.col("part") >= F.col("na") * (need - 1e-5)
+    a = weighed(units.join(bound.where(far_enough).select(*unit), [*unit], "left_semi"))
+    rare = a.where("idf is null").select(*unit, "term", "tf").join(idf.where("not sent").select("term", "idf"), "term")
+    rare = rare.withColumn("w", F.col("tf") * F.col("idf")).groupBy(*unit).agg(F.sum(square).alias("rest"))
+    a = a.where("idf is not null").groupBy(*unit).agg(F.sum(square).alias("most"), part, F.collect_list(F.when(F.col("given"), F.struct("term", "w"))).alias("terms"))
+    a = a.join(rare, [*unit], "left").withColumn("na", F.sqrt(F.col("most") + F.coalesce("rest", F.lit(0.0))))
+    a = a.where(far_enough).select(*unit, "na", (F.col("scope") <= SENTENCE).alias("short"), F.explode("terms").alias("t")).select(*unit, "na", "short", "t.*")
     # Templates are a fixed list of some thousands of terms.
     dots = a.join(F.broadcast(b.select(*template, "nb", "term", F.col("w").alias("v"))), ["short", "term"]).groupBy(*unit, "template", "name", "na", "nb").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.select(*unit, "name", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))

@@ -304,6 +304,39 @@ def test_cosines_equal_a_plain_reading(spark):
     assert 100 < found < len(units)
 
 
+def test_terms_are_counted_in_their_row(spark):
+    lines = ["", "...", "One", "a b A c b a", "v2.0-rc1 x_y x", "q " * 3000 + "p"]
+    got = {}
+    for r in licenses._terms(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), "i").collect():
+        assert (r.i, r.term) not in got
+        got[r.i, r.term] = r.tf
+    assert got == {(2, "one"): 1, (3, "a"): 3, (3, "b"): 2, (3, "c"): 1, (4, "v2.0-rc1"): 1, (4, "x"): 2, (4, "y"): 1, (5, "q"): 3000, (5, "p"): 1}
+
+
+def test_rare_terms_change_no_match(spark, monkeypatch):
+    """Weights that are sent and those that terms are shuffled to give one result, for units near the limit too."""
+    rng = random.Random(5)
+    given = [r for r in licenses.given_templates(spark).collect() if len(r.line.split()) < 400]
+    units = []
+    for r in given:
+        for k in range(8):
+            own = [f"own{rng.randrange(10**6)}" if rng.random() < 0.7 else f"common{rng.randrange(9)}" for _ in range(len(r.line.split()) * k // 12)]
+            units.append((len(units) // 3, licenses.LINE if r.short else licenses.BLOCK, len(units), " ".join([r.line, *own])))
+    frame = spark.createDataFrame(units, "text_id long, scope int, line_no int, line string")
+    seen = []
+    for limit in (10**9, 40, 1):
+        monkeypatch.setattr(licenses, "RARE", limit)
+        seen.append(sorted((r.text_id, r.scope, r.line_no, r.licence, round(r.cosine, 5)) for r in licenses.matches(frame).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(given) < len(seen[0]) < len(units) - len(given)
+
+
+def test_repeated_rows_have_their_units_once(spark):
+    rows = [("a/x", "Released under the MIT License.\r\n\nOther words.")] * 3 + [("b/x", "Released under the MIT License.\n\nOther words."), (None, "Public domain."), (None, "Public domain."), ("c", None)]
+    units = licenses.header_units(spark.createDataFrame(rows, "path string, text string"))
+    got = Counter((r.path, r.scope, r.line_no, r.line) for r in units.collect())
+    assert set(got.values()) == {1} and {(p, line) for p, scope, _, line in got if scope == licenses.LINE} == {("a/x", "Released under the MIT License."), ("b/x", "Released under the MIT License."), (None, "Public domain.")}
+
+
 # ---- mixing
 
 
