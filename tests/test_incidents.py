@@ -23,3 +23,18 @@ def test_case_files_of_one_large_incident_grow_with_its_members(spark):
     assert not [f.name for f in c.schema.fields if f.dataType.simpleString() == "array<bigint>" and f.name != "provenance_ids"]
     got = {(r.incident, r.n_siblings): r["count"] for r in c.groupBy("incident", "n_siblings").count().collect()}
     assert got == {("all", MANY - 1): MANY, ("two", 1): 2, (None, None): 1}
+
+
+def test_bundles_of_one_large_incident_grow_with_its_members(spark):
+    det = spark.range(-3, MANY).select(
+        "id", F.lit("THERMAL_ANOMALY").alias("rule"), F.lit(50).alias("severity"), F.lit(0).cast("long").alias("ts_start"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"),
+        F.array(F.concat(F.lit("thermal:"), F.col("id"))).alias("entity_ids"), F.lit("{}").alias("evidence"),
+    )
+    methods = spark.createDataFrame([("THERMAL_ANOMALY", "m", "l")], "rule string, method string, limitation string")
+    tracks = spark.createDataFrame([], "id long, entity_id string, fixes long")
+    sources = spark.createDataFrame([], "id long, source_key string, provenance_id long, payload_sha string")
+    b = provenance.evidence_bundles(det, methods, tracks, sources, members=provenance.siblings(one_incident(spark)))
+    j = lambda p: F.get_json_object("bundle", p)
+    got = {(r.i, r.n): (r.c, r.most) for r in b.groupBy(j("$.incident").alias("i"), j("$.n_siblings").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max(F.length("bundle")).alias("most")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("all", str(MANY - 1)): MANY, ("two", "1"): 2, (None, None): 1}
+    assert max(v[1] for v in got.values()) < 500
