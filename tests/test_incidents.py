@@ -1,8 +1,14 @@
 """Incidents and their members where they are many, and where detections share an id."""
 
+import datetime
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import provenance
+from kelpline.plans import queries, registry
+from tests.compare import agree, duck
 
 MANY = 20_000
 
@@ -38,3 +44,30 @@ def test_bundles_of_one_large_incident_grow_with_its_members(spark):
     got = {(r.i, r.n): (r.c, r.most) for r in b.groupBy(j("$.incident").alias("i"), j("$.n_siblings").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max(F.length("bundle")).alias("most")).collect()}
     assert {k: v[0] for k, v in got.items()} == {("all", str(MANY - 1)): MANY, ("two", "1"): 2, (None, None): 1}
     assert max(v[1] for v in got.values()) < 500
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Hours in which aircraft signal emergencies from several cells, so that detections share an id, beside quakes and hot spots."""
+    folder = str(tmp_path_factory.mktemp("crowded"))
+    start = datetime.datetime(2024, 1, 10)
+    kinds = [(3, 7), (7, 1), (4, 7), (6, 3), (5, 8)]  # users and k: three aircraft, a fire pixel, a quake
+    rows = []
+    for i in range(150):
+        user, k = kinds[i % len(kinds)]
+        rows.append((i * 37, start + datetime.timedelta(minutes=i * 5 + (i // 50) * 600), user, "view", 120.0, f'{{"k": {k}}}'))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{folder}/all")
+    (part,) = [f for f in os.listdir(f"{folder}/all") if f.startswith("part-")]
+    os.symlink(f"{folder}/all/{part}", f"{folder}/events.parquet")
+    ids = queries._simple(spark, folder).groupBy("id").count()
+    assert ids.where("count > 1").count() > 2
+    return folder
+
+
+def agrees(spark, folder, name):
+    agree(registry.queries()[name](spark, folder), duck(folder), registry.oracle_sql()[name])
+
+
+def test_links_of_detections_that_share_an_id(spark, crowded):
+    agrees(spark, crowded, "incident_links")
