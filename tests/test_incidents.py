@@ -71,3 +71,7 @@ def agrees(spark, folder, name):
 
 def test_links_of_detections_that_share_an_id(spark, crowded):
     agrees(spark, crowded, "incident_links")
+
+
+def test_siblings_of_detections_that_share_an_id(spark, crowded):
+    agrees(spark, crowded, "incident_siblings")
