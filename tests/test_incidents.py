@@ -75,3 +75,7 @@ def test_links_of_detections_that_share_an_id(spark, crowded):
 
 def test_siblings_of_detections_that_share_an_id(spark, crowded):
     agrees(spark, crowded, "incident_siblings")
+
+
+def test_ranks_of_incidents_whose_detections_share_an_id(spark, crowded):
+    agrees(spark, crowded, "incidents_ranked")
