@@ -46,6 +46,13 @@ def test_bundles_of_one_large_incident_grow_with_its_members(spark):
     assert max(v[1] for v in got.values()) < 500
 
 
+def write_events(spark, folder, rows):
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{folder}/all")
+    (part,) = [f for f in os.listdir(f"{folder}/all") if f.startswith("part-")]
+    os.symlink(f"{folder}/all/{part}", f"{folder}/events.parquet")
+
+
 @pytest.fixture(scope="module")
 def crowded(spark, tmp_path_factory):
     """Hours in which aircraft signal emergencies from several cells, so that detections share an id, beside quakes and hot spots."""
@@ -56,10 +63,7 @@ def crowded(spark, tmp_path_factory):
     for i in range(150):
         user, k = kinds[i % len(kinds)]
         rows.append((i * 37, start + datetime.timedelta(minutes=i * 5 + (i // 50) * 600), user, "view", 120.0, f'{{"k": {k}}}'))
-    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
-    events.coalesce(1).write.parquet(f"{folder}/all")
-    (part,) = [f for f in os.listdir(f"{folder}/all") if f.startswith("part-")]
-    os.symlink(f"{folder}/all/{part}", f"{folder}/events.parquet")
+    write_events(spark, folder, rows)
     ids = queries._simple(spark, folder).groupBy("id").count()
     assert ids.where("count > 1").count() > 2
     return folder
@@ -79,3 +83,10 @@ def test_siblings_of_detections_that_share_an_id(spark, crowded):
 
 def test_ranks_of_incidents_whose_detections_share_an_id(spark, crowded):
     agrees(spark, crowded, "incidents_ranked")
+
+
+def test_ticks_append_more_than_the_breaker_would_leave(spark, tmp_path):
+    """More grave quakes, hot spots and emergencies in a day than the caps of their rules."""
+    users = {3: 9, 6: 0, 7: 0}  # and k: an aircraft that squawks 7500, a shallow quake, a fire pixel
+    write_events(spark, str(tmp_path), [(i, datetime.datetime(2024, 1, 10) + datetime.timedelta(minutes=i * 7), u, "view", 100_000.0, f'{{"k": {users[u]}}}') for i in range(180) for u in [list(users)[i % 3]]])
+    agrees(spark, str(tmp_path), "stream_runs")
