@@ -45,7 +45,7 @@ class Kept:
         self.pending = table("pending", ("cell", "sample_ms"), "cell string, sample_ms long, n long")
         self.usual = table("usual", ("cell", "season"), "cell string, season int, samples long, mean double, m2 double")
         self.clock = table("clock", ("name",), "name string, at_ms long")
-        self.members = table("members", ("day_ms", "id"), MEMBER, "day_ms")
+        self.members = table("members", ("day_ms", "id", "hash"), MEMBER, "day_ms")
         self.groups = table("groups", ("cluster",), GROUP)
         self.incidents = table("incidents", ("cluster",), INCIDENT)
 
@@ -109,13 +109,14 @@ def fold_usual(kept: Kept, batch: DataFrame, now_ms: int, epoch: int, precision:
 # ---- incidents
 
 
-def fold_incidents(kept: Kept, new: DataFrame, epoch: int, radius_m: float = 150_000, window_ms: int = WINDOW_MS, min_severity: int = 55) -> None:
+def fold_incidents(kept: Kept, new: DataFrame, epoch: int, radius_m: float = 150_000, window_ms: int = WINDOW_MS, min_severity: int = 55, number: Callable[[DataFrame], DataFrame] = engine.numbered) -> None:
     """Lets new detections join, extend and merge stored groups, or start some; a group keeps the name that it was given first, and of
     groups that merge the oldest one's.
 
     Only detections within the window of the new ones are looked at for links, and only groups that a new one touches are read whole
-    and scored anew.  The groups are those of one clustering over all that was ever found."""
-    n = engine.numbered(new).select("id", "rule", "severity", "ts_start", F.coalesce("ts_end", "ts_start").alias("ts_end"), "lat", "lon", "hash", F.get_json_object("evidence", "$.watchbox").alias("watchbox"))
+    and scored anew.  The groups are those of one clustering over all that was ever found.  ``number`` gives detections their ``id``;
+    those that share one, which have to begin at one time, belong to one group wherever they lie."""
+    n = number(new).select("id", "rule", "severity", "ts_start", F.coalesce("ts_end", "ts_start").alias("ts_end"), "lat", "lon", "hash", F.get_json_object("evidence", "$.watchbox").alias("watchbox"))
     n = checkpointed(n.withColumn("day_ms", quantize("ts_start", DAY_MS)))
     span = n.agg(F.min("ts_start").alias("a"), F.max("ts_start").alias("b")).first()
     if span["a"] is None:
@@ -131,10 +132,13 @@ def fold_incidents(kept: Kept, new: DataFrame, epoch: int, radius_m: float = 150
     tied = local.join(node, "id").select("cluster", "node").distinct()
     hubs = tied.groupBy("cluster").agg(F.min("node").alias("hub"))
     parts = checkpointed(connected_components(checkpointed(tied.join(hubs, "cluster").where("node <> hub").select("hub", "node")), "hub", "node"))
+    # A new detection may join a group that is named by the id it shares, without another node beside.
+    alone = tied.select("node").distinct().join(n.select(F.col("id").alias("node")), "node", "left_semi").join(parts, "node", "left_anti")
+    parts = parts.unionByName(alone.select("node", F.col("node").alias("component")))
     aged = parts.join(node.groupBy("node").agg(F.min("since").alias("since")), "node")
     names = aged.groupBy("component").agg(F.min_by("node", F.struct("since", "node")).alias("name"), F.min("since").alias("name_since"))
     named = checkpointed(aged.join(names, "component").select("node", "since", "name", "name_since"))
-    fresh = n.join(named.where(F.col("since") == epoch).select(F.col("node").alias("id"), "name", "name_since"), "id", "left")
+    fresh = n.join(named.select(F.col("node").alias("id"), "name", "name_since"), "id", "left")
     fresh = fresh.select("*", F.coalesce("name", "id").alias("cluster"), F.coalesce("name_since", F.lit(epoch)).cast("long").alias("since"))
     # Of stored groups that are touched all members are read, from the days that they cover.
     touched = named.where(F.col("since") < epoch).select(F.col("node").alias("cluster"), "name", "name_since")
@@ -159,7 +163,8 @@ def fold_incidents(kept: Kept, new: DataFrame, epoch: int, radius_m: float = 150
 
 @dataclass
 class Watch:
-    """What a watch does each tick.  ``every_ms`` is the stretch whose counts are one sample of what is usual."""
+    """What a watch does each tick.  ``every_ms`` is the stretch whose counts are one sample of what is usual, ``number`` what gives
+    detections their ids."""
 
     boxes: DataFrame
     folder: str
@@ -175,6 +180,7 @@ class Watch:
     compact_every: int = 16
     told: list | None = None
     fuse: bool = True
+    number: Callable[[DataFrame], DataFrame] = engine.numbered
 
 
 def archive_between(spark: SparkSession, folder: str, schema: StructType, first_ms: int, last_ms: int, epoch: int) -> DataFrame:
@@ -221,7 +227,7 @@ def watch_tick(w: Watch) -> Callable[[DataFrame, int], None]:
         if w.season is not None:
             fold_usual(kept, rows, span["b"], epoch, w.precision, w.every_ms, w.season)
         if w.fuse:
-            fold_incidents(kept, found, epoch, min_severity=w.min_severity)
+            fold_incidents(kept, found, epoch, min_severity=w.min_severity, number=w.number)
         if w.told is not None:
             w.told.append((epoch, run.errors))
         rows.unpersist()

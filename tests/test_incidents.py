@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import provenance
 from kelpline.plans import queries, registry
+from kelpline.streaming import watch
 from tests.compare import agree, duck
 
 MANY = 20_000
@@ -90,3 +91,27 @@ def test_ticks_append_more_than_the_breaker_would_leave(spark, tmp_path):
     users = {3: 9, 6: 0, 7: 0}  # and k: an aircraft that squawks 7500, a shallow quake, a fire pixel
     write_events(spark, str(tmp_path), [(i, datetime.datetime(2024, 1, 10) + datetime.timedelta(minutes=i * 7), u, "view", 100_000.0, f'{{"k": {users[u]}}}') for i in range(180) for u in [list(users)[i % 3]]])
     agrees(spark, str(tmp_path), "stream_runs")
+
+
+def test_ticks_fuse_detections_that_share_an_id(spark, crowded):
+    agrees(spark, crowded, "stream_incidents")
+
+
+def test_groups_of_a_shared_id_grow_from_tick_to_tick(spark, tmp_path):
+    """Detections 5 are two, far apart and told one after the other; whoever lies near one of them belongs to both."""
+    kept = watch.Kept(spark, str(tmp_path), 2)
+    schema = "rule string, severity int, ts_start long, ts_end long, lat double, lon double, entity_ids array<string>, evidence string, hash string"
+    number = lambda x: x.withColumn("id", F.substring("hash", 1, 1).cast("long"))
+    det = lambda key, rule, lon: (rule, 80, 0, None, 10.0, lon, [key], "{}", key)
+    fold = lambda e, *rows: watch.fold_incidents(kept, spark.createDataFrame(list(rows), schema), e, min_severity=30, number=number)
+    seen = lambda e: {r.cluster: r.detection_ids for r in kept.incidents.before(e).collect()}
+    fold(0, det("5a", "SQUAWK_EMERGENCY", 0.0))
+    fold(1, det("5b", "SQUAWK_EMERGENCY", 40.0))
+    assert seen(2) == {}
+    fold(2, det("7a", "THERMAL_ANOMALY", 40.0))
+    assert seen(3) == {5: [5, 5, 7]}
+    fold(3, det("5c", "SQUAWK_EMERGENCY", 80.0))
+    assert seen(4) == {5: [5, 5, 5, 7]}
+    fold(4, det("6a", "SEISMIC_SHALLOW", 120.0), det("8a", "THERMAL_ANOMALY", 120.0))
+    fold(5, det("6b", "SEISMIC_SHALLOW", 80.0))
+    assert seen(6) == {5: [5, 5, 5, 6, 6, 7, 8]}
