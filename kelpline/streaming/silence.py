@@ -1,17 +1,23 @@
-"""Silences as a stream: opened by event time, closed by the next fix, with the thresholds of places."""
+"""Silences as a stream: opened by event time, closed by the next fix, with the thresholds of places.
+
+``silences`` is a stream with a state for each entity, which tells of a silence when its timer fires, at some hundredths of a second of
+work for each entity that a batch brings; ``silence_tick`` finds the same by joins and windows over whole batches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kelpline.functions.codes import AIR, ON_GROUND, SEA
-from kelpline.operators.detectors import judged
+from kelpline.operators.detectors import fallen_silent, gaps, judged
+from kelpline.operators.state import LAST, LAST_FIELDS, after_known, last_known
+from kelpline.streaming.kept import KeptTable
 
 FIX = "ts_ms long, obs_id long, lat double, lon double, sog_kt double, cog_deg double, flags int, domain int, kind string"
 FIX_COLUMNS = [c.split()[0] for c in FIX.split(", ")]
@@ -132,3 +138,50 @@ def silences(obs: DataFrame, boxes: DataFrame, default_s: int = 3600, lateness:
     moving = obs.where(F.col("domain").isin(SEA, AIR)).select("ts", "entity_id", *FIX_COLUMNS)
     out = moving.withWatermark("ts", lateness).groupBy("entity_id").transformWithStateInPandas(SilenceMachine(Places(rows, default_s)), SILENCE, "Append", "EventTime")
     return judged(out.withColumn("dt_ms", F.col("ts_ms") - F.col("prev_ts_ms")))
+
+
+def _waiting(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
+    """The fixes that the newest finished tick before ``epoch`` left waiting."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/epoch=*/_SUCCESS")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    before = max((e for e in (int(x.getPath().getParent().getName().split("=")[1]) for x in there or ()) if e < epoch), default=None)
+    schema = f"entity_id string, {FIX}"
+    return spark.createDataFrame([], schema) if before is None else spark.read.schema(schema).parquet(f"{folder}/epoch={before}")
+
+
+def silence_tick(boxes: DataFrame, folder: str, found: str, default_s: int = 3600, lateness_ms: int = 3_600_000, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """One tick: what ``silences`` tells of a batch, appended to ``found`` as the tick's number.
+
+    Time is the newest fix so far less the lateness.  Fixes behind it wait; those that it has passed are taken in order behind each
+    entity's last one, and who has been silent for too long by then is told as open, once.  Fixes from before the time that the
+    tick before had are too late.  All is written under the tick's number and read from before it, as a watch does."""
+
+    def tick(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kept = lambda name, keys, schema: KeptTable(spark, f"{folder}/{name}", keys, schema, None, compact_every)
+        last, opened, clock = kept("last", ("entity_id",), f"{LAST}, kind string"), kept("opened", ("entity_id",), "entity_id string, went_dark_ms long"), kept("clock", ("name",), "name string, at_ms long")
+        fresh = batch.where(F.col("domain").isin(SEA, AIR)).select("entity_id", *FIX_COLUMNS).persist()
+        was, newest = clock.before(epoch).agg(F.max("at_ms")).first()[0], fresh.agg(F.max("ts_ms")).first()[0]
+        if newest is None:
+            fresh.unpersist()
+            return
+        now = newest if was is None else max(newest, was)
+        clock.write(spark.createDataFrame([("heard", now)], "name string, at_ms long"), epoch)
+        here = _waiting(spark, f"{folder}/waiting", epoch).unionByName(fresh if was is None else fresh.where(F.col("ts_ms") > was - lateness_ms))
+        passed = F.col("ts_ms") <= now - lateness_ms
+        here.where(~passed).write.mode("overwrite").parquet(f"{folder}/waiting/epoch={epoch}")
+        due, known = here.where(passed), last.before(epoch)
+        moved = after_known(due, known)
+        kinds = moved.where("not known_").groupBy("entity_id").agg(F.max_by("kind", F.struct("ts_ms", "obs_id")).alias("kind"))
+        last.write(last_known(moved).join(kinds, "entity_id"), epoch)
+        over = gaps(due, boxes, default_s, known).withColumn("state", F.lit("closed")).select(*SILENCE_COLUMNS, "v")
+        ends = last.before(epoch + 1)
+        silent = fallen_silent(ends, now - lateness_ms, boxes, None, default_s).select("entity_id", F.col("went_dark_at").alias("went_dark_ms"), "box_key")
+        new = silent.join(opened.before(epoch), ["entity_id", "went_dark_ms"], "left_anti")
+        opened.write(new.select("entity_id", "went_dark_ms"), epoch)
+        prev = [F.col(c).alias(f"prev_{c}") for c in LAST_FIELDS if c not in ("entity_id", "domain", "flags")]
+        begun = new.join(ends.select("entity_id", "domain", "kind", *prev), "entity_id").withColumn("state", F.lit("open"))
+        over.unionByName(begun.drop("went_dark_ms"), allowMissingColumns=True).write.mode("overwrite").parquet(f"{found}/epoch={epoch}")
+        fresh.unpersist()
+
+    return tick
